@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainweft.functions import wide
@@ -239,17 +242,23 @@ def event_sequence(
     )
 
 
-def _greedy(pdf: pd.DataFrame, window_ms: int, divisor: int) -> pd.DataFrame:
-    """Earliest-first matching inside one wallet slice (small helper, no I/O)."""
-    used = set(pdf["carried"].iloc[0]) if pdf["carried"].iloc[0] is not None else set()
-    rows = pdf.sort_values(["at", "transaction_index", "tx_hash", "event_index"], kind="stable")
-    receipts = [r for r in rows.itertuples() if r.direction == "in" and r.home]
-    payments = [r for r in rows.itertuples() if r.direction == "out"]
+PAIR_COLUMNS = [
+    "wallet", "part", "incoming_tx", "outgoing_tx", "received_at", "sent_at", "asset_id",
+    "incoming_amount", "outgoing_amount",
+]
+
+
+def _greedy(rows: list, window_ms: int, divisor: int) -> list[tuple]:
+    """Earliest-first matching inside one sorted wallet slice (small helper, no I/O)."""
+    used = set(rows[0].carried) if rows[0].carried is not None else set()
+    payments = [r for r in rows if r.direction == "out"]
     out, start = [], 0
-    for r in receipts:
-        amount = int(r.amount_raw)
+    for r in rows:
+        if r.direction != "in" or not r.home:
+            continue
         while start < len(payments) and payments[start].at <= r.at:
             start += 1
+        amount = int(r.amount_raw)
         if r.tx_hash in used or amount == 0:
             continue
         for k in range(start, len(payments)):
@@ -267,10 +276,19 @@ def _greedy(pdf: pd.DataFrame, window_ms: int, divisor: int) -> pd.DataFrame:
                 out.append((r.wallet, r.part, r.tx_hash, p.tx_hash, r.at, p.at, r.asset_id,
                             r.amount_raw, p.amount_raw))
                 break
-    return pd.DataFrame(out, columns=[
-        "wallet", "part", "incoming_tx", "outgoing_tx", "received_at", "sent_at", "asset_id",
-        "incoming_amount", "outgoing_amount",
-    ])
+    return out
+
+
+def _match_slices(batches: Iterator[pd.DataFrame], window_ms: int, divisor: int) -> Iterator[pd.DataFrame]:
+    """Stream sorted rows, one wallet slice in memory at a time."""
+    stream = (row for pdf in batches for row in pdf.itertuples(index=False))
+    found: list[tuple] = []
+    for _, group in groupby(stream, key=lambda r: (r.wallet, r.part)):
+        found.extend(_greedy(list(group), window_ms, divisor))
+        if len(found) >= 10_000:
+            yield pd.DataFrame(found, columns=PAIR_COLUMNS)
+            found = []
+    yield pd.DataFrame(found, columns=PAIR_COLUMNS)
 
 
 def forwarding_pairs(
@@ -310,8 +328,11 @@ def forwarding_pairs(
     )
 
     def run(part_rows: DataFrame) -> DataFrame:
-        return part_rows.groupBy("wallet", "part").applyInPandas(
-            lambda pdf: _greedy(pdf, window_ms, divisor), schema
+        order = ["wallet", "part", "at", "transaction_index", "tx_hash", "event_index"]
+        return (
+            part_rows.repartition("wallet", "part")
+            .sortWithinPartitions(*order)
+            .mapInPandas(lambda batches: _match_slices(batches, window_ms, divisor), schema)
         )
 
     def handed_on(pairs: DataFrame) -> DataFrame:

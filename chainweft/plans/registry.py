@@ -45,7 +45,7 @@ CTES: dict[str, str] = {
         'r' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS relationship_id,
         't' || l_orderkey AS tx_hash, {_MINUTE.format(k='l_orderkey')} AS block_number,
         {_MINUTE.format(k='l_orderkey')} * 60000 AS block_timestamp_unix_ms,
-        l_orderkey // 1440 AS transaction_index, l_partkey * 10 + l_linenumber AS event_index,
+        l_orderkey // 1440 AS transaction_index, (l_partkey * 10 + l_linenumber) * 100000 + l_suppkey % 100000 AS event_index,
         CASE WHEN l_quantity = 50 THEN {ZERO} WHEN l_returnflag = 'R' THEN 'S' || l_suppkey ELSE 'C' || o_custkey END AS from_address,
         CASE WHEN l_quantity = 49 THEN {ZERO} WHEN l_returnflag = 'R' THEN 'C' || o_custkey ELSE 'S' || l_suppkey END AS to_address,
         'asset:' || (l_partkey % 25) AS asset_id,
@@ -96,11 +96,11 @@ CTES: dict[str, str] = {
         'Exchange ' || (s_suppkey % 40) AS exchange_name,
         CASE (s_suppkey // 10) % 4 WHEN 0 THEN 'HOT' WHEN 1 THEN 'SWEEP' WHEN 2 THEN 'DEPOSIT' ELSE 'COLD' END AS address_role,
         ((s_suppkey // 10) % 3 + 7) / 10.0::double AS confidence FROM supplier WHERE s_suppkey % 10 = 0""",
-    "outputs": f"""SELECT {_HEADER.format(k='l_orderkey')}, l_partkey * 10 + l_linenumber AS output_index, {_OWNER},
+    "outputs": f"""SELECT {_HEADER.format(k='l_orderkey')}, (l_partkey * 10 + l_linenumber) * 100000 + l_suppkey % 100000 AS output_index, {_OWNER},
         {_VALUE} AS value_sats, CASE WHEN l_orderkey % 50 = 0 THEN 1 ELSE 0 END AS coinbase FROM lineitem""",
-    "inputs": f"""SELECT {_HEADER.format(k='l_orderkey + 1 + l_partkey % 7')}, l_partkey * 10 + l_linenumber AS input_index,
+    "inputs": f"""SELECT {_HEADER.format(k='l_orderkey + 1 + l_partkey % 7')}, (l_partkey * 10 + l_linenumber) * 100000 + l_suppkey % 100000 AS input_index,
         {_OWNER}, {_VALUE} AS value_sats, 'u' || l_orderkey AS prev_tx_hash,
-        l_partkey * 10 + l_linenumber AS prev_output_index
+        (l_partkey * 10 + l_linenumber) * 100000 + l_suppkey % 100000 AS prev_output_index
         FROM lineitem WHERE l_returnflag <> 'N' AND (l_orderkey + 1 + l_partkey % 7) % 50 <> 0""",
     "utxs": f"""SELECT {_HEADER.format(k='o_orderkey')}, CASE WHEN o_orderkey % 50 = 0 THEN 1 ELSE 0 END AS coinbase,
         coalesce(i.n, 0) AS input_count, coalesce(o.n, 0) AS output_count,

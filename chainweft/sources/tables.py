@@ -38,6 +38,11 @@ def _day(c: str) -> Column:
     return F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
 
 
+def _index() -> Column:
+    """Position of a line in its order: unique without ranking the order's lines."""
+    return (F.col("l_partkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_suppkey") % 100_000
+
+
 def _div(c: Column | str, n: int) -> Column:
     return F.floor((F.col(c) if isinstance(c, str) else c) / n).cast("bigint")
 
@@ -97,7 +102,7 @@ class Tables:
             minute.alias("block_number"),
             (minute * 60_000).alias("block_timestamp_unix_ms"),
             _div(key, 1440).alias("transaction_index"),
-            (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("event_index"),
+            _index().alias("event_index"),
             F.when(F.col("l_quantity") == 50, ZERO_ADDRESS)
             .otherwise(F.when(back, supplier).otherwise(customer))
             .alias("from_address"),
@@ -277,7 +282,7 @@ class Tables:
         key = F.col("l_orderkey")
         return self.raw("lineitem").select(
             *self._utxo_header(key),
-            (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("output_index"),
+            _index().alias("output_index"),
             *self._utxo_owner(),
             self._value().alias("value_sats"),
             (key % BLOCK_TXS == 0).cast("int").alias("coinbase"),
@@ -286,7 +291,7 @@ class Tables:
     def utxo_inputs(self) -> DataFrame:
         """Lines not marked N are spent one to seven orders later, never by a coinbase."""
         spender = F.col("l_orderkey") + 1 + F.col("l_partkey") % 7
-        index = F.col("l_partkey") * 10 + F.col("l_linenumber")
+        index = _index()
         return (
             self.raw("lineitem")
             .where((F.col("l_returnflag") != "N") & (spender % BLOCK_TXS != 0))
