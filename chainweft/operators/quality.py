@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chainweft.functions.ordered import with_running_total
 from chainweft.operators.series import missing_ranges
 from chainweft.operators.visibility import latest, per_network, violations
 from chainweft.sources.files import network_of_symbol
@@ -262,13 +263,11 @@ def pending_reviews(claims: DataFrame) -> DataFrame:
 
 
 def review_history(reviews: DataFrame) -> DataFrame:
-    """Decisions per claim, oldest first, with their order number."""
-    from chainweft.functions.ordered import top_per_group
-
-    return top_per_group(
-        reviews.where(F.col("subject_type") == "claim"), ["subject_id"],
-        [F.col("revision"), F.col("review_id")], 2**31 - 1, "step",
-    )
+    """Decisions per claim in order, numbered from the oldest."""
+    rows = reviews.where(F.col("subject_type") == "claim").withColumn("__one", F.lit(1))
+    return with_running_total(
+        rows, ["subject_id"], ["revision", "review_id"], "__one", "revision", 100_000, "step"
+    ).drop("__one")
 
 
 def metadata_backlog(discoveries: DataFrame, metadata: DataFrame, jobs: DataFrame, at: int) -> DataFrame:

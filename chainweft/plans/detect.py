@@ -64,16 +64,34 @@ def lead_suppression(t: Tables) -> DataFrame:
     ).agg(F.count("*").alias("transactions"))
 
 
+def funnel_edges(t: Tables) -> DataFrame:
+    """Every order pays its customer from its priority desk; filled orders go on to a service."""
+    order = t.raw("orders")
+    key = F.col("o_custkey")
+    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    base = [F.col("o_orderkey").alias("block_number"), name("t", F.col("o_orderkey")).alias("tx_hash")]
+    into = order.select(*base, name("desk", F.substring("o_orderpriority", 1, 1)).alias("from_address"),
+                        name("C", key).alias("to_address"))
+    on = order.where(F.col("o_orderstatus") == "F").select(
+        *base, name("C", key).alias("from_address"), name("S", key % 7 * 10).alias("to_address")
+    )
+    return into.unionByName(on)
+
+
 @query(
     "i04_deposit_wallets",
-    f"""WITH a AS ({_ACTIVITY}), s AS (SELECT from_address AS candidate_address, to_address AS anchor_address, entity_id, confidence AS ac, count(*) AS sweep_count
-        FROM edges JOIN exchanges x ON x.address = to_address WHERE from_address <> to_address AND confidence >= 0.8 AND address_role IN ('HOT', 'SWEEP', 'TREASURY', 'INTERNAL') GROUP BY 1, 2, 3, 4)
+    """WITH fe AS (SELECT 'desk' || substr(o_orderpriority, 1, 1) AS f, 'C' || o_custkey AS t FROM orders
+        UNION ALL SELECT 'C' || o_custkey, 'S' || (o_custkey % 7 * 10) FROM orders WHERE o_orderstatus = 'F'),
+    a AS (SELECT w AS address, count(*) FILTER (d = 'in') AS inbound_txs, count(*) FILTER (d = 'out') AS outbound_txs, count(DISTINCT p) FILTER (d = 'in') AS unique_senders,
+        count(DISTINCT p) FILTER (d = 'out') AS unique_receivers FROM (SELECT f AS w, t AS p, 'out' AS d FROM fe UNION ALL SELECT t, f, 'in' FROM fe) GROUP BY 1),
+    s AS (SELECT f AS candidate_address, t AS anchor_address, entity_id, confidence AS ac, count(*) AS sweep_count
+        FROM fe JOIN exchanges x ON x.address = t WHERE confidence >= 0.8 AND address_role IN ('HOT', 'SWEEP', 'TREASURY', 'INTERNAL') GROUP BY 1, 2, 3, 4)
     SELECT candidate_address, anchor_address, entity_id AS anchor_entity_id, sweep_count, unique_senders,
         round(least(0.55 + 0.15 * (least(unique_senders, 10) / 10.0) + 0.15 * (least(sweep_count, 5) / 5.0), 0.90, ac), 6) AS confidence
     FROM s JOIN a ON a.address = candidate_address WHERE inbound_txs >= 2 AND unique_senders >= 2 AND outbound_txs >= 1 AND unique_receivers <= 3""",
 )
 def deposit_wallets(t: Tables) -> DataFrame:
-    edges = t.edges()
+    edges = funnel_edges(t)
     found = clusters.deposit_wallets(
         activity.address_activity(edges), activity.anchor_sweeps(edges, t.exchanges())
     )
