@@ -193,6 +193,10 @@ ALLOWED = {
 }
 
 
+def _matches(pattern: str):
+    return lambda value: value.rlike(pattern)
+
+
 def registry_errors(registry: DataFrame) -> DataFrame:
     """Registry rows whose decoder or mapped events do not fit their protocol type."""
     fits_decoder, fits_events = F.lit(False), F.lit(False)
@@ -200,7 +204,7 @@ def registry_errors(registry: DataFrame) -> DataFrame:
     for kind, (decoders, pattern) in ALLOWED.items():
         here = F.col("protocol_type") == kind
         fits_decoder = F.when(here, F.col("decoder").isin(*decoders)).otherwise(fits_decoder)
-        fits_events = F.when(here, F.forall(events, lambda e, p=pattern: e.rlike(p))).otherwise(fits_events)
+        fits_events = F.when(here, F.forall(events, _matches(pattern))).otherwise(fits_events)
     reasons = F.array_compact(
         F.array(F.when(~fits_decoder, F.lit("incompatible_decoder")), F.when(~fits_events, F.lit("incompatible_event")))
     )

@@ -69,43 +69,57 @@ def _words(data: Column, start: Column, count: Column) -> Column:
     return F.transform(steps, lambda i: word(data, start + i))
 
 
-def _array_at(data: Column, offset: Column) -> tuple[Column, Column]:
-    """(fits, words) of a dynamic array at a byte offset."""
-    head = (offset / 32).cast("int")
-    whole = offset.isNotNull() & (offset % 32 == 0) & (head < word_count(data))
-    length = F.when(whole, small_word(word(data, head)))
-    fits = length.isNotNull() & (length <= word_count(data) - head - 1)
-    return F.coalesce(fits, F.lit(False)), _words(data, head + 1, F.when(fits, length.cast("int")).otherwise(0))
+def _exploded(df: DataFrame, items: Column, keep: list[str], names: tuple[str, str]) -> DataFrame:
+    """``posexplode`` that keeps the decoding steps apart.
+
+    Filtering on a decoded column would make the optimizer substitute every
+    step into the filter; filtering on the generator's output cannot.
+    """
+    position, item = names
+    rows = df.select(*keep, F.posexplode_outer(items).alias(position, item))
+    return rows.where(F.col(item).isNotNull())
 
 
 def erc1155_transfers(logs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(transfers, rejects) of single and batch multi-token logs."""
-    own = normal_logs(logs).where(_topic(0).isin(TRANSFER_SINGLE, TRANSFER_BATCH))
+    """(transfers, rejects) of single and batch multi-token logs.
+
+    A batch is two dynamic arrays: offsets, lengths and words are read in
+    steps, each from the columns of the step before.
+    """
     data = F.col("data")
-    small = F.length("data") / 64 < 1_000_000
-    ids_ok, ids = _array_at(data, F.when(small, small_word(word(data, 0))))
-    values_ok, values = _array_at(data, F.when(small, small_word(word(data, 1))))
-    batch = _topic(0) == TRANSFER_BATCH
-    pairs = (
-        F.when(batch, F.arrays_zip(ids.alias("id"), values.alias("value")))
-        .otherwise(F.array(F.struct(word(data, 0).alias("id"), word(data, 1).alias("value"))))
-    )
-    ends = word_address(_topic(2)).isNotNull() & word_address(_topic(3)).isNotNull()
-    good = (F.size("topics") == 4) & ends & F.when(
-        batch, ids_ok & values_ok & (F.size(ids) == F.size(values))
-    ).otherwise(F.length("data") == 128)
-    marked = own.withColumn("good", F.coalesce(good, F.lit(False)))
-    rows = marked.where("good").select(
-        "tx_hash", "log_index", F.col("address").alias("contract"),
-        word_address(_topic(2)).alias("from_address"), word_address(_topic(3)).alias("to_address"),
-        F.posexplode(pairs).alias("event_sub_index", "p"),
+    own = normal_logs(logs).where(_topic(0).isin(TRANSFER_SINGLE, TRANSFER_BATCH)).select(
+        "tx_hash", "log_index", F.col("address").alias("contract"), "data", (_topic(0) == TRANSFER_BATCH).alias("batch"),
+        F.size("topics").alias("topic_count"), word_address(_topic(2)).alias("from_address"),
+        word_address(_topic(3)).alias("to_address"), word_count(data).alias("w"),
+    )
+    step = own.withColumns({"o1": small_word(word(data, 0)), "o2": small_word(word(data, 1))})
+    step = step.withColumns(
+        {f"h{k}": F.when(F.col("batch") & (F.col(f"o{k}") % 32 == 0) & (F.col(f"o{k}") / 32 < F.col("w")),
+                         (F.col(f"o{k}") / 32).cast("int")) for k in (1, 2)}
+    )
+    step = step.withColumns({f"n{k}": small_word(word(data, F.col(f"h{k}"))) for k in (1, 2)})
+    whole = (
+        (F.col("n1") == F.col("n2")) & (F.col("n1") <= F.col("w") - F.col("h1") - 1)
+        & (F.col("n2") <= F.col("w") - F.col("h2") - 1)
+    )
+    ends = (F.col("topic_count") == 4) & F.col("from_address").isNotNull() & F.col("to_address").isNotNull()
+    good = F.coalesce(ends & F.when(F.col("batch"), whole).otherwise(F.length("data") == 128), F.lit(False))
+    step = step.withColumn("good", good)
+    n = F.when(F.col("batch") & F.col("good"), F.col("n1").cast("int")).otherwise(0)
+    step = step.withColumns({"ids": _words(data, F.col("h1") + 1, n), "vals": _words(data, F.col("h2") + 1, n)})
+    single = F.array(F.struct(word(data, 0).alias("id"), word(data, 1).alias("value")))
+    pairs = F.when(
+        F.col("good"),
+        F.when(F.col("batch"), F.arrays_zip(F.col("ids").alias("id"), F.col("vals").alias("value"))).otherwise(single),
     )
+    rows = _exploded(step, pairs, ["tx_hash", "log_index", "contract", "from_address", "to_address"], ("event_sub_index", "p"))
     transfers = rows.select(
         "tx_hash", "log_index", "contract", "from_address", "to_address",
         amount_of(F.col("p")["value"]).alias("amount_raw"), amount_of(F.col("p")["id"]).alias("token_id"),
         F.lit("erc1155").alias("standard"), "event_sub_index",
     )
-    rejects = marked.where(~F.col("good")).select("tx_hash", "log_index", F.lit("malformed_multi_token_log").alias("reason"))
+    reason = F.when(~F.col("good"), F.array(F.lit("malformed_multi_token_log")))
+    rejects = _exploded(step, reason, ["tx_hash", "log_index"], ("i", "reason")).drop("i")
     return transfers, rejects
 
 
@@ -358,69 +372,63 @@ def nft_orders(logs: DataFrame) -> DataFrame:
     A log is decoded only as a whole: fixed offsets, exact size, and every item
     consistent with its type.
     """
-    own = normal_logs(logs).where(
-        (_topic(0) == ORDER_FULFILLED) & (F.size("topics") == 3) & F.col("data").rlike("^([0-9a-f]{64})+$")
-    )
     data = F.col("data")
     at = lambda i: small_word(word(data, i))
-    head = own.withColumns(
-        {"offers": at(4), "w": word_count(data), "order_hash": word(data, 0),
-         "recipient": word_address(word(data, 1)), "offerer": word_address(_topic(1))}
-    ).where(
-        (at(2) == 128) & F.col("offers").isNotNull() & (F.col("offers") < F.col("w"))
-        & F.col("recipient").isNotNull() & (F.col("offerer") != ZERO_ADDRESS)
-        & ~F.col("order_hash").rlike("^0{64}$")
-    ).withColumn("start", F.col("offers") * 4 + 5)
-    head = head.where((at(3) == F.col("start") * 32) & (F.col("start") < F.col("w"))).withColumn(
-        "received", small_word(word(data, F.col("start")))
-    ).where(F.col("w") == F.col("start") + 1 + F.col("received") * 5)
-
-    def items(first: Column, step: int, n: Column) -> Column:
-        steps = F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1)).otherwise(F.array().cast("array<bigint>"))
-        return F.transform(
-            steps,
-            lambda i: F.struct(
-                small_word(word(data, first + i * step)).alias("kind"),
-                word_address(word(data, first + i * step + 1)).alias("token"),
-                word(data, first + i * step + 2).alias("identifier"),
-                word(data, first + i * step + 3).alias("amount"),
-                (word_address(word(data, first + i * step + 4)) if step == 5 else F.lit(None).cast("string")).alias("receiver"),
-            ),
-        )
-
-    rows = head.withColumns(
-        {"offer": items(F.lit(5), 4, F.col("offers")),
-         "consideration": items(F.col("start") + 1, 5, F.col("received"))}
-    )
-
-    def sound(x: Column) -> Column:
-        zero_id, zero_token = x["identifier"].rlike("^0{64}$"), x["token"] == ZERO_ADDRESS
-        ok = (
-            F.when(x["kind"] == 0, zero_token & zero_id).when(x["kind"] == 1, ~zero_token & zero_id)
-            .when(x["kind"] == 2, ~zero_token & (small_word(x["amount"]) == 1)).when(x["kind"] == 3, ~zero_token)
-            .otherwise(False)
-        )
-        return F.coalesce(ok & ~x["amount"].rlike("^0{64}$"), F.lit(False))
-
-    good = rows.where(
-        F.forall("offer", sound)
-        & F.forall("consideration", lambda x: sound(x) & x["receiver"].isNotNull())
-    )
-    sides = F.concat(
+    own = normal_logs(logs).where((_topic(0) == ORDER_FULFILLED) & (F.size("topics") == 3)).select(
+        "tx_hash", "log_index", "data", word_address(_topic(1)).alias("offerer"),
+        F.when((F.length("data") % 64 == 0) & data.rlike("^[0-9a-f]+$"), word_count(data)).alias("w"),
+    )
+    step = own.withColumns(
+        {"order_hash": word(data, 0), "recipient": word_address(word(data, 1)), "o2": at(2), "o3": at(3), "offers": at(4)}
+    )
+    start = F.when(F.col("offers") < F.col("w"), F.col("offers") * 4 + 5)
+    step = step.withColumn("start", start)
+    step = step.withColumn("received", F.when(F.col("start") < F.col("w"), small_word(word(data, F.col("start")))))
+    shaped = (
+        (F.col("o2") == 128) & (F.col("o3") == F.col("start") * 32)
+        & (F.col("w") == F.col("start") + 1 + F.col("received") * 5)
+        & F.col("recipient").isNotNull() & (F.col("offerer") != ZERO_ADDRESS) & (F.col("order_hash") != "0" * 64)
+    )
+    step = step.withColumn("shaped", F.coalesce(shaped, F.lit(False)))
+
+    def items(first: Column, size: int, count: str) -> Column:
+        n = F.when(F.col("shaped"), F.col(count)).otherwise(0).cast("int")
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        span = 64 * size
+        return F.transform(starts, lambda i: F.substring(data, ((first + i * size) * 64 + 1).cast("int"), F.lit(span)))
+
+    # items stay raw text until they are one row each
+    step = step.withColumns(
+        {"offer": items(F.lit(5), 4, "offers"), "consideration": items(F.col("start") + 1, 5, "received")}
+    )
+    both = F.concat(
         F.transform("offer", lambda x: F.struct(F.lit("offer").alias("side"), x.alias("x"))),
         F.transform("consideration", lambda x: F.struct(F.lit("consideration").alias("side"), x.alias("x"))),
     )
-    one = good.select(
-        "tx_hash", "log_index", F.concat(F.lit("0x"), "order_hash").alias("order_hash"), "offerer", "recipient",
-        F.posexplode(sides).alias("item_index", "s"),
+    one = _exploded(
+        step, both, ["tx_hash", "log_index", "order_hash", "offerer", "recipient"], ("item_index", "s")
+    )
+    raw = F.col("s")["x"]
+    parts = one.select(
+        "tx_hash", "log_index", F.concat(F.lit("0x"), "order_hash").alias("order_hash"), "offerer", "recipient", "item_index",
+        F.col("s")["side"].alias("side"), small_word(word(raw, 0)).alias("kind"), word_address(word(raw, 1)).alias("token"),
+        word(raw, 2).alias("id_word"), word(raw, 3).alias("amount_word"),
+        F.when(F.col("s")["side"] == "consideration", word_address(word(raw, 4))).alias("item_recipient"),
     )
+    zero_id, zero_token = F.col("id_word") == "0" * 64, F.col("token") == ZERO_ADDRESS
+    sound = (
+        F.when(F.col("kind") == 0, zero_token & zero_id).when(F.col("kind") == 1, ~zero_token & zero_id)
+        .when(F.col("kind") == 2, ~zero_token & (F.col("amount_word") == "0" * 63 + "1"))
+        .when(F.col("kind") == 3, ~zero_token).otherwise(False)
+    ) & (F.col("amount_word") != "0" * 64) & ((F.col("side") == "offer") | F.col("item_recipient").isNotNull())
+    marked = parts.withColumn("sound", F.coalesce(sound, F.lit(False)).cast("int"))
+    # an order counts only when all its items do
+    whole = marked.groupBy("tx_hash", "log_index").agg(F.min("sound").alias("all_sound"))
     kinds = F.array(*[F.lit(k) for k in ITEM_TYPES])
-    item = F.col("s")["x"]
-    return one.select(
-        "tx_hash", "log_index", "order_hash", "offerer", "recipient", "item_index", F.col("s")["side"].alias("side"),
-        F.get(kinds, item["kind"].cast("int")).alias("item_type"), item["token"].alias("token"),
-        amount_of(item["identifier"]).alias("identifier"), amount_of(item["amount"]).alias("amount_raw"),
-        item["receiver"].alias("item_recipient"),
+    return marked.join(whole.where(F.col("all_sound") == 1), ["tx_hash", "log_index"], "left_semi").select(
+        "tx_hash", "log_index", "order_hash", "offerer", "recipient", "item_index", "side",
+        F.get(kinds, F.col("kind").cast("int")).alias("item_type"), "token", amount_of(F.col("id_word")).alias("identifier"),
+        amount_of(F.col("amount_word")).alias("amount_raw"), "item_recipient",
     )
 
 
