@@ -1,36 +1,51 @@
 """Exact arithmetic on amounts wider than ``decimal(38, 0)``.
 
 Raw amounts are decimal strings of up to 78 digits (256 bits); sums can be
-longer.  An amount is split into nine 9-digit limbs held as ``bigint``, the
-limbs are summed on their own (ordinary partial aggregation, whole-stage
-codegen) and one carry pass turns the limb sums back into a decimal string.
-Nine digits leave room for about 9e9 addends per group before a limb sum
-overflows, and ANSI mode raises rather than wraps if that is ever passed.
+longer.  An amount is cut from the right into limbs of 27 digits held as
+``decimal(27, 0)``; the limbs are summed on their own (ordinary partial
+aggregation) and one carry pass turns the limb sums back into a decimal
+string.  Spark widens the sum to ``decimal(37, 0)``, room for 1e10 addends per
+group, and ANSI mode raises rather than wraps beyond that.  Upper limbs of
+short amounts are null and cost the sum nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DIGITS = 9
-LIMBS = 9
-BASE = 10**DIGITS
+DIGITS = 27
+LIMBS = 3
 WIDTH = DIGITS * LIMBS
+BASE = 10**DIGITS
 LIFT = 4 * 10**9
 
 
+def _number(value: int) -> Column:
+    return F.lit(Decimal(value))
+
+
 def padded(amount: Column) -> Column:
     """Fixed-width form: comparing two padded amounts compares their values."""
     return F.lpad(amount, WIDTH, "0")
 
 
 def limbs(amount: Column) -> list[Column]:
-    """Most significant limb first; null amounts give null limbs."""
-    text = padded(amount)
-    return [F.substring(text, 1 + i * DIGITS, DIGITS).cast("bigint") for i in range(LIMBS)]
+    """Most significant limb first; a limb the amount does not reach is null."""
+    kind = f"decimal({DIGITS},0)"
+    size = F.length(amount)
+    low = F.right(amount, F.lit(DIGITS)).cast(kind)
+    middle = F.when(size > DIGITS, F.right(F.left(amount, size - DIGITS), F.lit(DIGITS)).cast(kind))
+    high = F.when(size > 2 * DIGITS, F.left(amount, size - 2 * DIGITS).cast(kind))
+    return [high, middle, low]
+
+
+def whole_limbs(amount: Column) -> list[Column]:
+    """Limbs with zero where the amount does not reach, for row-level arithmetic."""
+    return [F.coalesce(limb, _number(0)) for limb in limbs(amount)]
 
 
 def _floor_div(value: Column) -> Column:
@@ -39,7 +54,7 @@ def _floor_div(value: Column) -> Column:
     ``div`` truncates, so the value is first lifted above zero.  Mentioning the
     value twice would double the carry expression at every limb.
     """
-    return F.call_function("div", value + F.lit(LIFT * BASE), F.lit(BASE)) - F.lit(LIFT)
+    return F.call_function("div", value + _number(LIFT * BASE), _number(BASE)) - F.lit(LIFT)
 
 
 def _carried(parts: Sequence[Column]) -> tuple[Column, list[Column]]:
@@ -47,34 +62,18 @@ def _carried(parts: Sequence[Column]) -> tuple[Column, list[Column]]:
     out: list[Column] = []
     carry = F.lit(0).cast("bigint")
     for part in reversed(list(parts)):
-        total = part + carry
-        out.append(F.pmod(total, F.lit(BASE)))
+        total = part.cast("decimal(37,0)") + carry.cast("decimal(20,0)")
+        out.append(F.pmod(total, _number(BASE)))
         carry = _floor_div(total)
     return carry, out[::-1]
 
 
 def _text(parts: Sequence[Column]) -> Column:
-    digits = F.concat(*[F.lpad(p.cast("string"), DIGITS, "0") for p in parts])
+    digits = F.concat(*[F.lpad(p.cast(f"decimal({DIGITS},0)").cast("string"), DIGITS, "0") for p in parts])
     stripped = F.ltrim(digits, F.lit("0"))
     return F.when(stripped == "", F.lit("0")).otherwise(stripped)
 
 
-def split(amount: Column, prefix: str) -> list[Column]:
-    """Limb columns named ``<prefix>0`` .. for use before an aggregation."""
-    return [limb.alias(f"{prefix}{i}") for i, limb in enumerate(limbs(amount))]
-
-
-def sums(prefix: str, keep: Column | None = None) -> list[Column]:
-    """Limb sums over columns made by :func:`split`; ``keep`` restricts the rows."""
-    out = []
-    for i in range(LIMBS):
-        value = F.col(f"{prefix}{i}")
-        if keep is not None:
-            value = F.when(keep, value)
-        out.append(F.coalesce(F.sum(value), F.lit(0)))
-    return out
-
-
 def joined(parts: Sequence[Column]) -> Column:
     """Limb sums of non-negative addends back to one decimal string."""
     _, digits = _carried(parts)
@@ -91,13 +90,13 @@ def joined_signed(parts: Sequence[Column]) -> Column:
 def total(amount: Column, keep: Column | None = None) -> Column:
     """One-expression exact sum of raw amounts (``sumIf`` when ``keep`` is given)."""
     parts = limbs(amount if keep is None else F.when(keep, amount))
-    return joined([F.coalesce(F.sum(p), F.lit(0)) for p in parts])
+    return joined([F.coalesce(F.sum(p), _number(0)) for p in parts])
 
 
 def net(plus: Column, minus: Column) -> Column:
     """Exact signed ``sum(plus) - sum(minus)``; nulls count as nothing."""
     up, down = limbs(plus), limbs(minus)
-    zero = F.lit(0)
+    zero = _number(0)
     return joined_signed(
         [F.coalesce(F.sum(u), zero) - F.coalesce(F.sum(d), zero) for u, d in zip(up, down)]
     )
@@ -110,6 +109,11 @@ def sign(amount: Column) -> Column:
     )
 
 
+HEX_DIGITS = 9
+HEX_LIMBS = 9
+HEX_BASE = 10**HEX_DIGITS
+
+
 def from_hex(word: Column) -> Column:
     """A 64-digit hex word (no prefix) as a decimal string.
 
@@ -120,7 +124,7 @@ def from_hex(word: Column) -> Column:
         F.sequence(F.lit(0), F.lit(15)),
         lambda i: F.conv(F.substring(word, i * 4 + F.lit(1), F.lit(4)), 16, 10).cast("bigint"),
     )
-    start = F.array_repeat(F.lit(0).cast("bigint"), LIMBS)
+    start = F.array_repeat(F.lit(0).cast("bigint"), HEX_LIMBS)
 
     def shift(acc: Column, chunk: Column) -> Column:
         # least significant limb first inside the fold
@@ -128,9 +132,9 @@ def from_hex(word: Column) -> Column:
             acc,
             F.struct(chunk.alias("carry"), F.array().cast("array<bigint>").alias("out")),
             lambda s, limb: F.struct(
-                _floor_div(limb * F.lit(65536) + s["carry"]).alias("carry"),
+                F.call_function("div", limb * F.lit(65536) + s["carry"], F.lit(HEX_BASE)).alias("carry"),
                 F.concat(
-                    s["out"], F.array(F.pmod(limb * F.lit(65536) + s["carry"], F.lit(BASE)))
+                    s["out"], F.array(F.pmod(limb * F.lit(65536) + s["carry"], F.lit(HEX_BASE)))
                 ).alias("out"),
             ),
         )
@@ -138,7 +142,7 @@ def from_hex(word: Column) -> Column:
 
     folded = F.aggregate(chunks, start, shift)
     text = F.array_join(
-        F.transform(F.reverse(folded), lambda v: F.lpad(v.cast("string"), DIGITS, "0")), ""
+        F.transform(F.reverse(folded), lambda v: F.lpad(v.cast("string"), HEX_DIGITS, "0")), ""
     )
     stripped = F.ltrim(text, F.lit("0"))
     return F.when(stripped == "", F.lit("0")).otherwise(stripped)

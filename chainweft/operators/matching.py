@@ -449,7 +449,7 @@ def _scaled_up(amount: Column, places: Column) -> Column:
 
 def _times(amount: Column, factor: int) -> Column:
     """``amount * factor`` for a small factor, exactly, by limbs."""
-    return wide.joined([limb * F.lit(factor) for limb in wide.limbs(amount)])
+    return wide.joined([limb * F.lit(factor) for limb in wide.whole_limbs(amount)])
 
 
 def match_bridge(
