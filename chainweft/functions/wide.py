@@ -74,17 +74,35 @@ def _text(parts: Sequence[Column]) -> Column:
     return F.when(stripped == "", F.lit("0")).otherwise(stripped)
 
 
+def _single(parts: Sequence[Column]) -> tuple[Column, Column]:
+    """(the sum sits in the lowest limb alone, that limb)."""
+    *upper, low = parts
+    alone = F.abs(low) < _number(BASE)
+    for part in upper:
+        alone = alone & (part == 0)
+    return alone, low
+
+
 def joined(parts: Sequence[Column]) -> Column:
-    """Limb sums of non-negative addends back to one decimal string."""
+    """Limb sums of non-negative addends back to one decimal string.
+
+    Sums below 27 digits, nearly all in practice, skip the carry pass.
+    """
+    alone, low = _single(parts)
     _, digits = _carried(parts)
-    return _text(digits)
+    return F.when(alone, low.cast("string")).otherwise(_text(digits))
 
 
 def joined_signed(parts: Sequence[Column]) -> Column:
     """Limb sums that may be negative overall; the sign is part of the string."""
+    alone, low = _single(parts)
     carry, digits = _carried(parts)
     _, negated = _carried([-p for p in parts])
-    return F.when(carry < 0, F.concat(F.lit("-"), _text(negated))).otherwise(_text(digits))
+    return (
+        F.when(alone, low.cast("string"))
+        .when(carry < 0, F.concat(F.lit("-"), _text(negated)))
+        .otherwise(_text(digits))
+    )
 
 
 def total(amount: Column, keep: Column | None = None) -> Column:
