@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainweft.functions.ids import DAY_MS
@@ -90,10 +90,14 @@ def page(edges: DataFrame, after: Sequence[object] | None, n: int,
         types = dict(edges.dtypes)
         there = F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(position, after)])
         df = df.where(here < there)
-    rows = df.orderBy(*[c.desc() for c in columns]).limit(n + 1)
-    # n + 1 rows at most: the lookahead row only tells whether more exist.
-    more = F.broadcast(rows.agg((F.count("*") > n).alias("has_more")))
-    return rows.orderBy(*[c.desc() for c in columns]).limit(n).join(more)
+    newest = [c.desc() for c in columns]
+    # The window sees n + 1 rows at most; the last one only tells whether more exist.
+    rows = df.orderBy(*newest).limit(n + 1)
+    whole = Window.partitionBy(F.lit(1))
+    marked = rows.withColumn("has_more", F.count("*").over(whole) > n).withColumn(
+        "__row", F.row_number().over(whole.orderBy(*newest))
+    )
+    return marked.where(F.col("__row") <= n).drop("__row")
 
 
 def pages(edges: DataFrame, n: int, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -23,22 +23,24 @@ def seed_wallets(t: Tables) -> DataFrame:
     return current_claims(t).where(F.col("is_exposure_seed") == 1).select("address", "claim_id", "risk_level")
 
 
-def _pairs(t: Tables) -> DataFrame:
-    """Seed suppliers paired with the exchange suppliers of their nation."""
-    supplier = t.raw("supplier").select(
-        F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("address"), "s_nationkey"
+def _asked(t: Tables) -> DataFrame:
+    """Each seed supplier with the exchange three keys on, where there is one."""
+    key = F.regexp_extract("address", "([0-9]+)$", 1).cast("bigint")
+    near = seed_wallets(t).select(key.alias("a"), (key + 3).alias("b")).withColumn(
+        "address", F.concat(F.lit("S"), F.col("b").cast("string"))
     )
-    seeds = supplier.join(seed_wallets(t).select("address"), "address", "left_semi")
-    exchanges = supplier.join(t.exchanges().select("address"), "address", "left_semi")
-    return seeds.withColumnRenamed("address", "source").join(
-        exchanges.withColumnRenamed("address", "target"), "s_nationkey"
-    ).select("source", "target")
+    return near.join(t.exchanges().select("address"), "address", "left_semi").select("a", "b")
+
+
+def _pairs(t: Tables) -> DataFrame:
+    name = lambda c: F.concat(F.lit("S"), F.col(c).cast("string"))
+    return _asked(t).select(name("a").alias("source"), name("b").alias("target"))
 
 
 _CUR = "cur AS (SELECT * FROM claims QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY revision DESC) = 1), seed AS (SELECT * FROM cur WHERE is_exposure_seed = 1)"
-_PAIRS = f"""{_CUR}, sup AS (SELECT 'S' || s_suppkey AS address, s_nationkey FROM supplier),
-    pairs AS (SELECT a.address AS source, b.address AS target FROM sup a JOIN sup b USING (s_nationkey)
-        WHERE a.address IN (SELECT address FROM seed) AND b.address IN (SELECT address FROM exchanges) AND a.address <> b.address)"""
+_PAIRS = f"""{_CUR}, asked AS (SELECT cast(substr(address, 2) AS bigint) AS a, cast(substr(address, 2) AS bigint) + 3 AS b FROM seed
+        WHERE 'S' || (cast(substr(address, 2) AS bigint) + 3) IN (SELECT address FROM exchanges)),
+    pairs AS (SELECT 'S' || a AS source, 'S' || b AS target FROM asked)"""
 
 
 @query(
@@ -129,20 +131,14 @@ def utxo_claims(t: Tables) -> DataFrame:
 
 @query(
     "h04_typed_paths",
-    f"""WITH {_CUR}, p AS (SELECT {_UNAME.format(k="cast(substr(address, 2) AS bigint)")} AS source FROM seed),
-    i AS (SELECT DISTINCT address AS source, tx_hash, input_index FROM inputs WHERE address IN (SELECT source FROM p)),
-    x AS (SELECT {_UNAME.format(k="cast(substr(address, 2) AS bigint)")} AS target FROM exchanges)
-    SELECT i.source, x.target, 2 AS hop_count, count(*) AS paths FROM i JOIN outputs o USING (tx_hash) JOIN x ON o.address = x.target WHERE i.source <> x.target GROUP BY 1, 2""",
+    f"""WITH {_PAIRS}, up AS (SELECT {_UNAME.format(k="a")} AS source, {_UNAME.format(k="b")} AS target FROM asked)
+    SELECT source, target, 2 AS hop_count, count(*) AS paths FROM up JOIN inputs i ON i.address = source JOIN outputs o ON o.tx_hash = i.tx_hash AND o.address = target GROUP BY 1, 2""",
 )
 def typed_paths(t: Tables) -> DataFrame:
-    """Address to transaction to address, for every seed and exchange."""
+    """Address to transaction to address, for every asked pair."""
     edges = matching.utxo_edges(t.utxo_inputs(), t.utxo_outputs())
-    key = F.regexp_extract("address", "([0-9]+)$", 1).cast("bigint")
-    sources = seed_wallets(t).select(_utxo_name(key).alias("source")).where(F.col("source").isNotNull())
-    targets = t.exchanges().select(_utxo_name(key).alias("target")).where(F.col("target").isNotNull())
-    # label lists on both sides: the product is the number of asked pairs
-    asked = sources.withColumn("k", F.lit(1)).join(targets.withColumn("k", F.lit(1)), "k").drop("k")
-    found = op.typed_paths(edges, asked, 2)
+    asked = _asked(t).select(_utxo_name(F.col("a")).alias("source"), _utxo_name(F.col("b")).alias("target"))
+    found = op.typed_paths(edges, asked.dropna(), 2)
     return found.groupBy("source", "target", "hop_count").agg(F.count("*").alias("paths"))
 
 

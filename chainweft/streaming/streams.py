@@ -254,16 +254,16 @@ def stream_clusters(edges: DataFrame, sink: Sink, discover: Callable[[DataFrame]
     touches plus the overlap, so a pattern across a batch border is found.
     """
     schema = edges.schema
-    bucket = F.floor(F.col("block_number") / width).cast("bigint")
 
     def each(batch: DataFrame, batch_id: int) -> None:
         sink.write(batch, batch_id, "edges")
-        span = batch.agg(F.min(bucket).alias("a"), F.max(bucket).alias("b"))
+        # two numbers, so that the range reaches the scan as a filter
+        low, high = batch.agg(F.min("block_number"), F.max("block_number")).first()
+        if low is None:
+            return
+        start = (low // width - (overlap + width - 1) // width) * width
         stored = sink.read(schema, "edges").drop("batch")
-        # one row: the block range of the batch
-        touched = stored.join(
-            F.broadcast(span), (bucket >= F.col("a") - (overlap + width - 1) // width) & (bucket <= F.col("b"))
-        ).drop("a", "b")
+        touched = stored.where(F.col("block_number").between(start, high // width * width + width - 1))
         sink.write(discover(touched), batch_id)
 
     run_available(edges, sink, each)
