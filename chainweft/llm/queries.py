@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chainweft.llm import decontaminate, mixing, neardup, quality, tokens
+from chainweft.llm import decontaminate, mixing, neardup, quality, tokens, toxicity
 from chainweft.llm.text import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +31,16 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("op1_noisy_channel_toxicity")
+def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    grams = toxicity.language_model(documents)
+    patterns, base = toxicity.train(documents, table(spark, folder, "labels"), grams)
+    return toxicity.scored(documents, grams, patterns, base, "score").select(
+        "doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 @query(
     "op2_minhash_multi_index",
     f"""WITH RECURSIVE words AS ({_WORDS.format(id='doc_id', table='documents')}),
@@ -47,8 +58,6 @@ def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op7_quality_ftrl")
 def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     documents = table(spark, folder, "documents").select("doc_id", "text")
     weights = quality.train(documents, table(spark, folder, "labels"))
     return quality.scored(documents, weights, "score").select(
