@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainweft.llm import decontaminate, mixing, neardup, quality, tokens, toxicity
+from chainweft.llm import decontaminate, langid, mixing, neardup, quality, tokens, toxicity, urls
 from chainweft.llm.text import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,20 @@ def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"), percent=85)
 
 
+@query("op3_ppm_language")
+def languages(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    trees = langid.train(documents)
+    return langid.identified(documents.select("doc_id", "text"), trees).select(
+        "doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score")
+    )
+
+
+@query("op6_url_association_rules")
+def url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judged(table(spark, folder, "pages"))
+
+
 @query("op7_quality_ftrl")
 def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
