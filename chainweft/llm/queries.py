@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainweft.llm import decontaminate, langid, mixing, neardup, quality, tokens, toxicity, urls
+from chainweft.llm import decontaminate, langid, licences, mixing, neardup, quality, tokens, topk, toxicity, urls
 from chainweft.llm.text import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,11 @@ def languages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op4_licence_inheritance")
+def licences_of(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scanned_documents(table(spark, folder, "documents"))
+
+
 @query("op6_url_association_rules")
 def url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judged(table(spark, folder, "pages"))
@@ -102,3 +107,21 @@ def mix(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_token_ids")
 def token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.digests(tokens.written(table(spark, folder, "documents")))
+
+
+_BIT = "(coalesce({v}[{i}] > 0 AND NOT isnan({v}[{i}]), false))"
+
+
+@query(
+    "op5_multi_index_topk",
+    f"""WITH v AS (SELECT vec_id AS id, list_transform(range(1, 65), lambda i: {_BIT.format(v='embedding', i='i')}) AS c FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+    d AS (SELECT a.id AS query_id, b.id AS neighbour_id,
+        list_sum(list_transform(range(1, 65), lambda i: CASE WHEN a.c[i] <> b.c[i] THEN 1 ELSE 0 END))::INT AS distance
+        FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 50 = 0)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id)::INT AS rank, neighbour_id, distance
+    FROM d QUALIFY rank <= 10""",
+)
+def nearest_codes(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return topk.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=10)
