@@ -9,7 +9,7 @@ chunk up to its allowance. The allowed errors are enumerated as keys (each way t
 allowed component), so an equi-join on keys meets every pair within the radius.
 
 A bucket (the units of one key) is never expanded into all its pairs. Each unit is first
-compared with three leaders of its bucket. What these links join is one component, and only
+compared with two or three leaders of its bucket. What these links join is one component, and only
 buckets that still hold several components are looked at again: small ones pair by pair, large
 ones as a grid of blocks of bounded size in which intersections are counted by inverted lists.
 Links are confirmed on full shingle sets, never on signatures.
@@ -173,25 +173,24 @@ def _blocks(percent: int):  # noqa: ANN202
 def components(links: DataFrame) -> DataFrame:
     """``v`` and the least vertex ``comp`` that it reaches, for every vertex of ``links`` (``a``, ``b``).
 
-    Each round takes the least label of the neighbours, then the label of that label; stars end
-    after two rounds, chains in about the logarithm of their length.
+    Each round every vertex moves to its least neighbour, and the links are drawn anew between
+    what the vertices have become; links within one are gone. Stars end after a round or two,
+    chains in about the logarithm of their length, and each round has fewer links than the last.
     """
-    both = materialise(
-        links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(),
-        "edges",
-    )
-    labels = materialise(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("comp")).withColumn("comp", F.least("v", "comp")), "labels")
-    while True:
-        around = both.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("comp").alias("near"))
-        lower = labels.join(around, F.col("v") == F.col("a")).select("v", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        on = labels.select(F.col("v").alias("w"), F.col("comp").alias("next"))
-        jumped = materialise(
-            lower.join(on, F.col("comp") == F.col("w"), "left").select("v", "was", F.least("comp", F.coalesce("next", "comp")).alias("comp")),
-            "labels",
-        )
-        if jumped.where("comp <> was").isEmpty():
-            return jumped.select("v", "comp")
-        labels = jumped.select("v", "comp")
+    open_ = materialise(links.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).where("x <> y").distinct(), "edges")
+    labels = None
+    while labels is None or not open_.isEmpty():
+        ends = open_.select("y", "x").unionByName(open_.select(F.col("x").alias("y"), F.col("y").alias("x")))
+        moves = materialise(ends.groupBy(F.col("y").alias("w")).agg(F.min("x").alias("to")).select("w", F.least("w", "to").alias("to")), "moves")
+        if labels is None:
+            labels = moves.select(F.col("w").alias("v"), F.col("to").alias("comp"))
+        else:
+            labels = materialise(labels.join(moves, F.col("comp") == F.col("w"), "left").select("v", F.coalesce("to", "comp").alias("comp")), "labels")
+        x = moves.select(F.col("w").alias("x"), F.col("to").alias("to_x"))
+        y = moves.select(F.col("w").alias("y"), F.col("to").alias("to_y"))
+        moved = open_.join(x, "x").join(y, "y").where("to_x <> to_y")
+        open_ = materialise(moved.select(F.least("to_x", "to_y").alias("x"), F.greatest("to_x", "to_y").alias("y")).distinct(), "edges")
+    return labels
 
 
 def _pairs_within(pairs: DataFrame, units: DataFrame) -> DataFrame:
@@ -253,7 +252,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     lead = keyed.groupBy("key").agg(
         F.count("*").alias("members"), F.min("unit").alias("leader"),
         F.min_by("unit", F.xxhash64("unit", F.lit(1))).alias("second"), F.min_by("unit", F.xxhash64("unit", "key")).alias("third"),
-    ).where("members > 1")
+    ).where("members > 1").withColumn("third", F.expr(f"if(members <= {SMALL_BUCKET}, third, leader)"))
     buckets = materialise(keyed.join(lead, "key"), "buckets")
     tried = (
         buckets.select("unit", F.explode(F.array("leader", "second", "third")).alias("other")).where("unit <> other")
@@ -283,7 +282,14 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     )
     more = _links(_pairs_within(rest, units), sets, percent)
     hot = _in_blocks(open_.where(f"members > {SMALL_BUCKET}"), sets, percent)
-    found = components(links.unionByName(more).unionByName(hot))
+    # what the first links join is one vertex by now
+    comp_a = first.select(F.col("v").alias("a"), F.col("comp").alias("comp_a"))
+    comp_b = first.select(F.col("v").alias("b"), F.col("comp").alias("comp_b"))
+    late = more.unionByName(hot).join(comp_a, "a", "left").join(comp_b, "b", "left")
+    again = components(late.select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")))
+    found = materialise(first.unionByName(again.select("v", F.col("v").alias("comp"))).groupBy("v").agg(F.min("comp").alias("comp")), "first")
+    again = again.select(F.col("v").alias("w"), F.col("comp").alias("last"))
+    found = found.join(again, F.col("comp") == F.col("w"), "left").select("v", F.coalesce("last", "comp").alias("comp"))
 
     of_unit = one.join(units.select("digest", "unit"), "digest", "left")
     result = of_unit.join(found.withColumnRenamed("v", "unit"), "unit", "left").select(
