@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainweft.llm.text import WordHashes, mixed, shingles, words
+from chainweft.llm.text import WordHashes, mixed, shingles, sliced, words
 from chainweft.session import materialise
 
 HASHES = 64
@@ -100,7 +100,7 @@ def _searched(key_bits, own_bits, uppers: list[int]):  # noqa: ANN001, ANN202
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = pa.list_(pa.int64())
-        for batch in batches:
+        for batch in sliced(batches):
             rows, keys, own = [], [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
                 runs = _runs(text)

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainweft.llm.text import held_out
+from chainweft.llm.text import held_out, sliced
 
 ORDER = 4
 #: The most (context, byte) counts of all languages together, the most frequent first.
@@ -62,7 +62,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())], ["lang", "window", "n"]
         )
 
-    for batch in batches:
+    for batch in sliced(batches):
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             seen[lang].update(_words(text or ""))
         if sum(map(len, seen.values())) > 300_000:

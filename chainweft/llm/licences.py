@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chainweft.llm.text import sliced
 from chainweft.session import materialise
 
 #: Notices as they stand in headers and at the head of licence files.
@@ -54,7 +55,7 @@ def terms(text: str) -> list[str]:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Files of a partition, and in how many of them each template word is."""
     files, seen = 0, Counter()
-    for batch in batches:
+    for batch in sliced(batches):
         files += batch.num_rows
         for text in batch.column("text").to_pylist():
             pieces = set((text or "").lower().split())

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainweft.llm.text import WordHashes, mixed, shingles, words
+from chainweft.llm.text import WordHashes, batches_of, mixed, shingles, sliced, words
 from chainweft.session import materialise
 
 COMPONENTS, CHUNK, RADIUS = 64, 4, 24
@@ -82,7 +82,7 @@ def _digest(own: np.ndarray) -> bytes:
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         n, digest, sig = [], [], []
         for text in batch.column("text").to_pylist():
             own = shingle_set(text)
@@ -96,7 +96,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         if batch.num_rows:
             own = keys(np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, COMPONENTS))
             unit = np.repeat(batch.column("unit").to_numpy(), own.shape[1])
@@ -104,7 +104,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         unit, found = [], []
         for u, digest, text in zip(*(batch.column(k).to_pylist() for k in ("unit", "digest", "text")), strict=True):
             own = shingle_set(text)
@@ -124,7 +124,7 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirmed(percent: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             fits = []
             for x, y in zip(batch.column("own_a"), batch.column("own_b"), strict=True):
                 p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
@@ -241,6 +241,11 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     """
     if percent < 85:
         raise ValueError("the signature radius covers similarities of 85 percent or more")
+    with batches_of(documents.sparkSession, 1000):
+        return _joined(documents, percent)
+
+
+def _joined(documents: DataFrame, percent: int) -> DataFrame:
     text = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     prints = materialise(text.mapInArrow(_prints, "doc_id long, n long, digest binary, sig binary"), "prints")
     one = prints.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("digest", "n", "sig")).alias("p")).select("doc_id", "p.*")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainweft.llm.text import WordHashes, bounded_labels, held_out, mixed
+from chainweft.llm.text import CACHED_LENGTH, CACHED_WORDS, WordHashes, bounded_labels, held_out, mixed, sliced
 
 #: Size of the weight vector: n-grams are hashed into so many places.
 PLACES = 1 << 18
@@ -35,9 +35,7 @@ def _shape(word: bytes) -> bytes:
 class _Shapes(WordHashes):
     def __missing__(self, word: bytes) -> int:
         value = WordHashes.__missing__(_PLAIN, _shape(word))
-        if len(word) <= 64:
-            if len(self) >= 400_000:
-                self.clear()
+        if len(self) < CACHED_WORDS and len(word) <= CACHED_LENGTH:
             self[word] = value
         return value
 
@@ -94,7 +92,7 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_
     )
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             at, xs = [], []
             for text in batch.column("text").to_pylist():
                 places, values = features(text)

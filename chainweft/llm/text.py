@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from hashlib import blake2b
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words kept with their hash in a worker; beyond it the table starts anew.
-CACHED_WORDS = 400_000
-#: Longer words are hashed each time, so that the table stays small.
-CACHED_LENGTH = 64
-#: Texts are cut into Arrow batches of so many rows at most.
-BATCH_ROWS = 1000
+#: Words kept with their hash in a worker, the first to come; others are hashed each time.
+CACHED_WORDS, CACHED_LENGTH = 150_000, 32
+#: Rows that a worker turns into Python objects at once.
+SLICE_ROWS = 500
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``SLICE_ROWS`` at most, so that a worker stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
+
+
 def words(text: bytes | None) -> list[bytes]:
     """Words between ASCII white space, with A-Z in lower case; none for a null text."""
     return text.lower().split() if text else []
@@ -28,9 +36,7 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= CACHED_LENGTH:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
+        if len(self) < CACHED_WORDS and len(word) <= CACHED_LENGTH:
             self[word] = value
         return value
 
@@ -61,6 +67,18 @@ def shingles(hashes: np.ndarray, width: int = 5) -> np.ndarray:
     return mixed(out)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of ``rows`` at most for the jobs that run inside, for rows that hold large arrays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
     """Whether a document is kept from learning: crc32 of its id as text, modulo ``parts``."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))

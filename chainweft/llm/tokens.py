@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chainweft.llm.text import sliced
 from chainweft.session import shared_dir
 
 VOCABULARY = "word_bpe_49k.json"
@@ -82,22 +83,20 @@ def encode(text: bytes | None, path: str, end_id: int | None = END_ID) -> np.nda
 def _encoded(path: str, end_id: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row, at = TaskContext.get().partitionId(), 0, 0
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                piece = batch.slice(start, 500)
-                ids = [encode(text, path, end_id) for text in piece.column("text").to_pylist()]
-                n = np.array([len(x) for x in ids], np.int64)
-                offsets = np.append(0, np.cumsum(n))
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(ids)))
-                size = len(ids)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        piece.column("doc_id"), pa.array(np.full(size, part, np.int32)), pa.array(np.arange(row, row + size, dtype=np.int32)),
-                        pa.array(at + offsets[:-1]), pa.array(n.astype(np.int32)), lists,
-                    ],
-                    ["doc_id", "part", "row", "at", "n_tokens", "tokens"],
-                )
-                row, at = row + size, at + int(offsets[-1])
+        for piece in sliced(batches):
+            ids = [encode(text, path, end_id) for text in piece.column("text").to_pylist()]
+            n = np.array([len(x) for x in ids], np.int64)
+            offsets = np.append(0, np.cumsum(n))
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(ids)))
+            size = len(ids)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    piece.column("doc_id"), pa.array(np.full(size, part, np.int32)), pa.array(np.arange(row, row + size, dtype=np.int32)),
+                    pa.array(at + offsets[:-1]), pa.array(n.astype(np.int32)), lists,
+                ],
+                ["doc_id", "part", "row", "at", "n_tokens", "tokens"],
+            )
+            row, at = row + size, at + int(offsets[-1])
 
     return run
 
