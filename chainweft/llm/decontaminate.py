@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainweft.llm.text import WordHashes, mixed, shingles, sliced, words
+from chainweft.llm.text import WordHashes, batches_of, mixed, shingles, sliced, words
 from chainweft.session import materialise
 
 HASHES = 64
@@ -135,7 +135,7 @@ def contaminations(documents: DataFrame, benchmark: DataFrame, threshold: float
     spark = documents.sparkSession
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("item_id is not null")
     items = bench.mapInArrow(_items, "item_id long, upper int, own array<long>, keys array<long>")
-    items = materialise(items.groupBy("own").agg(F.min("item_id").alias("item_id"), F.min("upper").alias("upper"), F.min_by("keys", "item_id").alias("keys")), "items")
+    items = items.groupBy("own").agg(F.min("item_id").alias("item_id"), F.min("upper").alias("upper"), F.min_by("keys", "item_id").alias("keys"))
     uppers = sorted(r[0] for r in items.select("upper").distinct().collect())  # powers of two: a few
     text = documents.select(_ident().alias("ident"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     shape = "ident string, doc_id long, keys array<long>, hits array<long>"
@@ -145,7 +145,8 @@ def contaminations(documents: DataFrame, benchmark: DataFrame, threshold: float
         key_bits = spark.sparkContext.broadcast(_bitmap(items.select(F.explode("keys").alias("value"))))
         own_bits = spark.sparkContext.broadcast(_bitmap(items.select(F.explode("own").alias("value"))))
         found = text.mapInArrow(_searched(key_bits, own_bits, uppers), shape)
-    found = materialise(found, "windows")
+    with batches_of(spark, 1000):
+        found = materialise(found, "windows")
     pairs = (
         found.select("ident", F.explode("keys").alias("key"))
         .join(items.select("item_id", F.explode("keys").alias("key")), "key").select("ident", "item_id").distinct()

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainweft.llm import decontaminate, langid, licences, mixing, neardup, quality, tokens, topk, toxicity, urls
-from chainweft.llm.text import held_out, table
+from chainweft.llm.text import batches_of, held_out, table
+from chainweft.session import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,9 +37,11 @@ def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     grams = toxicity.language_model(documents)
     patterns, base = toxicity.train(documents, table(spark, folder, "labels"), grams)
-    return toxicity.scored(documents, grams, patterns, base, "score").select(
+    found = toxicity.scored(documents, grams, patterns, base, "score").select(
         "doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+    with batches_of(spark, 1000):
+        return materialise(found, "toxicity")
 
 
 @query(

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainweft.llm.text import sliced
+from chainweft.llm.text import batches_of, sliced
 from chainweft.session import shared_dir
 
 VOCABULARY = "word_bpe_49k.json"
@@ -112,7 +112,8 @@ def write(documents: DataFrame, to: str, path: str, end_id: int = END_ID) -> Non
     writer = ordered.mapInArrow(_encoded(path, end_id), SCHEMA).write
     for key, value in OPTIONS.items():
         writer = writer.option(key, value)
-    writer.parquet(to)
+    with batches_of(documents.sparkSession, 1000):
+        writer.parquet(to)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
