@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,12 @@ from chainweft.session import shared_dir
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 5_000
-#: Ids of so many pieces are kept in a worker; longer pieces are encoded each time.
-CACHED_PIECES, CACHED_LENGTH = 200_000, 48
+#: A special token of the vocabulary.
+PARTING = "<|startoftext|>"
+#: Pieces that a worker keeps with their ids, the first to come up to a length.
+CACHED_PIECES, CACHED_LENGTH = 450_000, 48
+#: Signs that often end a word.
+MARKS = (b".", b",")
 
 SCHEMA = "doc_id long, part int, row int, at long, n_tokens int, tokens array<int>"
 OPTIONS = {
@@ -46,45 +50,73 @@ OPTIONS = {
 }
 
 
-class _Pieces(dict):
-    """Ids of the pieces of text between ASCII white space.
+class _Pieces:
+    """Ids of pieces of text between ASCII white space, as little-endian 32-bit integers.
 
     The tokenizer drops white space and no token spans it, so the ids of a text are those of its
-    pieces in a row; each piece is encoded once for a worker.
+    pieces in a row. It reads A-Z as lower case, too, unless they are part of a special token.
+    A worker keeps the first ``CACHED_PIECES``; the new ones of some rows are encoded together.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.encode = Tokenizer.from_file(path).encode
-
-    def __missing__(self, piece: bytes) -> list[int]:
-        ids = self.encode(piece.decode(), add_special_tokens=False).ids
-        if len(piece) <= CACHED_LENGTH:
-            if len(self) >= CACHED_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
+        self.tokenizer = Tokenizer.from_file(path)
+        self.parting = self.tokenizer.token_to_id(PARTING)
+        self.known: dict[bytes, bytes] = {}
+
+    def _new(self, pieces: list[bytes]) -> None:
+        """Encode pieces as one text, parted by a special token that none of them holds."""
+        parted = f" {PARTING} ".join([p.decode() for p in pieces])
+        ids = np.array(self.tokenizer.encode_batch_fast([parted], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.append(np.flatnonzero(ids == self.parting), len(ids)) * 4
+        own, start = ids.tobytes(), 0
+        for piece, end in zip(pieces, ends.tolist(), strict=True):
+            self.known[piece] = own[start:end]
+            start = end + 4
+
+    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        known = self.known
+        rows = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
+        new = set(filterfalse(known.__contains__, chain.from_iterable(rows)))
+        alone = [p for p in new if b"<|" in p or len(p) > CACHED_LENGTH]
+        new.difference_update(alone)
+        # a sign after letters is a token of its own
+        closed = [p for p in new if p[-1:] in MARKS and p[:-1].decode().isalpha()]
+        together = list(new.difference(closed).union(p[:-1] for p in closed if p[:-1] not in known))
+        for start in range(0, len(together), 1000):
+            self._new(together[start : start + 1000])
+        marks = {m: self._ids(m) for m in MARKS}
+        for piece in closed:
+            known[piece] = known[piece[:-1]] + marks[piece[-1:]]
+        for piece in alone:
+            known[piece] = self._ids(piece)
+        out = [np.frombuffer(b"".join(map(known.__getitem__, row)), "<u4").view(np.int32) for row in rows]
+        extra = len(known) - CACHED_PIECES
+        for piece in [*alone, *(islice(chain(closed, together), extra - len(alone)) if extra > len(alone) else ())]:
+            del known[piece]
+        return out
+
+    def _ids(self, piece: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _LOADED: dict[str, _Pieces] = {}
 
 
-def encode(text: bytes | None, path: str, end_id: int | None = END_ID) -> np.ndarray:
-    """Ids of a whole text; a null text is empty."""
+def encode(texts: list[bytes | None], path: str, end_id: int | None = END_ID) -> list[np.ndarray]:
+    """Ids of whole texts; a null text is empty."""
     if path not in _LOADED:
         _LOADED[path] = _Pieces(path)
-    pieces = text.split() if text else []
-    ids = np.fromiter(chain.from_iterable(map(_LOADED[path].__getitem__, pieces)), np.int32)
-    return ids if end_id is None else np.append(ids, np.int32(end_id))
+    found = _LOADED[path].encode(texts)
+    return found if end_id is None else [np.append(ids, np.int32(end_id)) for ids in found]
 
 
 def _encoded(path: str, end_id: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row, at = TaskContext.get().partitionId(), 0, 0
         for piece in sliced(batches):
-            ids = [encode(text, path, end_id) for text in piece.column("text").to_pylist()]
+            ids = encode(piece.column("text").to_pylist(), path, end_id)
             n = np.array([len(x) for x in ids], np.int64)
             offsets = np.append(0, np.cumsum(n))
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(ids)))
