@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainweft.llm.text import WordHashes, batches_of, mixed, shingles, sliced, words
+from chainweft.llm.text import WORDS, batches_of, mixed, shingles, sliced, words
 from chainweft.session import materialise
 
 HASHES = 64
@@ -31,11 +31,10 @@ _BUCKET = 32_768  # bits in a bucket of Spark's bitmap functions
 
 _RNG = np.random.default_rng(8)
 _A = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_WORDS = WordHashes()
 
 
 def _runs(text: bytes | None) -> np.ndarray:
-    return shingles(_WORDS.of(words(text)))
+    return shingles(WORDS.of(words(text)))
 
 
 def _upper(n: int) -> int:

@@ -116,20 +116,20 @@ def _rounded(rated: DataFrame) -> DataFrame:
     """
     down = Window.partitionBy("skey").orderBy(F.col("size").desc())
     upto = F.sum(F.col("rate") * F.col("n")).over(down.rowsBetween(Window.unboundedPreceding, 0))
-    few = F.least(F.floor("rate"), F.lit(CAP - 1))
-    out = rated.withColumn("upto", upto).withColumn("few", few)
-    out = out.withColumn("more", F.floor(F.col("upto") + 0.5) - F.floor(F.col("upto") - F.col("rate") * F.col("n") + 0.5) - F.col("few") * F.col("n"))
-    out = out.withColumn("more", F.least(F.greatest(F.col("more"), F.lit(0)), F.col("n")))
+    out = rated.withColumn("upto", upto)
+    out = out.withColumn("copies", F.floor(F.col("upto") + 0.5) - F.floor(F.col("upto") - F.col("rate") * F.col("n") + 0.5))
+    out = out.withColumn("copies", F.least(F.greatest(F.col("copies"), F.lit(0)), F.col("n") * CAP))
     for _ in range(PASSES):
-        taken = F.sum((F.col("few") * F.col("n") + F.col("more")) * F.col("size")).over(Window.partitionBy("skey"))
+        taken = F.sum(F.col("copies") * F.col("size")).over(Window.partitionBy("skey"))
         out = out.withColumn("over", taken - F.round("target"))
-        free = F.when(F.col("over") > 0, F.col("more")).otherwise(F.col("n") - F.col("more"))
+        free = F.when(F.col("over") > 0, F.col("copies")).otherwise(F.col("n") * CAP - F.col("copies"))
         out = out.withColumn("free", F.when(F.col("size").between(F.lit(1), F.abs("over")), free).otherwise(0))
         before = F.coalesce(F.sum(F.col("free") * F.col("size")).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         out = out.withColumn("before", before)
         flips = F.least(F.col("free"), F.greatest(F.floor((F.abs("over") - F.col("before")) / F.greatest("size", F.lit(1))), F.lit(0)))
-        out = out.withColumn("more", F.col("more") - F.signum("over") * flips)
-    return out.select("skey", "size", "source_size", "target", F.col("few").cast("long"), F.col("more").cast("long"))
+        out = out.withColumn("copies", F.col("copies") - F.signum("over") * flips)
+    few = F.floor(F.col("copies") / F.col("n")).cast("long")
+    return out.select("skey", "size", "source_size", "target", few.alias("few"), (F.col("copies") - few * F.col("n")).cast("long").alias("more"))
 
 
 def mixed(documents: DataFrame) -> DataFrame:

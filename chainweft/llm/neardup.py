@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainweft.llm.text import WordHashes, batches_of, mixed, shingles, sliced, words
+from chainweft.llm.text import WORDS, batches_of, mixed, shingles, sliced, words
 from chainweft.session import materialise
 
 COMPONENTS, CHUNK, RADIUS = 64, 4, 24
@@ -40,12 +40,11 @@ BLOCK_BYTES = 8_000_000
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(1, 1 << 63, COMPONENTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, COMPONENTS, dtype=np.uint64)
-_WORDS = WordHashes()
 
 
 def shingle_set(text: bytes | None) -> np.ndarray:
     """Sorted distinct hashes of the five-word shingles of a whole text."""
-    return np.unique(shingles(_WORDS.of(words(text))))
+    return np.unique(shingles(WORDS.of(words(text))))
 
 
 def signature(own: np.ndarray) -> np.ndarray:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words kept with their hash in a worker, the first to come; others are hashed each time.
-CACHED_WORDS, CACHED_LENGTH = 150_000, 32
+CACHED_WORDS, CACHED_LENGTH = 100_000, 32
 #: Rows that a worker turns into Python objects at once.
 SLICE_ROWS = 500
 
@@ -24,6 +24,8 @@ def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, SLICE_ROWS):
             yield batch.slice(start, SLICE_ROWS)
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -44,6 +46,10 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
 
 
+#: The hashes of lower-case words that a worker knows, for all operators.
+WORDS = WordHashes()
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: each input bit reaches each output bit."""
     x = values.copy()

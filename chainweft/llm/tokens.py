@@ -33,7 +33,7 @@ ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 5_000
 #: A special token of the vocabulary.
 PARTING = "<|startoftext|>"
 #: Pieces that a worker keeps with their ids, the first to come up to a length.
-CACHED_PIECES, CACHED_LENGTH = 450_000, 48
+CACHED_PIECES, CACHED_LENGTH = 250_000, 48
 #: Signs that often end a word.
 MARKS = (b".", b",")
 
