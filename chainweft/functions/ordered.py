@@ -161,6 +161,12 @@ def with_group_totals(df: DataFrame, keys: Sequence[str], **aggs: Column) -> Dat
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
                   rank: str = "rank") -> DataFrame:
-    """First ``n`` rows per group; Spark limits each task to ``n`` before the shuffle."""
+    """First ``n`` rows per group; Spark limits each task to ``n`` before the shuffle.
+
+    It does so up to a threshold only; beyond it a hot key would go whole to one task.
+    """
+    most = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if n > most:
+        raise ValueError(f"{n} rows of a group are more than windowGroupLimitThreshold ({most})")
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n)

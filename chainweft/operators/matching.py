@@ -528,13 +528,21 @@ def reversed_hash(value: Column) -> Column:
     return F.array_join(pairs, "")
 
 
+def _first_fit(deposits: DataFrame, steps: DataFrame, keys: list[str], fits: Column, columns: list[str]) -> DataFrame:
+    """``deposits`` with ``columns`` of the first step that fits each one, in the order of ``columns``, or nulls."""
+    deposit = ["tx_hash", "output_index", "deposit_key"]
+    first = deposits.join(steps, keys).where(fits).groupBy(*deposit).agg(F.min(F.struct(*columns)).alias("__fit"))
+    return deposits.join(first, deposit, "left").withColumns({c: F.col("__fit")[c] for c in columns}).drop("__fit")
+
+
 def deposit_lifecycle(
     outputs: DataFrame, reveals: DataFrame, spends: DataFrame, sweeps: DataFrame, mints: DataFrame
 ) -> DataFrame:
     """Deposit output, its reveal, the spend, the sweep proof and the mint, as one row.
 
-    Every step keeps deposits whose later steps are missing.  Sweep logs carry
-    the spend hash byte-reversed.
+    Every step keeps deposits whose later steps are missing and takes the first
+    log that fits, so a deposit is one row.  Sweep logs carry the spend hash
+    byte-reversed.
     """
     revealed = outputs.join(
         reveals.select(
@@ -552,9 +560,7 @@ def deposit_lifecycle(
     in_time = F.col("spend_block").between(
         F.col("block_number"), F.col("block_number") + SPEND_BLOCKS
     ) & (F.col("spend_tx") != F.col("tx_hash"))
-    swept = revealed.join(used, ["tx_hash", "output_index"], "left").withColumns(
-        {c: F.when(in_time, F.col(c)) for c in ("spend_tx", "spend_block", "spend_ms")}
-    )
+    swept = _first_fit(revealed, used, ["tx_hash", "output_index"], in_time, ["spend_block", "spend_tx", "spend_ms"])
     proof = sweeps.select(
         reversed_hash(F.col("sweep_tx_reversed")).alias("spend_tx"), "wallet",
         F.col("timestamp_ms").alias("sweep_ms"), F.col("event_id").alias("sweep_event_id"),
@@ -565,9 +571,7 @@ def deposit_lifecycle(
         & (F.col("sweep_ms") >= F.greatest(F.col("reveal_ms"), F.col("spend_ms") - CLOCK_SKEW_MS))
         & (F.col("sweep_ms") <= F.col("spend_ms") + PROOF_DELAY_MS)
     )
-    swept = swept.join(proof, ["spend_tx", "wallet"], "left").withColumns(
-        {c: F.when(proven, F.col(c)) for c in ("sweep_ms", "sweep_event_id")}
-    ).drop("sweep_at")
+    swept = _first_fit(swept, proof, ["spend_tx", "wallet"], proven, ["sweep_at", "sweep_event_id", "sweep_ms"]).drop("sweep_at")
     final = mints.select(
         "deposit_key", F.col("recipient").alias("depositor"), F.col("timestamp_ms").alias("mint_ms"),
         F.col("event_id").alias("mint_event_id"), "minted_raw", "debt_raw",
@@ -580,8 +584,8 @@ def deposit_lifecycle(
         & (wide.padded(F.col("minted_raw")) <= wide.padded(funding))
         & (wide.padded(F.col("minted_raw")) <= wide.padded(F.col("debt_raw")))
     )
-    done = swept.join(final, ["deposit_key", "depositor"], "left").withColumns(
-        {c: F.when(issued, F.col(c)) for c in ("mint_ms", "mint_event_id", "minted_raw")}
+    done = _first_fit(
+        swept, final, ["deposit_key", "depositor"], issued, ["mint_at", "mint_event_id", "mint_ms", "minted_raw", "debt_raw"]
     )
     stage = (
         F.when(F.col("mint_ms").isNotNull(), "minted")

@@ -13,6 +13,10 @@ from chainweft.operators.visibility import latest, per_network, violations
 from chainweft.sources.files import network_of_symbol
 
 
+#: Heights of a missing range that one row carries.
+PIECE = 100_000
+
+
 def gaps(blocks: DataFrame, txs: DataFrame, state: DataFrame, utxo: bool = True,
          require_trace: bool = False) -> DataFrame:
     """Every published height with a problem and the reasons for it.
@@ -20,8 +24,12 @@ def gaps(blocks: DataFrame, txs: DataFrame, state: DataFrame, utxo: bool = True,
     ``blocks`` are canonical blocks.  Missing heights come from the ranges
     between stored ones, so nothing is generated for heights that exist.
     """
-    missing = missing_ranges(blocks, state).select(
-        "network_id", F.explode(F.sequence("from_block", "to_block")).alias("block_number"),
+    # a long range is cut before it is written out, so no row holds it whole
+    pieces = missing_ranges(blocks, state).select(
+        "network_id", "to_block", F.explode(F.sequence("from_block", "to_block", F.lit(PIECE))).alias("from_block")
+    )
+    missing = pieces.select(
+        "network_id", F.explode(F.sequence("from_block", F.least("to_block", F.col("from_block") + PIECE - 1))).alias("block_number"),
         F.array(F.lit("missing_block")).alias("reasons"),
     )
     stored = txs.groupBy("network_id", "block_number").agg(F.count("*").alias("stored"))

@@ -123,10 +123,12 @@ def recent(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int)
 
 def observation_window(df: DataFrame, days: int | None, at: int,
                        column: str = "block_timestamp_unix_ms") -> DataFrame:
-    """All history, or the last ``days`` days before ``at``."""
+    """All history, or the last ``days`` days before ``at``; more than the limit is an error."""
     if not days:
         return df
-    start = max(0, at - min(days, MAX_WINDOW_DAYS) * DAY_MS)
+    if days > MAX_WINDOW_DAYS:
+        raise ValueError(f"a window has {MAX_WINDOW_DAYS} days at most; leave days out for all history")
+    start = max(0, at - days * DAY_MS)
     return df.where(F.col(column) >= start)
 
 

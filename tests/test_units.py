@@ -267,3 +267,38 @@ def test_claims_and_tables_round_trip(spark, tmp_path):
     write_table(df, str(tmp_path / "t"), ["bucket"], bloom=["id"])
     write_table(df, str(tmp_path / "t"), ["bucket"])
     assert read_table(spark, str(tmp_path / "t")).count() == 20
+
+
+def test_deposit_with_several_logs_is_one_row(spark):
+    from chainweft.operators import matching
+
+    spent = "ab" * 32
+    outputs = spark.createDataFrame([("t", 0, 100, 5)], "tx_hash string, output_index int, block_number long, value_sats long")
+    reveals = spark.createDataFrame(
+        [("t", 0, "k", "d", "w", 1000, 1, 1)],
+        "funding_tx_hash string, output_index int, deposit_key string, depositor string, wallet string, timestamp_ms long, block_number long, log_index int",
+    )
+    spends = spark.createDataFrame([("t", 0, spent, 101, 2000)], "prev_tx_hash string, prev_output_index int, tx_hash string, block_number long, timestamp_ms long")
+    sweeps = spark.createDataFrame(
+        [(spent, "w", 2500, "late", 3, 0), (spent, "w", 2400, "first", 2, 0), (spent, "w", 10, "early", 0, 0)],
+        "sweep_tx_reversed string, wallet string, timestamp_ms long, event_id string, block_number long, log_index int",
+    )
+    mints = spark.createDataFrame(
+        [("k", "d", 3000, "m2", "7", "9", 5, 0), ("k", "d", 2900, "m1", "7", "9", 4, 0), ("k", "d", 2900, "big", "99999999999999999999", "9", 3, 0)],
+        "deposit_key string, recipient string, timestamp_ms long, event_id string, minted_raw string, debt_raw string, block_number long, log_index int",
+    )
+    rows = matching.deposit_lifecycle(outputs, reveals, spends, sweeps, mints).collect()
+    assert [(r.stage, r.spend_tx, r.sweep_event_id, r.mint_event_id) for r in rows] == [("minted", spent, "first", "m1")]
+
+
+def test_limits_are_errors_not_silent_cuts(spark):
+    import pytest
+
+    from chainweft.functions.ordered import top_per_group
+    from chainweft.operators import scope
+
+    df = spark.range(3).withColumn("block_timestamp_unix_ms", F.col("id"))
+    with pytest.raises(ValueError):
+        scope.observation_window(df, scope.MAX_WINDOW_DAYS + 1, 10)
+    with pytest.raises(ValueError):
+        top_per_group(df, ["id"], [F.col("id")], 100_000)
