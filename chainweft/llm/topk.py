@@ -5,8 +5,8 @@ segments of 16 bits, and each segment has an index. A query looks up the segment
 radius r of its own, segment by segment and r by r. When segments 0..j have been searched to
 radius r and the others to r - 1, every code within distance m * r + j has been met, by the
 pigeonhole rule. A query ends when its k-th verified distance is covered in this sense; only the
-others grow their radii. A ring that would take more look-ups than there are codes is not
-enumerated: what is still open then is compared with all codes in blocks of queries.
+others grow their radii. A ring whose look-ups would cost more than a comparison with every
+code is not enumerated: what is still open then is compared with all codes in blocks of queries.
 
 Equal codes are one entry with its k + 1 least ids, and equal queries are one search, so copies
 cost nothing and the order (distance, id) stays exact.
@@ -30,6 +30,8 @@ BITS, SEGMENT = 64, 16
 SEGMENTS = BITS // SEGMENT
 #: Look-ups of a query that one step may add when it takes several segments together.
 STEP_LOOKUPS = 600
+#: Codes that can be compared in the time of one look-up, which is a shuffled and joined row.
+LOOKUP_COST = 256
 #: Query codes in a block of the scan.
 BLOCK = 8_192
 
@@ -118,7 +120,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     for r, own, covered in _steps():
         if open_.isEmpty():
             break
-        if comb(SEGMENT, r) * len(own) > max(total, 1):
+        if comb(SEGMENT, r) * len(own) * LOOKUP_COST > max(total, SEGMENTS * LOOKUP_COST):
             for rows in _in_blocks(open_):
                 block = np.array([x[0] for x in rows], np.int64)
                 scan = codes.select("code", "n", "least").mapInArrow(_scanned(block, k), shape)
