@@ -342,3 +342,25 @@ def test_check_sql_agrees(spark, sf):
     for name, sql in queries.CHECKS.items():
         ok, note = compare.compare(spark, db, sf, name, queries.QUERIES[name], sql)
         assert ok, (name, note)
+
+
+def test_token_pieces_equal_whole_texts():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from chainweft.llm import tokens
+
+    path = str(public_tokenizers.path(tokens.VOCABULARY))
+    plain, draw = Tokenizer.from_file(path), random.Random(3)
+    # letters that are read as a letter and a mark, endings after an apostrophe, special tokens, marks, other spaces
+    parts = ["a", "B", "e\u0301", "\u0130", "\u0958", "\u212b", "'", "'s", "'LL", "<|", "<|endoftext|>", "<|startoftext|>", ".", "###", "-",
+             "7", " ", "\t", "\x85", "\xa0", "\u0338", "<", "\u01c5", "\ud55c", "\x00", "</w>", "Abc.", "b" * 60]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(30))) for _ in range(3000)]
+    letters = [chr(c) for c in range(0x3000) if chr(c).isalpha()]
+    texts += [c + sign for c in letters for sign in ("", ".", "'s")]
+    want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):  # new pieces, then known ones
+        got = tokens.encode([t.encode() for t in texts], path, None)
+        assert [g.tolist() for g in got] == want
