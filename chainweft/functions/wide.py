@@ -21,7 +21,8 @@ DIGITS = 27
 LIMBS = 3
 WIDTH = DIGITS * LIMBS
 BASE = 10**DIGITS
-LIFT = 4 * 10**9
+#: Lifts every ``decimal(37, 0)`` above zero.
+LIFT = 10**10
 
 
 def _number(value: int) -> Column:
@@ -33,19 +34,26 @@ def padded(amount: Column) -> Column:
     return F.lpad(amount, WIDTH, "0")
 
 
-def limbs(amount: Column) -> list[Column]:
+def compared(amount: Column) -> Column:
+    """A form of any width: comparing two of them compares the amounts' values."""
+    stripped = F.ltrim(amount, F.lit("0"))
+    return F.struct(F.length(stripped).alias("size"), stripped.alias("digits"))
+
+
+def limbs(amount: Column, count: int = LIMBS) -> list[Column]:
     """Most significant limb first; a limb the amount does not reach is null."""
     kind = f"decimal({DIGITS},0)"
     size = F.length(amount)
-    low = F.right(amount, F.lit(DIGITS)).cast(kind)
-    middle = F.when(size > DIGITS, F.right(F.left(amount, size - DIGITS), F.lit(DIGITS)).cast(kind))
-    high = F.when(size > 2 * DIGITS, F.left(amount, size - 2 * DIGITS).cast(kind))
-    return [high, middle, low]
+    out = [F.right(amount, F.lit(DIGITS)).cast(kind)]
+    for k in range(1, count):
+        rest = F.left(amount, size - k * DIGITS)
+        out.append(F.when(size > k * DIGITS, (rest if k == count - 1 else F.right(rest, F.lit(DIGITS))).cast(kind)))
+    return out[::-1]
 
 
-def whole_limbs(amount: Column) -> list[Column]:
+def whole_limbs(amount: Column, count: int = LIMBS) -> list[Column]:
     """Limbs with zero where the amount does not reach, for row-level arithmetic."""
-    return [F.coalesce(limb, _number(0)) for limb in limbs(amount)]
+    return [F.coalesce(limb, _number(0)) for limb in limbs(amount, count)]
 
 
 def _floor_div(value: Column) -> Column:

@@ -441,6 +441,9 @@ def output_states(outputs: DataFrame, inputs: DataFrame) -> DataFrame:
 
 BRIDGE_WINDOW_MS = 48 * HOUR_MS
 BRIDGE_BPS = 500
+#: Limbs of an amount at the finer side's decimals, and the digits that leave room for a factor.
+BRIDGE_LIMBS = 5
+BRIDGE_DIGITS = BRIDGE_LIMBS * wide.DIGITS - 5
 
 
 def _scaled_up(amount: Column, places: Column) -> Column:
@@ -449,7 +452,7 @@ def _scaled_up(amount: Column, places: Column) -> Column:
 
 def _times(amount: Column, factor: int) -> Column:
     """``amount * factor`` for a small factor, exactly, by limbs."""
-    return wide.joined([limb * F.lit(factor) for limb in wide.whole_limbs(amount)])
+    return wide.joined([limb * F.lit(factor) for limb in wide.whole_limbs(amount, BRIDGE_LIMBS)])
 
 
 def match_bridge(
@@ -459,7 +462,9 @@ def match_bridge(
     """Send and relay of one operation: same parties, corridor, time and scaled amount.
 
     ``assets``: chain_id, token, symbol, decimals (a small reviewed table).
-    A side that fits more than one partner is ambiguous and left out.
+    A side that fits more than one partner is ambiguous and left out.  Amounts
+    are compared exactly; one of more than ``BRIDGE_DIGITS`` digits, which no
+    256-bit word with up to 52 decimals has, fits nothing.
     """
     def side(df: DataFrame, p: str) -> DataFrame:
         info = assets.select("chain_id", "token", "symbol", "decimals")
@@ -473,14 +478,17 @@ def match_bridge(
     top = F.greatest("send_decimals", "relay_decimals")
     sent = _scaled_up(F.col("send_amount_raw"), top - F.col("send_decimals"))
     got = _scaled_up(F.col("relay_amount_raw"), top - F.col("relay_decimals"))
+    held = (F.length(sent) <= BRIDGE_DIGITS) & (F.length(got) <= BRIDGE_DIGITS)
+    sent, got = F.when(held, sent), F.when(held, got)
     delay = F.col("relay_timestamp_ms") - F.col("send_timestamp_ms")
     fits = (
         (F.col("send_remote_chain_id") == F.col("relay_chain_id"))
         & (F.col("relay_remote_chain_id") == F.col("send_chain_id"))
         & (F.col("send_symbol") == F.col("relay_symbol"))
         & delay.between(0, window_ms)
-        & (wide.padded(_times(got, 10_000)) >= wide.padded(_times(sent, 10_000 - bps)))
-        & (wide.padded(_times(got, 10_000)) <= wide.padded(_times(sent, 10_000 + bps)))
+        & held
+        & (wide.compared(_times(got, 10_000)) >= wide.compared(_times(sent, 10_000 - bps)))
+        & (wide.compared(_times(got, 10_000)) <= wide.compared(_times(sent, 10_000 + bps)))
     )
     near = pairs.where(fits).withColumn("delay_ms", delay)
     single = near

@@ -249,14 +249,13 @@ def rule_table_risk(t: Tables) -> DataFrame:
     f"""WITH RECURSIVE {_SIGNALS}, wal AS (SELECT wallet, count(*) AS n FROM wallet_edges GROUP BY 1),
     c AS (SELECT wallet, unnest(['evidence_score_not_probability', 'stored_evidence_only', 'history_not_from_genesis']) AS code FROM wal
         UNION ALL SELECT wallet, 'internal_coverage_incomplete' FROM wal UNION ALL SELECT wallet, 'fewer_than_three_transfers' FROM wal WHERE n < 3
-        UNION ALL SELECT wallet, 'evidence_truncated' FROM wal WHERE n > 500
         UNION ALL SELECT wallet, 'no_scored_exposure' FROM wal WHERE wallet NOT IN (SELECT wallet FROM gated WHERE gate_reason IS NULL)
         UNION ALL SELECT g.wallet, 'not_scored:' || gate_reason FROM gated g JOIN wal USING (wallet) WHERE gate_reason IS NOT NULL)
     SELECT wallet, string_agg(DISTINCT code, ',' ORDER BY code) AS limitations FROM c GROUP BY 1""",
 )
 def limitations(t: Tables) -> DataFrame:
     wallets = activity.fingerprint(t.edges()).select(
-        "wallet", F.col("transfer_count").alias("transfers"), (F.col("transfer_count") > 500).alias("truncated"),
+        "wallet", F.col("transfer_count").alias("transfers"), F.lit(False).alias("truncated"),  # all transfers are read
         F.lit(False).alias("internal_coverage"), F.lit(False).alias("from_genesis"),
     )
     gated = risk.gate_paths(_paths(t))
@@ -360,8 +359,8 @@ def analysis_view(t: Tables) -> DataFrame:
     w AS (SELECT 'C' || c_custkey AS wallet FROM customer UNION SELECT wallet FROM a),
     x AS (SELECT w.wallet, coalesce(n, 0) AS n, coalesce(assets, 0) AS assets, pend.address IS NOT NULL AS pending FROM w LEFT JOIN a USING (wallet)
         LEFT JOIN (SELECT address FROM claims QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY revision DESC) = 1 AND review_status = 'pending') pend ON pend.address = w.wallet)
-    SELECT wallet, concat_ws(',', CASE WHEN n > 500 THEN 'fingerprint_event_sample_truncated' END, CASE WHEN n = 0 THEN 'no_observed_flow_history' END, CASE WHEN n > 0 AND n < 3 THEN 'low_observed_flow_volume' END,
-        CASE WHEN n >= 600 THEN 'graph_edge_limit_reached' END, CASE WHEN assets = 0 THEN 'no_indexed_wallet_holdings' END, CASE WHEN pending THEN 'identity_claims_pending_review' END) AS warnings FROM x""",
+    SELECT wallet, concat_ws(',', CASE WHEN n = 0 THEN 'no_observed_flow_history' END, CASE WHEN n > 0 AND n < 3 THEN 'low_observed_flow_volume' END,
+        CASE WHEN assets = 0 THEN 'no_indexed_wallet_holdings' END, CASE WHEN pending THEN 'identity_claims_pending_review' END) AS warnings FROM x""",
 )
 def quality_warnings(t: Tables) -> DataFrame:
     per = scope.wallet_edges(t.edges()).groupBy("wallet").agg(
@@ -373,9 +372,9 @@ def quality_warnings(t: Tables) -> DataFrame:
     )
     rows = everyone.unionByName(per.select("wallet")).distinct().join(per, "wallet", "left").join(pending, "wallet", "left")
     rows = rows.fillna(0, ["total_transfers", "asset_count", "pending_reviews"]).withColumns(
-        {"truncated": F.col("total_transfers") > 500, "metadata_gaps": F.lit(0), "incomplete_balances": F.lit(0)}
+        {"truncated": F.lit(False), "metadata_gaps": F.lit(0), "incomplete_balances": F.lit(0)}
     )
-    return op.quality_warnings(rows, edge_limit=600).select("wallet", F.array_join("warnings", ",").alias("warnings"))
+    return op.quality_warnings(rows).select("wallet", F.array_join("warnings", ",").alias("warnings"))
 
 
 # quality and operations --------------------------------------------------------

@@ -284,10 +284,12 @@ def stream_failures(attempts: DataFrame, sink: Sink, max_attempts: int = 5, base
 
     ``attempts``: network_id, failure_id, block_number, outcome (failed or
     published), at_ms.  Status rows are appended per batch and read by newest
-    batch: retry with a doubling delay, dead_letter at the limit, resolved when
-    the block was published.
+    batch: retry with a doubling delay, dead_letter at the limit, resolved once
+    the block was published, whatever arrives later.
     """
     out = FAILURE_STATE
+    if max_attempts > 32:
+        raise ValueError("the doubling delay is made for 32 attempts at most")
 
     def each(batch: DataFrame, batch_id: int) -> None:
         before = latest(sink.read(out).where(F.col("batch") < batch_id), FAILURE_KEYS, "batch")
@@ -295,10 +297,12 @@ def stream_failures(attempts: DataFrame, sink: Sink, max_attempts: int = 5, base
             F.max("block_number").alias("__block"), F.count_if(F.col("outcome") == "failed").alias("__failed"),
             F.max("at_ms").alias("__at"), F.max((F.col("outcome") == "published").cast("int")).alias("__done"),
         )
-        rows = now.join(before.select(*FAILURE_KEYS, F.col("attempts").alias("__before")), FAILURE_KEYS, "left")
+        held = before.select(*FAILURE_KEYS, F.col("attempts").alias("__before"), (F.col("status") == "resolved").alias("__settled"))
+        rows = now.join(held, FAILURE_KEYS, "left")
         total = F.coalesce("__before", F.lit(0)) + F.col("__failed")
-        status = F.when(F.col("__done") == 1, "resolved").when(total >= max_attempts, "dead_letter").otherwise("retry")
-        wait = F.lit(base_ms) * F.pow(F.lit(2.0), F.least(total, F.lit(10)) - 1)
+        done = (F.col("__done") == 1) | F.coalesce("__settled", F.lit(False))
+        status = F.when(done, "resolved").when(total >= max_attempts, "dead_letter").otherwise("retry")
+        wait = F.lit(base_ms) * F.pow(F.lit(2.0), F.least(total, F.lit(max_attempts)) - 1)
         sink.write(
             rows.select(
                 *FAILURE_KEYS, F.col("__block").cast("bigint").alias("block_number"), total.cast("bigint").alias("attempts"),

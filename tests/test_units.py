@@ -302,3 +302,29 @@ def test_limits_are_errors_not_silent_cuts(spark):
         scope.observation_window(df, scope.MAX_WINDOW_DAYS + 1, 10)
     with pytest.raises(ValueError):
         top_per_group(df, ["id"], [F.col("id")], 100_000)
+
+
+def test_published_block_stays_resolved(spark, tmp_path):
+    from chainweft.streaming import streams
+
+    columns = "network_id string, failure_id string, block_number long, outcome string, at_ms long"
+    sink = streams.Sink(spark, "failures", str(tmp_path / "sink"))
+    for at, outcome in enumerate(["failed", "published", "failed"]):
+        rows = [("n", "a", 1, outcome, at), ("n", "b", 2, "failed", at)]
+        spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = streams.read_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+        streams.stream_failures(stream, sink, max_attempts=4)
+    states = {r.failure_id: (r.attempts, r.status) for r in streams.failure_states(sink).collect()}
+    assert states == {"a": (2, "resolved"), "b": (3, "retry")}
+
+
+def test_bridge_amounts_of_any_width(spark):
+    from chainweft.operators import matching
+
+    columns = "operation_id string, sender string, receiver string, chain_id int, remote_chain_id int, event_id string, timestamp_ms long, token string, amount_raw string"
+    widest, near = 2**256 - 1, (2**256 - 1) * 10**12
+    amounts = {"plain": (10**6, 10**18), "wide": (widest, near), "low": (widest, near * 94 // 100), "edge": (10**6, 95 * 10**16), "endless": (10**150, 10**18)}
+    sends = spark.createDataFrame([(k, "s", "r", 1, 2, f"s{k}", 0, "a", str(a)) for k, (a, _) in amounts.items()], columns)
+    relays = spark.createDataFrame([(k, "s", "r", 2, 1, f"r{k}", 5, "b", str(b)) for k, (_, b) in amounts.items()], columns)
+    assets = spark.createDataFrame([(1, "a", "X", 6), (2, "b", "X", 18)], "chain_id int, token string, symbol string, decimals int")
+    assert {r.operation_id for r in matching.match_bridge(sends, relays, assets).collect()} == {"plain", "wide", "edge"}
