@@ -63,7 +63,7 @@ def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 def languages(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
     trees = langid.train(documents)
-    return langid.identified(documents.select("doc_id", "text"), trees).select(
+    return langid.identified(documents, trees, keep=["doc_id"]).select(
         "doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score")
     )
 

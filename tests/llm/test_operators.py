@@ -306,6 +306,26 @@ def test_language_on_held_out_documents(spark, docs, sf):
     assert langid.train(docs([])) == [] and langid.identified(docs([(1, "abc", None, None)]), []).first().lang_pred == "und"
 
 
+def test_language_trees_are_whole(spark, docs, monkeypatch):
+    """Each count of each language is there, and joined windows cost what whole trees say."""
+    monkeypatch.setattr(langid, "HOT_CELLS", 200)
+    rows = [(k, f"{'fgh' * (k % 3)} qwz{k}", f"x{k:03}", "a") for k in range(530)]
+    learn = docs(rows).where(~held_out(F.col("doc_id"), 5, 0)).collect()
+    plain = {r.lang: Counter() for r in learn if r.lang}
+    for r in learn:
+        for word in (r.text or "").lower().encode().split() if r.lang else ():
+            for window in langid._windows(word):
+                plain[r.lang].update(window[k:] for k in range(len(window)))
+    trees = langid.train(docs(rows))
+    assert list(trees) == sorted(plain) and len(trees) > 410
+    assert {(r.lang, bytes(r.gram)): r.n for r in trees.nodes.collect()} == {(lang, g): n for lang, tree in plain.items() for g, n in tree.items()}
+    coder = langid.Coder([(lang, plain[lang]) for lang in trees])
+    some = docs([*rows[:3], (None, "qwz9 fghfgh vvv qwz9", None, "a"), (4, None, None, "a")])
+    for r in langid.identified(some, trees).collect():
+        pred, score = coder.predict(r.text)
+        assert r.lang_pred == pred and r.lang_score == pytest.approx(score)
+
+
 def test_licences_are_inherited_from_the_nearest_folder(spark):
     rows = [
         (1, "a/LICENSE", "MIT License\n\nThe MIT License (MIT)"), (2, "a/b/x.py", "code"), (3, "a/b/LICENSE", "Licensed under the Apache License, Version 2.0."),
