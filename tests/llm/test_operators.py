@@ -265,6 +265,49 @@ def test_toxicity_restores_and_scores(spark, docs):
     assert toxicity.train(docs([]), labels.where("false"), [])[0] == {}
 
 
+def test_disguised_pieces_are_decoded_exactly_and_whole():
+    rng = random.Random(21)
+    grams = Counter()
+    for word in ["nice", "badword", "idiot", *(invented(rng, 1) for _ in range(30)), *("".join(rng.choice("ilgbaost") for _ in range(5)) for _ in range(60))]:
+        text = f" {word} "
+        for end in range(1, len(text)):
+            grams.update({text[max(0, end - k) : end + 1]: 1 for k in range(min(end, toxicity.ORDER) + 1)})
+    model = toxicity.Model(grams.items())
+
+    def force(piece):
+        """The least cost over every path."""
+        paths = {(" ", "", ""): 0.0}
+        for c in piece:
+            ways = {}
+            letters = [(c, 0.0)] if c.isalpha() else [(x, toxicity.SWAP) for x in toxicity.LOOK_ALIKE.get(c, "")]
+            for (last, source, word), cost in paths.items():
+                new = [((last + x)[-toxicity.ORDER :], c, word + x, cost + more + model.cost(last, x)) for x, more in letters]
+                if source == c:
+                    new.append((last, c, word, cost + toxicity.REPEAT))
+                if not c.isalnum():
+                    new.append((last, "", word, cost + (toxicity.DROP if c in toxicity.SEPARATORS else toxicity.KEEP)))
+                    if c in toxicity.SEPARATORS and last != " ":
+                        new.append((" ", "", word + " ", cost + toxicity.DROP + model.cost(last, " ")))
+                elif not letters:
+                    new.append((" ", "", word + c, cost + toxicity.KEEP))
+                elif c.isdigit():
+                    new.append((last, "", word, cost + toxicity.KEEP))
+                for *state, total in new:
+                    ways[tuple(state)] = min(total, ways.get(tuple(state), np.inf))
+            paths = ways
+        ends = {}
+        for (last, _, word), cost in paths.items():
+            ends[word] = min(cost + model.cost(last, " "), ends.get(word, np.inf))
+        return {w for w, cost in ends.items() if cost <= min(ends.values()) + 1e-9}
+
+    for _ in range(40):
+        piece = "".join(rng.choice("1!|6046a.l") for _ in range(9))
+        assert model.decode(piece) in force(piece), piece
+    restorer = toxicity.Restorer(model)
+    assert "badword" in restorer.piece("nice_b4dw0rd")
+    assert "badword" in restorer.piece("nice_" * 9 + "b4dw0rd")
+
+
 def test_code_lengths_equal_plain_ppm():
     rng = random.Random(12)
     tree = Counter()
