@@ -1,7 +1,7 @@
 """Licence scan: TF-IDF cosine of notices to templates, then inheritance from the nearest directory.
 
-Every line of a file, and every paragraph of up to ``PARAGRAPH`` words, is compared with licence
-templates; a licence file is its paragraphs. Weights are term frequency times the inverse document
+Every line and paragraph of a file, and every run of as many terms as a template has, wherever it
+stands in the text, is compared with licence templates. Weights are term frequency times the inverse document
 frequency that the template words have over all files; a word outside the templates weighs as
 much as the rarest, so it only lowers a similarity. A file without a notice of its own takes the
 licence of the nearest directory above it that has a licence file. Directories are joined by
@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +40,8 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 THRESHOLD = 0.75
-#: Words of the longest paragraph that is compared as one; longer ones go line by line.
-PARAGRAPH = 120
+#: Terms of a text that are held as numbers at once; parts overlap by the longest template.
+PART = 1 << 15
 #: A file of this name is its directory's licence file.
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)(\.[a-z]+)?$"
 
@@ -59,43 +60,78 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files += batch.num_rows
         for text in batch.column("text").to_pylist():
             pieces = set((text or "").lower().split())
-            seen.update({t for p in pieces if len(p) < 64 for t in _TERM.findall(p)} & _VOCABULARY)
+            seen.update({t for p in pieces for t in _TERM.findall(p)} & _VOCABULARY)
     yield pa.RecordBatch.from_arrays([pa.array(["", *seen], pa.string()), pa.array([files, *seen.values()], pa.int64())], ["term", "n"])
 
 
 class Matcher:
     """Cosines of text pieces to the templates under given document frequencies."""
 
-    def __init__(self, files: int, df: dict[str, int]) -> None:
+    def __init__(self, files: int, df: dict[str, int], threshold: float = THRESHOLD) -> None:
+        self.threshold = threshold
         self.idf = {t: math.log((files + 1) / (df.get(t, 0) + 1)) + 1 for t in _VOCABULARY}
         self.top = math.log(files + 1) + 1
-        self.templates = []
+        self.templates, self.sizes = [], []
         for name, texts in TEMPLATES.items():
             for text in texts:
                 own = {t: n * self.idf[t] for t, n in Counter(terms(text)).items()}
                 self.templates.append((name, own, math.sqrt(sum(v * v for v in own.values()))))
-
-    def best(self, piece: str) -> tuple[float, str]:
-        found = Counter(terms(piece))
-        inside = {t: n * self.idf[t] for t, n in found.items() if t in self.idf}
-        outside = sum((n * self.top) ** 2 for t, n in found.items() if t not in self.idf)
+                self.sizes.append(len(terms(text)))
+        # number 0 is any term outside the templates
+        self.number = {t: k + 1 for k, t in enumerate(sorted(_VOCABULARY))}
+        self.squares = np.array([self.top, *(self.idf[t] for t in self.number)]) ** 2
+        self.shares = np.array([[0.0, *(self.idf[t] * own.get(t, 0.0) / length for t in self.number)] for _, own, length in self.templates])
+
+    def best(self, found: list[str]) -> tuple[float, str]:
+        """The highest cosine of some terms to a template."""
+        counts = Counter(found)
+        inside = {t: n * self.idf[t] for t, n in counts.items() if t in self.idf}
+        outside = sum((n * self.top) ** 2 for t, n in counts.items() if t not in self.idf)
         norm = math.sqrt(sum(v * v for v in inside.values()) + outside)
         if len(inside) < 2:
             return 0.0, ""
         return max(((sum(v * own.get(t, 0.0) for t, v in inside.items()) / norm / length, name) for name, own, length in self.templates), key=lambda x: (x[0], x[1]))
 
+    def runs(self, found: list[str], least: float) -> Iterator[tuple[int, int]]:
+        """Start and end of the runs of a template's length whose cosine to it may exceed ``least``.
+
+        A run's product with a template is a difference of running sums; a run with repeated terms
+        is longer than the sum of its squares says, so the quotient is never too small.
+        """
+        longest = max(self.sizes)
+        numbers = np.fromiter((self.number.get(t, 0) for t in found), np.int64, len(found))
+        for at in range(0, len(numbers), PART):
+            own = numbers[at : at + PART + longest]
+            squares = np.concatenate([[0.0], np.cumsum(self.squares[own])])
+            used = np.flatnonzero(own)
+            if len(used) < 2:
+                continue
+            products = np.concatenate([np.zeros((len(self.sizes), 1)), np.cumsum(self.shares[:, own], axis=1)], axis=1)
+            for k, n in enumerate(self.sizes):
+                if n <= len(own):
+                    high = products[k, n:] - products[k, :-n]
+                    for start in np.flatnonzero(high > (least - 1e-6) * np.sqrt(squares[n:] - squares[:-n])).tolist():
+                        yield at + start, at + start + n
+
     def notice(self, text: str | None) -> tuple[float, str, str]:
-        """Similarity, licence and piece of the most similar line or paragraph of a whole text."""
-        best = (0.0, "", "")
-        for paragraph in re.split(r"(?:\r?\n){2,}", text or ""):
+        """Similarity, licence and piece of the most similar line, paragraph or run of terms of a whole text."""
+        text, best = text or "", (0.0, "", "")
+        for paragraph in re.split(r"(?:\r?\n){2,}", text):
             lines = [x for x in re.split(r"[\r\n]+", paragraph) if x]
-            pieces = lines if len(lines) == 1 or len(paragraph) > 12 * PARAGRAPH or len(paragraph.split()) > PARAGRAPH else [*lines, paragraph]
-            for piece in pieces:
+            for piece in lines if len(lines) == 1 else [*lines, paragraph]:
                 # half of a line's words outside the templates keep it below the threshold
                 words = piece.lower().split()
-                if 2 * sum(w.strip(".,;:()") in _VOCABULARY for w in words[:400]) >= min(len(words), 400) and len(words) <= 4 * PARAGRAPH:
-                    score, name = self.best(piece)
+                if 2 * sum(w.strip(".,;:()") in _VOCABULARY for w in words) >= len(words):
+                    score, name = self.best(terms(piece))
                     best = max(best, (score, name, piece[:500]))
+        low = text.lower()
+        spans = [(m.start(), m.end()) for m in _TERM.finditer(low)]
+        found = [low[a:b] for a, b in spans]
+        for start, end in self.runs(found, max(best[0], self.threshold)):
+            score, name = self.best(found[start:end])
+            if score > best[0] + 1e-9:  # a line or paragraph of the same terms stays
+                a, b = spans[start][0], spans[end - 1][1]
+                best = (score, name, (text if len(text) == len(low) else low)[a:b][:500])
         return best
 
 
@@ -103,7 +139,7 @@ def notices(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``files`` (``path``, ``text``, more) with ``__own__`` (licence, similarity, notice), null below ``threshold``."""
     counts = files.select("text").mapInArrow(_counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     df = dict(tuple(r) for r in counts.collect())  # a row for each template word
-    matcher = Matcher(df.pop("", 0), df)
+    matcher = Matcher(df.pop("", 0), df, threshold)
 
     @F.pandas_udf("licence string, similarity double, notice string")
     def match(texts):  # noqa: ANN001, ANN202
@@ -150,7 +186,7 @@ def scanned(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Licences (see :func:`inherited`) of ``files`` with ``doc_id``, ``path`` and ``text``, in whole texts.
 
     A null or empty text has no notice. Repeated rows are answered alike. A piece of text needs two
-    template words at least, and half of its words from the templates, to be a notice. An empty
+    template words at least, and half of a line's or paragraph's words from the templates, to be a notice. An empty
     table gives none.
     """
     return inherited(materialise(notices(files.select("doc_id", "path", "text"), threshold).drop("text"), "notices"))

@@ -383,6 +383,17 @@ def test_licences_are_inherited_from_the_nearest_folder(spark):
     assert licences.scanned(files.where("false")).count() == 0
 
 
+def test_licences_are_found_anywhere_in_a_text(spark):
+    notice = "Licensed under the Apache License, Version 2.0."
+    code = [f"var x{k}=f{k}(y{k})" for k in range(1500)]
+    texts = [
+        f"{';'.join(code)}; /* {notice} */ {';'.join(code)}", f"{notice} import os; run{{}} {' '.join(code[:30])}",
+        "\n".join(code[:200]) + "\n# Licensed under the Apache\n# License, Version 2.0.\n" + "\n".join(code[:200]), ";".join(code),
+    ]
+    files = spark.createDataFrame([(k, f"s/{k}.js", t) for k, t in enumerate(texts)], "doc_id long, path string, text string")
+    assert {r.doc_id: r.licence for r in licences.scanned(files).collect()} == {0: "Apache-2.0", 1: "Apache-2.0", 2: "Apache-2.0", 3: None}
+
+
 def test_pipeline_stages_feed_each_other(spark, sf):
     import corpus_pipeline
 
