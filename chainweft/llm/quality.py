@@ -21,17 +21,24 @@ ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.1
 SCALE = 8.0
 
 
-@lru_cache(maxsize=200_000)
 def _shape(word: bytes) -> bytes:
-    """A word's outline: a for lower, A for upper case, 9 for digits, signs as they are; runs count once."""
+    """The outline of a whole word: a for lower, A for upper case, 9 for digits, signs as they are; runs count once."""
+    return _short_shape(word) if len(word) <= 64 else _outline(word)
+
+
+def _outline(word: bytes) -> bytes:
     out: list[str] = []
-    for c in word[:64].decode("utf-8", "ignore"):
+    for c in word.decode("utf-8", "ignore"):
         k = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
         if not out or out[-1] != k:
             out.append(k)
     return "".join(out).encode()
 
 
+#: Long words stay out of the cache.
+_short_shape = lru_cache(maxsize=200_000)(_outline)
+
+
 class _Shapes(WordHashes):
     def __missing__(self, word: bytes) -> int:
         value = WordHashes.__missing__(_PLAIN, _shape(word))

@@ -394,6 +394,12 @@ def test_licences_are_found_anywhere_in_a_text(spark):
     assert {r.doc_id: r.licence for r in licences.scanned(files).collect()} == {0: "Apache-2.0", 1: "Apache-2.0", 2: "Apache-2.0", 3: None}
 
 
+def test_outlines_cover_whole_words():
+    plain = b"a" * 80
+    assert quality._shape(plain) == b"a" and quality._shape(plain + b"<B9>") == b"a<A9>"
+    assert not np.array_equal(quality.features(plain + b"%%%" + b"9" * 9)[0][2:], quality.features(plain + b"9" * 9)[0][2:])
+
+
 def test_pipeline_stages_feed_each_other(spark, sf):
     import corpus_pipeline
 
