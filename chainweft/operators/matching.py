@@ -293,7 +293,6 @@ def _match_slices(batches: Iterator[pd.DataFrame], window_ms: int, divisor: int)
 
 def forwarding_pairs(
     edges: DataFrame, window_ms: int = 600_000, divisor: int = 10, slice_ms: int = 3_600_000,
-    max_rounds: int = 50,
 ) -> DataFrame:
     """Receipts followed by a similar payment of the same asset, each transaction used once.
 
@@ -347,7 +346,7 @@ def forwarding_pairs(
     none = F.lit(None).cast("array<string>")
     pairs = materialise(run(rows.withColumn("carried", none)), "forwarding")
     seen = handed_on(pairs).where(F.lit(False))
-    for _ in range(max_rounds):
+    while True:  # slices hand on forwards only, so each round settles at least one more of a chain
         given = handed_on(pairs)
         changed = materialise(
             given.join(seen.withColumnRenamed("carried", "before"), ["wallet", "part"], "full_outer")
@@ -361,8 +360,6 @@ def forwarding_pairs(
         kept = pairs.join(changed.select("wallet", "part"), ["wallet", "part"], "left_anti")
         seen = given
         pairs = materialise(kept.unionByName(again), "forwarding")
-    raise RuntimeError("forwarding did not settle; use a longer slice")
-
 
 # outpoints -------------------------------------------------------------------
 

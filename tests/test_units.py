@@ -95,6 +95,17 @@ def test_forwarding_counts_three_pairs_and_uses_each_transaction_once(spark):
     assert sorted((r.incoming_tx, r.outgoing_tx) for r in found.collect()) == [(f"in{i}", f"out{i}") for i in range(3)]
 
 
+def test_forwarding_settles_chains_over_many_slices(spark):
+    width, rows = 100_000, []
+    for i in range(55):  # the first receipt has no payment of its own, so each takes that of the next slice
+        at = 50_000 + i * (width - 10)
+        rows.append(edge(2 * i, f"in{i}", i + 1, f"s{i}", "W", 1000, at=at, index=0))
+        if i:
+            rows.append(edge(2 * i + 1, f"out{i}", i + 1, "W", f"d{i}", 1000, at=at + 5, index=1))
+    found = matching.forwarding_pairs(spark.createDataFrame(rows, EDGE), width, slice_ms=width).collect()
+    assert {(r.incoming_tx, r.outgoing_tx) for r in found} == {(f"in{i}", f"out{i + 1}") for i in range(54)}
+
+
 def test_forwarding_is_the_same_for_any_slice_width(spark):
     rng = random.Random(5)
     rows = []
