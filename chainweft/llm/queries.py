@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainweft.llm import decontaminate, langid, licences, mixing, neardup, quality, tokens, topk, toxicity, urls
+from chainweft.llm import chat, decontaminate, dialogue, langid, lexical, licences, mixing, neardup, quality, tokens, topk, toxicity, urls
 from chainweft.llm.text import batches_of, held_out, table
 from chainweft.session import materialise
 
@@ -128,3 +128,87 @@ _BIT = "(coalesce({v}[{i}] > 0 AND NOT isnan({v}[{i}]), false))"
 def nearest_codes(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
     return topk.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=10)
+
+
+#: crc32 of an ASCII string, bit by bit.
+_CRC = """xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({s}, ''), lambda c: ascii(c)::BIGINT)),
+    lambda v, b: list_reduce(list_concat([xor(v, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+@query(
+    "op11_conversation_repair",
+    rf"""WITH RECURSIVE coded AS (SELECT conv_id, turn, coalesce(role, ' ') AS r, coalesce(text, ' ') AS x,
+        {_CRC.format(s="(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS k FROM conversations),
+    damaged AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE r END AS r,
+        CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(x, '[.!?]', '', 'g') ELSE x END AS x,
+        unnest(CASE k WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM coded),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, x) AS i FROM damaged),
+    judged AS (SELECT conv_id, turn, r, x, i, left(r, 1) AS c, lag(left(r, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS c0,
+        CASE WHEN NOT regexp_matches(x, '[^\x20\x09-\x0D]') THEN 'blank'
+             WHEN row_number() OVER (PARTITION BY conv_id, r, x ORDER BY i) > 1 THEN 'duplicate'
+             WHEN NOT regexp_matches(x, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault FROM placed),
+    faults AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (c0 || c NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id),
+    ins(before, mid, pre, cost, lines) AS (VALUES (0, 0, '', 0, []::VARCHAR[]), (0, 2, 'I', 2, ['user:']), (0, 3, 'II', 4, ['user:', 'assistant:']),
+        (1, 1, '', 0, []), (1, 2, 'I', 2, ['user:']), (1, 3, 'II', 4, ['user:', 'assistant:']), (2, 2, '', 0, []), (2, 3, 'I', 2, ['assistant:']),
+        (2, 2, 'II', 4, ['assistant:', 'user:']), (3, 3, '', 0, []), (3, 2, 'I', 2, ['user:']), (3, 3, 'II', 4, ['user:', 'assistant:'])),
+    acts(mid, letter, need, after, cost, named) AS (VALUES (0, 'D', NULL, 0, 3, NULL), (1, 'D', NULL, 1, 3, NULL), (2, 'D', NULL, 2, 3, NULL), (3, 'D', NULL, 3, 3, NULL),
+        (0, 'K', 's', 1, 0, NULL), (0, 'K', 'u', 2, 0, NULL), (1, 'K', 'u', 2, 0, NULL), (3, 'K', 'u', 2, 0, NULL), (2, 'K', 'a', 3, 0, NULL),
+        (0, 'R', NULL, 2, 2, 'user'), (1, 'R', NULL, 2, 2, 'user'), (3, 'R', NULL, 2, 2, 'user'), (2, 'R', NULL, 3, 2, 'assistant')),
+    moves AS (SELECT ins.before, pre || letter AS edit, need, after, letter, named, ins.cost + acts.cost AS cost, lines FROM ins JOIN acts USING (mid)),
+    paths AS (SELECT conv_id, 0::BIGINT AS i, 0 AS state, 0 AS cost, '' AS audit, []::VARCHAR[] AS lines FROM faults
+        UNION ALL SELECT * FROM (SELECT p.conv_id, p.i + 1, m.after, p.cost + m.cost + CASE WHEN m.letter <> 'D' AND j.fault = 'truncated' THEN 1 ELSE 0 END AS cost,
+            p.audit || m.edit AS audit, list_concat(list_concat(p.lines, m.lines), CASE WHEN m.letter = 'D' THEN [] ELSE [coalesce(m.named, j.r) || ':' || j.x] END)
+            FROM paths p JOIN judged j ON j.conv_id IS NOT DISTINCT FROM p.conv_id AND j.i = p.i + 1 JOIN moves m ON m.before = p.state
+            AND (m.need IS NULL OR m.need = j.c) AND (m.letter = 'D' OR j.fault IS NULL OR j.fault = 'truncated')
+            QUALIFY row_number() OVER (PARTITION BY p.conv_id, m.after ORDER BY p.cost + m.cost + CASE WHEN m.letter <> 'D' AND j.fault = 'truncated' THEN 1 ELSE 0 END, p.audit || m.edit) = 1)),
+    ended AS (SELECT p.conv_id, p.cost + i.cost AS cost, p.audit || i.pre AS audit, array_to_string(list_concat(p.lines, i.lines), chr(10)) AS out
+        FROM paths p JOIN faults f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.n = p.i JOIN ins i ON i.before = p.state AND (i.mid = 3 OR (i.mid = 0 AND i.pre = ''))
+        QUALIFY row_number() OVER (PARTITION BY p.conv_id ORDER BY p.cost + i.cost, p.audit || i.pre) = 1)
+    SELECT c.conv_id, coalesce(f.gaps, 0) AS gaps, coalesce(f.blank, 0) AS blank, coalesce(f.duplicate, 0) AS duplicate, coalesce(f.truncated, 0) AS truncated,
+        coalesce(f.illegal, 0) AS illegal, coalesce(e.cost, 0)::BIGINT AS cost, coalesce(e.audit, '') AS audit, sha256(coalesce(e.out, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id""",
+)
+def repairs(spark: SparkSession, folder: str) -> DataFrame:
+    return dialogue.reports(dialogue.damaged(table(spark, folder, "conversations")), times="times")
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+@query(
+    "op12_shared_term_search",
+    rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}') AS w FROM documents),
+    sizes AS (SELECT r, doc_id, len(w) AS n FROM d WHERE len(w) > 0), totals AS (SELECT count(*) AS docs, sum(n) AS words FROM sizes),
+    tf AS (SELECT r, s, count(*) AS tf FROM (SELECT r, unnest(w) AS s FROM d) GROUP BY r, s),
+    wt AS (SELECT s, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT s, count(*) AS df FROM tf GROUP BY s), totals),
+    asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')) AS s FROM benchmark),
+    scores AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + ((90 * n * docs) // words)))))::BIGINT AS score
+        FROM asked JOIN wt USING (s) JOIN tf USING (s) JOIN sizes USING (r), totals GROUP BY item_id, r, doc_id)
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST)::INT AS rank, doc_id, score FROM scores WHERE score > 0 QUALIFY rank <= 10""",
+)
+def lexical_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=10)
+
+
+_OK = "</s>[INST] ok [/INST]"
+_CONTROL = r"<\\*(?:<SYS>>|</SYS>>|s>|/s>|role>|text>|/text>|part>)|\[\\*(?:INST\]|/INST\])"
+
+
+@query(
+    "op13_chat_format",
+    rf"""WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+        UNION ALL VALUES (-7, 0, 'user', '{_OK}'), (-7, 1, 'assistant', '{_OK}')),
+    placed AS (SELECT *, row_number() OVER w AS i, lag(r) OVER w AS r0, lead(r) OVER w AS r1 FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, x)),
+    sized AS (SELECT *, length(x) + len(regexp_extract_all(x, '{_CONTROL}'))
+        + CASE WHEN r0 = r THEN 6 ELSE CASE r WHEN 'system' THEN 7 WHEN 'user' THEN 6 WHEN 'assistant' THEN 3 ELSE 12 + length(r) + len(regexp_extract_all(r, '{_CONTROL}')) END END
+        + CASE WHEN r1 = r THEN 0 ELSE CASE r WHEN 'system' THEN 8 WHEN 'user' THEN 7 WHEN 'assistant' THEN 4 ELSE 7 END END AS chars FROM placed)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY i)) AS turns_sha256,
+        coalesce(sum(length(x)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(x, '' ORDER BY i) FILTER (r = 'assistant'), '')) AS loss_sha256,
+        sum(chars)::BIGINT AS formatted_chars FROM sized GROUP BY conv_id""",
+)
+def chats(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_OK).alias("text"))
+    return chat.read_back(materialise(chat.formatted(rows.unionByName(odd)), "chats"))
