@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainweft.llm.text import CACHED_LENGTH, CACHED_WORDS, WordHashes, bounded_labels, held_out, mixed, sliced
+from chainweft.llm.text import CACHED_LENGTH, CACHED_WORDS, TASK_TABLES, WordHashes, bounded_labels, held_out, mixed, sliced
 
 #: Size of the weight vector: n-grams are hashed into so many places.
 PLACES = 1 << 18
@@ -36,7 +36,7 @@ def _outline(word: bytes) -> bytes:
 
 
 #: Long words stay out of the cache.
-_short_shape = lru_cache(maxsize=200_000)(_outline)
+_short_shape = lru_cache(maxsize=20_000)(_outline)
 
 
 class _Shapes(WordHashes):
@@ -48,6 +48,7 @@ class _Shapes(WordHashes):
 
 
 _PLAIN, _SHAPES = WordHashes(), _Shapes()
+TASK_TABLES.extend((_PLAIN, _SHAPES))
 
 
 def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:

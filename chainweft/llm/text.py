@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from contextlib import contextmanager
 from hashlib import blake2b
@@ -19,13 +20,28 @@ SLICE_ROWS = 500
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
+#: Tables that fill up while a task runs; a worker outlives its tasks and must not keep them.
+TASK_TABLES: list[dict] = []
+
+
 def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of ``SLICE_ROWS`` at most, so that a worker stays small."""
+    """The same rows in batches of ``SLICE_ROWS`` at most, so that a worker stays small; empties ``TASK_TABLES`` at the end."""
     for batch in batches:
         for start in range(0, batch.num_rows, SLICE_ROWS):
             yield batch.slice(start, SLICE_ROWS)
         del batch
         pa.default_memory_pool().release_unused()
+    for kept in TASK_TABLES:
+        kept.clear()
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -48,6 +64,7 @@ class WordHashes(dict):
 
 #: The hashes of lower-case words that a worker knows, for all operators.
 WORDS = WordHashes()
+TASK_TABLES.append(WORDS)
 
 
 def mixed(values: np.ndarray) -> np.ndarray:

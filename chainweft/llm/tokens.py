@@ -33,9 +33,9 @@ ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 5_000
 #: A special token of the vocabulary.
 PARTING = "<|startoftext|>"
 #: Pieces that a worker keeps with their ids, the first to come up to a length.
-CACHED_PIECES, CACHED_LENGTH = 500_000, 48
+CACHED_PIECES, CACHED_LENGTH = 300_000, 48
 #: Text that is encoded at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: A Latin or Cyrillic letter and a sign; without U+0130, which is read as a letter and a mark.
 LETTER_SIGN = (
     r"([a-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}\x{400}-\x{481}\x{48A}-\x{52F}])"
