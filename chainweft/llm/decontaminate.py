@@ -39,7 +39,7 @@ def _runs(text: bytes | None) -> np.ndarray:
 
 def _upper(n: int) -> int:
     """The largest size in the partition of an item with ``n`` shingles."""
-    return max(8, 1 << (n - 1).bit_length())
+    return 1 << (n - 1).bit_length()
 
 
 def _keys(least: np.ndarray, upper: int) -> np.ndarray:

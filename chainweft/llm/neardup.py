@@ -266,7 +266,7 @@ def _joined(documents: DataFrame, percent: int) -> DataFrame:
     near = materialise(_pairs_within(tried, units), "near")
     wanted = buckets.where(f"members > {SMALL_BUCKET}").select("unit").unionByName(
         near.select(F.explode(F.array("a", "b")).alias("unit"))
-    ).unionByName(buckets.where(f"members > 3 AND members <= {SMALL_BUCKET}").select("unit")).distinct()
+    ).unionByName(buckets.where(f"members > 2 AND members <= {SMALL_BUCKET}").select("unit")).distinct()
     asked = wanted.join(units.select("unit", "digest"), "unit")
     sets = materialise(
         text.withColumnRenamed("doc_id", "unit").join(asked, "unit").select("unit", "digest", "text").mapInArrow(_sets, "unit long, own binary").dropDuplicates(["unit"]),
@@ -276,7 +276,7 @@ def _joined(documents: DataFrame, percent: int) -> DataFrame:
     first = components(links)
 
     placed = buckets.join(first.withColumnRenamed("v", "unit"), "unit", "left").withColumn("comp", F.coalesce("comp", "unit"))
-    mixed_keys = placed.where("members > 3").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    mixed_keys = placed.where("members > 2").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     open_ = materialise(placed.join(mixed_keys, "key"), "open")
     small = open_.where(f"members <= {SMALL_BUCKET}").select("key", "unit", "comp")
     rest = (
