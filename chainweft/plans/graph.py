@@ -266,6 +266,19 @@ def exposure_pairs(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "h08_strongest_paths",
+    f"""WITH RECURSIVE {_EXPOSED} SELECT subject_id, seed_address, claim_id, direction, round(max(score), 6) AS exposure_score, max(service_mediated) AS service_mediated,
+        round(max(score) FILTER (hop_count = 1), 6) AS direct_score FROM pth GROUP BY 1, 2, 3, 4""",
+)
+def strongest_paths(t: Tables) -> DataFrame:
+    found = exposure.best_pairs(t.edges(), current_claims(t), AT)
+    return found.groupBy("subject_id", "seed_address", "claim_id", "direction").agg(
+        F.round(F.max("exposure_score"), 6).alias("exposure_score"), F.max("service_mediated").alias("service_mediated"),
+        F.round(F.max(F.when(F.col("hop_count") == 1, F.col("exposure_score"))), 6).alias("direct_score"),
+    )
+
+
 @query(
     "h09_exposure_utxo",
     f"""WITH {_CUR}, cl AS (SELECT {_UNAME.format(k="cast(substr(address, 2) AS bigint)")} AS who, * FROM cur), sd AS (SELECT * FROM cl WHERE is_exposure_seed = 1 AND who IS NOT NULL),

@@ -127,14 +127,14 @@ def active_hours(t: Tables) -> DataFrame:
 # risk ------------------------------------------------------------------------
 
 
-def _paths(t: Tables) -> DataFrame:
-    found = exposure.expose_pairs(t.edges(), None, current_claims(t), AT)
+def _paths(t: Tables, found: DataFrame) -> DataFrame:
+    """Exposure paths with what the gates ask for."""
     seeds = labelled_wallets(t).where(F.col("is_exposure_seed") == 1).select(
         F.col("wallet").alias("seed_address"), risk.approved_label().alias("seed_approved")
     )
     return found.join(seeds, "seed_address", "left").select(
         F.col("subject_id").alias("wallet"), "path_id", "seed_address", "direction", "hop_count", "exposure_score",
-        "service_mediated", F.col("relationship_ids").alias("tx_hashes"), "relationship_ids", "path_subjects",
+        "service_mediated", "tx_hashes", "relationship_ids", "path_subjects",
         "seed_approved", F.lit(None).cast("int").alias("score_eligible"),
     )
 
@@ -151,7 +151,7 @@ def _mixer(t: Tables) -> DataFrame:
 
 def _signals(t: Tables) -> DataFrame:
     return risk.risk_signals(
-        labelled_wallets(t), risk.gate_paths(_paths(t)), risk.gate_mixer(_mixer(t)),
+        labelled_wallets(t), risk.gate_paths(_paths(t, exposure.best_pairs(t.edges(), current_claims(t), AT))), risk.gate_mixer(_mixer(t)),
         matching.pass_through(t.edges(), 86_400_000),
     )
 
@@ -193,7 +193,7 @@ def risk_assessment(t: Tables) -> DataFrame:
     f"WITH RECURSIVE {_SIGNALS} SELECT coalesce(gate_reason, 'scored') AS gate_reason, count(*) AS paths FROM gated GROUP BY 1",
 )
 def path_gates(t: Tables) -> DataFrame:
-    gated = risk.gate_paths(_paths(t))
+    gated = risk.gate_paths(_paths(t, exposure.expose_pairs(t.edges(), None, current_claims(t), AT)))
     return gated.groupBy(F.coalesce("gate_reason", F.lit("scored")).alias("gate_reason")).agg(F.count("*").alias("paths"))
 
 
@@ -258,7 +258,7 @@ def limitations(t: Tables) -> DataFrame:
         "wallet", F.col("transfer_count").alias("transfers"), F.lit(False).alias("truncated"),  # all transfers are read
         F.lit(False).alias("internal_coverage"), F.lit(False).alias("from_genesis"),
     )
-    gated = risk.gate_paths(_paths(t))
+    gated = risk.gate_paths(_paths(t, exposure.expose_pairs(t.edges(), None, current_claims(t), AT)))
     found = risk.limitations(wallets, gated, gated.where(F.col("gate_reason").isNull()))
     return found.select("wallet", F.array_join("limitations", ",").alias("limitations"))
 
