@@ -97,10 +97,31 @@ def rapid_pass_through(t: Tables) -> DataFrame:
     return op.pass_through(t.edges(), 86_400_000)
 
 
-@query("d07_rapid_forwarding")
+def forward_sql(window_ms: int, divisor: int) -> str:
+    """The sequential rule: receipts of a wallet in order, each with the first fitting payment left, none used twice."""
+    return f"""fin AS (SELECT to_address AS wallet, asset_id, coalesce(token_id, '') AS token, tx_hash, amount, block_timestamp_unix_ms AS at,
+        (block_timestamp_unix_ms, transaction_index, tx_hash, event_index) AS place FROM edges WHERE from_address <> to_address AND amount > 0),
+    fout AS (SELECT from_address AS wallet, asset_id, coalesce(token_id, '') AS token, tx_hash, amount, block_timestamp_unix_ms AS at,
+        (block_timestamp_unix_ms, transaction_index, tx_hash, event_index) AS place FROM edges WHERE from_address <> to_address),
+    fits AS (SELECT i.wallet, i.asset_id, i.tx_hash AS itx, o.tx_hash AS otx, i.at AS received_at, o.at AS sent_at, o.place,
+        dense_rank() OVER (PARTITION BY i.wallet ORDER BY i.place) AS turn FROM fin i JOIN fout o ON i.wallet = o.wallet AND i.asset_id = o.asset_id AND i.token = o.token
+        AND i.tx_hash <> o.tx_hash AND o.at > i.at AND o.at - i.at <= {window_ms} AND abs(i.amount - o.amount) <= i.amount // {divisor}),
+    fturns AS (SELECT wallet, max(turn) AS turns FROM fits GROUP BY 1),
+    fwalk AS (SELECT wallet, 0::BIGINT AS turn, []::VARCHAR[] AS used, NULL::VARCHAR AS itx, NULL::VARCHAR AS otx, NULL::VARCHAR AS asset_id, NULL::BIGINT AS received_at, NULL::BIGINT AS sent_at FROM fturns
+        UNION ALL SELECT * FROM (SELECT w.wallet, w.turn + 1 AS turn, CASE WHEN f.otx IS NULL THEN w.used ELSE list_concat(w.used, [f.itx, f.otx]) END AS used, f.itx, f.otx, f.asset_id, f.received_at, f.sent_at
+            FROM fwalk w JOIN fturns n ON n.wallet = w.wallet AND w.turn < n.turns LEFT JOIN fits f ON f.wallet = w.wallet AND f.turn = w.turn + 1
+            AND NOT list_contains(w.used, f.itx) AND NOT list_contains(w.used, f.otx) QUALIFY row_number() OVER (PARTITION BY w.wallet ORDER BY f.place NULLS LAST) = 1)),
+    forwarded AS (SELECT wallet, itx AS incoming_tx, otx AS outgoing_tx, asset_id, received_at, sent_at FROM fwalk WHERE otx IS NOT NULL)"""
+
+
+@query(
+    "d07_rapid_forwarding",
+    f"WITH RECURSIVE {forward_sql(20 * 86_400_000, 2)} SELECT wallet, incoming_tx, outgoing_tx, asset_id, received_at, sent_at FROM forwarded",
+)
 def rapid_forwarding(t: Tables) -> DataFrame:
-    """A day and half the amount as tolerance, for the same reason."""
-    return op.forwarding_pairs(t.edges(), 86_400_000, 2, 30 * 86_400_000)
+    """Twenty days and half the amount as tolerance, for the same reason."""
+    found = op.forwarding_pairs(t.edges(), 20 * 86_400_000, 2, 30 * 86_400_000)
+    return found.select("wallet", "incoming_tx", "outgoing_tx", "asset_id", "received_at", "sent_at")
 
 
 @query(

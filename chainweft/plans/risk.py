@@ -11,6 +11,7 @@ from chainweft.operators import risk
 from chainweft.plans.activity import _round
 from chainweft.plans.detect import labelled_wallets
 from chainweft.plans.graph import _EXPOSED, AT, current_claims
+from chainweft.plans.matching import forward_sql
 from chainweft.plans.registry import query
 from chainweft.sources.tables import Tables
 
@@ -152,18 +153,19 @@ def _mixer(t: Tables) -> DataFrame:
 def _signals(t: Tables) -> DataFrame:
     return risk.risk_signals(
         labelled_wallets(t), risk.gate_paths(_paths(t, exposure.best_pairs(t.edges(), current_claims(t), AT))), risk.gate_mixer(_mixer(t)),
-        matching.pass_through(t.edges(), 86_400_000),
+        risk.forwarding_counts(matching.forwarding_pairs(t.edges())),
     )
 
 
+_FORWARD = f"{forward_sql(600_000, 10)}, fcount AS (SELECT wallet, count(*) AS pair_count FROM forwarded GROUP BY 1)"
 _PASS = """pas AS (SELECT i.to_address AS wallet, count(*) AS pair_count FROM edges i JOIN edges o ON i.to_address = o.from_address AND i.asset_id = o.asset_id
         AND o.block_timestamp_unix_ms BETWEEN i.block_timestamp_unix_ms AND i.block_timestamp_unix_ms + 86400000 AND i.tx_hash <> o.tx_hash GROUP BY 1)"""
-_SIGNALS = f"""{_EXPOSED}, {_PASS}, good AS (SELECT * FROM cur WHERE lower(review_status) = 'approved'),
+_SIGNALS = f"""{_EXPOSED}, {_FORWARD}, good AS (SELECT * FROM cur WHERE lower(review_status) = 'approved'),
     gated AS (SELECT subject_id AS wallet, score, hop_count, direction, CASE WHEN seed_address NOT IN (SELECT address FROM good) THEN 'seed_not_approved' WHEN service_mediated = 1 THEN 'service_mediated' END AS gate_reason FROM pth),
     sig AS (SELECT address AS wallet, 'APPROVED_RISK_LABEL' AS signal_type, least(greatest(risk_level / 100.0::double, 0.0), 1.0) * 70.0::double AS contribution FROM good WHERE is_exposure_seed = 1 AND risk_level > 0
         UNION ALL SELECT wallet, 'ILLICIT_SEED_EXPOSURE', max(score * CASE WHEN hop_count > 1 THEN 25.0::double WHEN direction = 'RECEIVED_FROM_SEED' THEN 55.0::double ELSE 45.0::double END) FROM gated WHERE gate_reason IS NULL GROUP BY 1 HAVING max(score) > 0
         UNION ALL SELECT DISTINCT subject_id, 'MIXER_INTERACTION', 15.0 FROM sem WHERE starts_with(event_type, 'mixer_') AND confidence >= 0.8 AND cast(substr(event_id, 2) AS bigint) % 7 <> 0
-        UNION ALL SELECT wallet, 'RAPID_SAME_ASSET_FORWARDING', 5.0 FROM pas WHERE pair_count >= 3 AND wallet NOT IN (SELECT address FROM good WHERE lower(entity_type) IN ('exchange', 'dex', 'bridge', 'custodian')))"""
+        UNION ALL SELECT wallet, 'RAPID_SAME_ASSET_FORWARDING', 5.0 FROM fcount WHERE pair_count >= 3 AND wallet NOT IN (SELECT address FROM good WHERE lower(entity_type) IN ('exchange', 'dex', 'bridge', 'custodian')))"""
 
 
 @query("k06_risk_signals", f"WITH RECURSIVE {_SIGNALS} SELECT wallet, signal_type, round(contribution, 6) AS contribution FROM sig")
@@ -171,6 +173,19 @@ def risk_signals(t: Tables) -> DataFrame:
     return _signals(t).select("wallet", "signal_type", F.round("contribution", 6).alias("contribution"))
 
 
+@query(
+    "k06_forwarding_signals",
+    f"""WITH RECURSIVE {forward_sql(60 * 86_400_000, 2)}, {_CUR}, fcount AS (SELECT wallet, count(*) AS pair_count FROM forwarded GROUP BY 1)
+    SELECT wallet, pair_count, 5.0::double AS contribution FROM fcount WHERE pair_count >= 3
+        AND wallet NOT IN (SELECT address FROM cur WHERE lower(review_status) = 'approved' AND lower(entity_type) IN ('exchange', 'dex', 'bridge', 'custodian'))""",
+)
+def forwarding_signals(t: Tables) -> DataFrame:
+    """The forwarding signal alone, with sixty days and half the amount: supplied transfers are far apart."""
+    day = 86_400_000
+    counts = risk.forwarding_counts(matching.forwarding_pairs(t.edges(), 60 * day, 2, 60 * day))
+    return risk.forwarding_signals(labelled_wallets(t), counts).join(counts, "wallet").select("wallet", "pair_count", "contribution")
+
+
 _ASSESS = f"""{_SIGNALS}, tot AS (SELECT wallet, sum(contribution) AS total, count(*) AS signal_count FROM sig GROUP BY 1),
     wal AS (SELECT wallet, count(*) AS transfers FROM wallet_edges GROUP BY 1),
     ass AS (SELECT wallet, transfers, coalesce(signal_count, 0) AS signal_count, signal_count IS NOT NULL OR transfers >= 3 AS available, least(coalesce(total, 0.0), 100.0) AS score FROM wal LEFT JOIN tot USING (wallet))"""
@@ -234,7 +249,7 @@ def rule_table_risk(t: Tables) -> DataFrame:
     bridge = kind == "bridge_transfer"
     named = lambda df: df.withColumnRenamed("subject_id", "wallet")
     signals = risk.rule_signals(
-        labelled_wallets(t), _paths(t), activity.semantic_counts(events),
+        labelled_wallets(t), _paths(t, exposure.expose_pairs(t.edges(), None, current_claims(t), AT)), activity.semantic_counts(events),
         named(matching.event_sequence(events, kind.startswith("mixer_"), bridge)),
         named(matching.event_sequence(events, kind == "swap", bridge)),
         matching.pass_through(t.edges(), 86_400_000),
