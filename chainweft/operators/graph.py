@@ -2,7 +2,7 @@
 
 Searches are level-synchronous: one join per hop for all roots together, each
 level written to the shared folder so that neither the plan nor the lineage
-grows with the hops.  Limits on hops are the feature; there is no limit on
+grows with the hops.  Paths between pairs meet in the middle.  Limits on hops are the feature; there is no limit on
 edges per node.
 """
 
@@ -65,72 +65,98 @@ def neighbourhood(edges: DataFrame, focus: DataFrame, depth: int) -> DataFrame:
     return found.groupBy("focus", "relationship_id").agg(F.min("depth").alias("depth"))
 
 
-def _distances(steps: DataFrame, targets: DataFrame, hops: int) -> DataFrame:
-    """Fewest steps from a node to each target, up to ``hops``."""
-    back = steps.select(F.col("next").alias("node"), F.col("node").alias("next")).distinct()
-    level = targets.select("target", F.col("target").alias("node")).distinct()
-    seen = level.withColumn("left", F.lit(0))
-    for d in range(1, hops + 1):
-        near = level.join(back, "node").select("target", F.col("next").alias("node")).distinct()
-        level = materialise(near.join(seen, ["target", "node"], "left_anti"), "distance")
-        seen = seen.unionByName(level.withColumn("left", F.lit(d)))
-    return materialise(seen, "distances")
+def _halves(steps: DataFrame, roots: DataFrame, hops: int, extra: Sequence[str], continues: Column | None,
+            on_asset: Sequence[str], forward: bool) -> list[DataFrame]:
+    """Simple paths of 0, 1, .. ``hops`` steps that leave (or, walked back, reach) each root.
 
+    A path knows its open end ``node`` and that end's step: as ``last_*`` where
+    later steps follow it, under the plain names where earlier ones precede it.
+    """
+    kinds = dict(steps.dtypes)
+    near, far = ("node", "next") if forward else ("next", "node")
+    seen, new = ("last_", "") if forward else ("", "last_")
+    ahead = steps.select(
+        F.col(near).alias("node"), F.col(far).alias("to"), "relationship_id",
+        *[F.col(c).alias(f"{new}{c}") for c in extra],
+    )
+    level = roots.select("root", F.col("root").alias("node"), F.array("root").alias("nodes"),
+                         F.array().cast("array<string>").alias("edge_ids"),
+                         *[F.lit(None).cast(kinds[c]).alias(f"{seen}{c}") for c in extra])
+    levels = [level]
+    for hop in range(1, hops + 1):
+        joined = level.alias("l")
+        match = F.col("l.node") == F.col("s.node")
+        if hop > 1:
+            for c in on_asset:
+                match = match & (F.col(f"{seen}{c}") == F.col(f"{new}{c}"))
+        joined = joined.join(ahead.alias("s"), match).where(~F.array_contains("nodes", F.col("to")))
+        if hop > 1 and continues is not None:
+            joined = joined.where(continues)
+        add = F.array_append if forward else F.array_prepend
+        level = materialise(
+            joined.select(
+                "root", F.col("to").alias("node"), add("nodes", F.col("to")).alias("nodes"),
+                add("edge_ids", F.col("relationship_id")).alias("edge_ids"),
+                *[F.col(f"{new}{c}").alias(f"{seen}{c}") for c in extra],
+            ),
+            "half-paths",
+        )
+        levels.append(level)
+    return levels
 
-def _search(steps: DataFrame, pairs: DataFrame, hops: int, extra: Sequence[str],
-            continues: Column | None, on_asset: Sequence[str] = ()) -> DataFrame:
-    """All simple paths of at most ``hops`` steps between each (source, target).
 
-    A first sweep backwards from the targets gives every node's distance; the
-    forward search then only takes steps that can still arrive in time, so
-    nodes off every path are never carried.
+def _search(steps: DataFrame, pairs: DataFrame, hops: int, extra: Sequence[str],
+            continues: Column | None, on_asset: Sequence[str] = (), first: int | None = None) -> DataFrame:
+    """Simple paths of at most ``hops`` steps between each (source, target), met in the middle.
+
+    Sources walk half the hops forward and targets half back, each once for all
+    pairs that name it, so no search goes further than half the bound.  A path of
+    ``n`` steps is met once: ``(n + 1) // 2`` steps from the source and ``n // 2``
+    to the target end at one node and share no other.  With ``first`` only that
+    many paths of a pair are kept, fewest hops first and then by edge ids, and
+    pairs that have them take no part in longer joins.
     """
-    asked = pairs.select("source", "target").distinct().where(
+    open_ = pairs.select("source", "target").distinct().where(
         (F.col("source") != F.col("target"))
         & (F.col("source") != ZERO_ADDRESS) & (F.col("target") != ZERO_ADDRESS)
     )
-    usable = steps.where((F.col("next") != ZERO_ADDRESS) & (F.col("node") != F.col("next")))
-    left = _distances(usable, asked, hops)
-    start = asked.join(
-        left.where(F.col("left") > 0).select("target", F.col("node").alias("source")), ["target", "source"], "left_semi"
-    )
-    empty = F.array().cast("array<string>")
-    frontier = start.select(
-        "source", "target", F.col("source").alias("node"),
-        F.array("source").alias("nodes"), empty.alias("edge_ids"),
-        *[F.lit(None).cast(dict(steps.dtypes)[c]).alias(f"last_{c}") for c in extra],
+    usable = materialise(
+        steps.where((F.col("next") != ZERO_ADDRESS) & (F.col("node") != ZERO_ADDRESS) & (F.col("node") != F.col("next"))),
+        "path-steps",
     )
+    open_ = materialise(open_, "path-pairs")
+    ahead = _halves(usable, open_.select(F.col("source").alias("root")).distinct(), (hops + 1) // 2, extra, continues, on_asset, True)
+    back = _halves(usable, open_.select(F.col("target").alias("root")).distinct(), hops // 2, extra, continues, on_asset, False)
     results = None
     for hop in range(1, hops + 1):
-        keys = ["node"]
-        ahead = usable
-        if hop > 1 and on_asset:
-            # the same asset all along: a finer join key than the node alone
-            frontier = frontier.withColumns({c: F.col(f"last_{c}") for c in on_asset})
-            keys += list(on_asset)
-        joined = frontier.join(ahead, keys)
-        if hop > 1 and continues is not None:
-            joined = joined.where(continues)
-        joined = joined.where(~F.array_contains("nodes", F.col("next")))
-        reach = left.select("target", F.col("node").alias("next"), "left")
-        grown = joined.join(reach, ["target", "next"]).where(F.col("left") <= hops - hop).select(
-            "source", "target", F.col("next").alias("node"),
-            F.array_append("nodes", F.col("next")).alias("nodes"),
-            F.array_append("edge_ids", F.col("relationship_id")).alias("edge_ids"),
-            *[F.col(c).alias(f"last_{c}") for c in extra],
-        )
-        grown = materialise(grown, "paths")
-        done = grown.where(F.col("node") == F.col("target")).select(
-            "source", "target", F.lit(hop).alias("hop_count"), "nodes", "edge_ids"
+        one, other = ahead[(hop + 1) // 2].alias("f"), back[hop // 2].alias("b")
+        match = (F.col("f.node") == F.col("b.node")) & (F.col("b.root") == F.col("target"))
+        apart = F.size(F.array_intersect("f.nodes", "b.nodes")) == 1
+        if hop > 1:
+            for c in on_asset:
+                match = match & (F.col(f"f.last_{c}") == F.col(f"b.{c}"))
+            apart = apart if continues is None else apart & continues
+        met = one.join(open_, F.col("f.root") == F.col("source")).join(other, match).where(apart).select(
+            "source", "target", F.lit(hop).alias("hop_count"),
+            F.concat("f.nodes", F.slice("b.nodes", 2, hop)).alias("nodes"),
+            F.concat("f.edge_ids", "b.edge_ids").alias("edge_ids"),
         )
-        results = done if results is None else results.unionByName(done)
-        frontier = grown.where(F.col("node") != F.col("target"))
+        if first is not None:
+            found = results.groupBy("source", "target").agg(F.count("*").alias("have")) if results is not None else None
+            met = top_per_group(met, ["source", "target"], [F.col("edge_ids")], first)
+            if found is not None:
+                met = met.join(found, ["source", "target"], "left").where(F.col("rank") <= first - F.coalesce("have", F.lit(0))).drop("have")
+            met = materialise(met.drop("rank"), "paths")
+        results = met if results is None else results.unionByName(met)
+        if first is not None and hop < hops:
+            full = results.groupBy("source", "target").agg(F.count("*").alias("have")).where(F.col("have") >= first)
+            open_ = materialise(open_.join(full, ["source", "target"], "left_anti"), "path-pairs")
     return results
 
 
-def paths(edges: DataFrame, pairs: DataFrame, hops: int, direction: str = "outgoing") -> DataFrame:
-    """Simple paths by topology alone."""
-    return _search(adjacency(edges, direction), pairs, hops, [], None)
+def paths(edges: DataFrame, pairs: DataFrame, hops: int, direction: str = "outgoing", first: int | None = None) -> DataFrame:
+    """Simple paths by topology alone; ``first`` keeps so many of each pair, see ``rank_paths``."""
+    return _search(adjacency(edges, direction), pairs, hops, [], None, first=first)
 
 
 def follows(previous: str, incoming: bool) -> Column:

@@ -32,6 +32,26 @@ def _asked(t: Tables) -> DataFrame:
     return near.join(t.exchanges().select("address"), "address", "left_semi").select("a", "b")
 
 
+def _utxo_name(key: Column) -> Column:
+    family = F.when(key % 3 == 0, "1").when(key % 3 == 1, "3").otherwise("bc1p")
+    return F.when(key % 16 != 15, F.concat(family, F.lit("S"), key.cast("string")))
+
+
+_UNAME = "CASE WHEN {k} % 16 <> 15 THEN (CASE {k} % 3 WHEN 0 THEN '1' WHEN 1 THEN '3' ELSE 'bc1p' END) || 'S' || {k} END"
+
+
+#: How far above a seed's key the exchanges of the wider requests lie.
+_FURTHER = (3, 13, 23, 33, 43, 8, 18, 28, 38, 48)
+
+
+def _more_pairs(t: Tables) -> DataFrame:
+    """Each seed supplier with the exchanges at several distances above it, both ways round."""
+    key = F.regexp_extract("address", "([0-9]+)$", 1).cast("bigint")
+    near = seed_wallets(t).select(key.alias("a"), F.explode(F.array(*map(F.lit, _FURTHER))).alias("d")).select("a", (F.col("a") + F.col("d")).alias("b"))
+    asked = near.withColumn("address", F.concat(F.lit("S"), F.col("b").cast("string"))).join(t.exchanges().select("address"), "address", "left_semi").select("a", "b")
+    return asked.unionByName(asked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
 def _pairs(t: Tables) -> DataFrame:
     name = lambda c: F.concat(F.lit("S"), F.col(c).cast("string"))
     return _asked(t).select(name("a").alias("source"), name("b").alias("target"))
@@ -80,10 +100,50 @@ def simple_paths(t: Tables) -> DataFrame:
     SELECT source, target, array_to_string(edge_ids, ',') AS edge_ids, rank FROM (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY hop_count, edge_ids) AS rank FROM w WHERE node = target) WHERE rank <= 25""",
 )
 def first_paths(t: Tables) -> DataFrame:
-    ranked = op.rank_paths(op.paths(t.edges(), _pairs(t), 2), 25)
+    ranked = op.rank_paths(op.paths(t.edges(), _pairs(t), 2, first=25), 25)
     return ranked.select("source", "target", F.array_join("edge_ids", ",").alias("edge_ids"), "rank")
 
 
+_MORE = f"""{_CUR}, near AS (SELECT cast(substr(address, 2) AS bigint) AS a, cast(substr(address, 2) AS bigint) + unnest({list(_FURTHER)}) AS b FROM seed),
+    one AS (SELECT a, b FROM near WHERE 'S' || b IN (SELECT address FROM exchanges)), asked AS (SELECT a, b FROM one UNION ALL SELECT b, a FROM one),
+    pairs AS (SELECT 'S' || a AS source, 'S' || b AS target FROM asked)"""
+
+
+@query(
+    "h03_ordered_paths_wide",
+    f"""WITH RECURSIVE {_MORE}, w AS (
+        SELECT source, target, to_address AS node, 1 AS hop_count, [source, to_address] AS nodes, relationship_id AS edge_ids, asset_id, coalesce(token_id, '') AS token, tx_hash, block_number AS b, transaction_index AS x
+            FROM pairs JOIN edges ON from_address = source AND to_address <> source AND to_address <> {ZERO}
+        UNION ALL SELECT source, target, e.to_address, hop_count + 1, list_append(nodes, e.to_address), edge_ids || ',' || relationship_id, e.asset_id, coalesce(e.token_id, ''), e.tx_hash, e.block_number, e.transaction_index
+            FROM w JOIN edges e ON e.from_address = w.node AND e.asset_id = w.asset_id AND coalesce(e.token_id, '') = w.token
+            WHERE hop_count < 6 AND w.node <> target AND e.to_address <> {ZERO} AND NOT list_contains(nodes, e.to_address) AND e.tx_hash <> w.tx_hash
+              AND (e.block_number > w.b OR (e.block_number = w.b AND e.transaction_index > w.x)))
+    SELECT source, target, hop_count, edge_ids FROM w WHERE node = target""",
+)
+def ordered_paths_wide(t: Tables) -> DataFrame:
+    name = lambda c: F.concat(F.lit("S"), F.col(c).cast("string"))
+    pairs = _more_pairs(t).select(name("a").alias("source"), name("b").alias("target"))
+    return _flat(op.ordered_paths(t.edges(), pairs, 6))
+
+
+@query(
+    "h04_typed_paths_wide",
+    f"""WITH RECURSIVE {_MORE}, up AS (SELECT DISTINCT {_UNAME.format(k="a")} AS source, {_UNAME.format(k="b")} AS target FROM asked),
+    leg AS (SELECT DISTINCT coalesce(address, 'script ' || script_hex) AS who, tx_hash FROM inputs), got AS (SELECT DISTINCT tx_hash, coalesce(address, 'script ' || script_hex) AS who FROM outputs),
+    p2 AS (SELECT source, target, i.who AS w0, i.tx_hash AS t1 FROM up JOIN leg i ON i.who = source JOIN got o ON o.tx_hash = i.tx_hash AND o.who = target WHERE source <> target),
+    p4 AS (SELECT source, target, i1.tx_hash AS t1, o1.who AS mid, i2.tx_hash AS t2 FROM up JOIN leg i1 ON i1.who = source JOIN got o1 ON o1.tx_hash = i1.tx_hash AND o1.who <> source AND o1.who <> target
+        JOIN leg i2 ON i2.who = o1.who AND i2.tx_hash <> i1.tx_hash JOIN got o2 ON o2.tx_hash = i2.tx_hash AND o2.who = target WHERE source <> target)
+    SELECT source, target, 2 AS hop_count, count(*) AS ways FROM p2 GROUP BY 1, 2 UNION ALL SELECT source, target, 4, count(*) FROM p4 GROUP BY 1, 2""",
+)
+def typed_paths_wide(t: Tables) -> DataFrame:
+    """Different ways over one or two transactions: several legs of one way count once."""
+    edges = matching.utxo_edges(t.utxo_inputs(), t.utxo_outputs())
+    asked = _more_pairs(t).select(_utxo_name(F.col("a")).alias("source"), _utxo_name(F.col("b")).alias("target"))
+    once = edges.groupBy("from_subject_id", "to_subject_id").agg(F.min("relationship_id").alias("relationship_id"))
+    found = op.typed_paths(once, asked.dropna(), 4)
+    return found.groupBy("source", "target", "hop_count").agg(F.count("*").alias("ways"))
+
+
 @query(
     "h03_ordered_paths",
     f"""WITH RECURSIVE {_PAIRS}, w AS (
@@ -114,14 +174,6 @@ def ordered_paths_back(t: Tables) -> DataFrame:
     return _flat(op.ordered_paths(t.edges(), _pairs(t), 2, "incoming"))
 
 
-def _utxo_name(key: Column) -> Column:
-    family = F.when(key % 3 == 0, "1").when(key % 3 == 1, "3").otherwise("bc1p")
-    return F.when(key % 16 != 15, F.concat(family, F.lit("S"), key.cast("string")))
-
-
-_UNAME = "CASE WHEN {k} % 16 <> 15 THEN (CASE {k} % 3 WHEN 0 THEN '1' WHEN 1 THEN '3' ELSE 'bc1p' END) || 'S' || {k} END"
-
-
 def utxo_claims(t: Tables) -> DataFrame:
     """Label claims carried over to the unspent-output addresses of the same suppliers."""
     claims = current_claims(t)

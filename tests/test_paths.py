@@ -9,7 +9,7 @@ from itertools import pairwise
 import pytest
 from pyspark.sql import functions as F
 
-from chainweft.operators import exposure
+from chainweft.operators import exposure, graph
 
 EDGE = "relationship_id string, tx_hash string, block_number long, transaction_index long, block_timestamp_unix_ms long, asset_id string, token_id string, amount_raw string, from_address string, to_address string"
 CLAIM = "claim_id string, address string, entity_id string, entity_type string, risk_level int, confidence double, is_exposure_seed int"
@@ -102,3 +102,49 @@ def test_strongest_paths_pass_a_hub(spark):
     found = exposure.best_pairs(edges, claims, AT, 2).where("hop_count = 2 AND direction = 'RECEIVED_FROM_SEED'")
     rows = found.groupBy().agg(F.count("*").alias("n"), F.min("exposure_score").alias("low"), F.max("exposure_score").alias("high")).first()
     assert rows.n == 5_000 and rows.low == rows.high and time.time() - started < 120
+
+
+def plain_simple_paths(rows, pairs, hops, ordered, ahead=True):
+    found = set()
+    for source, target in pairs:
+
+        def grow(nodes, path):
+            if path and nodes[-1] == target:
+                found.add((source, target, ",".join(r[0] for r in path)))
+                return
+            if len(path) == hops:
+                return
+            for r in rows:
+                a, b = (r[8], r[9]) if ahead else (r[9], r[8])
+                if a != nodes[-1] or b in nodes:
+                    continue
+                if ordered and path:
+                    here, there = (r[2], r[3]), (path[-1][2], path[-1][3])
+                    if r[5] != path[-1][5] or r[1] == path[-1][1] or not (here > there if ahead else here < there):
+                        continue
+                grow([*nodes, b], [*path, r])
+
+        grow([source], [])
+    return found
+
+
+@pytest.mark.parametrize("hops", [1, 2, 3, 5])
+def test_paths_met_in_the_middle_equal_plain_search(spark, hops):
+    rng = random.Random(hops)
+    wallets = [f"w{k}" for k in range(9)]
+    rows = random_edges(rng, 26, wallets, assets=1)
+    pairs = [("w0", "w1"), ("w0", "w2"), ("w3", "w1"), ("w4", "w4"), ("w5", "nobody")]
+    edges, asked = spark.createDataFrame(rows, EDGE), spark.createDataFrame(pairs, "source string, target string")
+    pairs = [p for p in pairs if p[0] != p[1]]
+
+    def got(df):
+        out = [(r.source, r.target, ",".join(r.edge_ids)) for r in df.collect()]
+        assert len(out) == len(set(out))
+        return set(out)
+
+    every = plain_simple_paths(rows, pairs, hops, False)
+    assert got(graph.paths(edges, asked, hops)) == every
+    assert got(graph.ordered_paths(edges, asked, hops)) == plain_simple_paths(rows, pairs, hops, True)
+    assert got(graph.ordered_paths(edges, asked, hops, "incoming")) == plain_simple_paths(rows, pairs, hops, True, False)
+    ranked = {p: sorted((x[2].count(","), x[2].split(","), x[2]) for x in every if x[:2] == p)[:3] for p in pairs}
+    assert got(graph.paths(edges, asked, hops, first=3)) == {(*p, x[2]) for p, found in ranked.items() for x in found}
