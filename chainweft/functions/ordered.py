@@ -9,7 +9,7 @@ bounded by the range of the order divided by the slice width.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,6 +61,18 @@ def with_running_total(
     name: str,
 ) -> DataFrame:
     """Inclusive running sum of ``value`` within ``keys`` in ``order``."""
+    return with_running_totals(df, keys, order, {name: value}, slice_on, width)
+
+
+def with_running_totals(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    values: Mapping[str, str],
+    slice_on: str,
+    width: int,
+) -> DataFrame:
+    """Inclusive running sums within ``keys`` in ``order``; ``values``: new name to column."""
     keys, order = list(keys), list(order)
     sliced = df.withColumn(SLICE, _slice(F.col(slice_on), width))
     inside = (
@@ -68,15 +80,15 @@ def with_running_total(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    body = sliced.withColumn("__near", F.sum(value).over(inside))
-    ends = sliced.groupBy(*keys, SLICE).agg(F.sum(value).alias("__end"))
+    body = sliced.withColumns({f"__near_{n}": F.sum(v).over(inside) for n, v in values.items()})
+    ends = sliced.groupBy(*keys, SLICE).agg(*[F.sum(v).alias(f"__end_{n}") for n, v in values.items()])
     before = (
         Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     )
-    ends = ends.withColumn("__far", F.sum("__end").over(before)).drop("__end")
+    ends = ends.select(*keys, SLICE, *[F.sum(f"__end_{n}").over(before).alias(f"__far_{n}") for n in values])
     joined = body.join(ends, [*keys, SLICE], "left")
-    total = F.col("__near") + F.coalesce("__far", F.lit(0))
-    return joined.select(*df.columns, total.alias(name))
+    totals = [(F.col(f"__near_{n}") + F.coalesce(f"__far_{n}", F.lit(0))).alias(n) for n in values]
+    return joined.select(*df.columns, *totals)
 
 
 def asof(
