@@ -276,15 +276,46 @@ def exposure_best(t: Tables) -> DataFrame:
     )
 
 
-@query("h07_exposure_best_three_hops")
+_BEST_SCORE = """{parent} * 0.75::double * least(0.25::double + 0.75::double * sqrt(least(amount::double / total::double, 1.0::double)), 1.0::double) * w
+        * (CASE WHEN svc = 1 THEN 0.35::double ELSE 1.0::double END)"""
+
+
+def _best_sql(hops: int) -> str:
+    """The best-score rule level by level: paths ``f`` (src, next, hop, score, rels, svc, b) and the best row and count ``bf`` of each pair."""
+    parts = [f"""mv AS (SELECT from_address AS node, to_address AS next, asset_id, relationship_id, tx_hash, block_number AS b, transaction_index AS x, amount,
+            least(greatest(pow(0.5::double, ({AT} - block_timestamp_unix_ms)::double / 15552000000.0::double), 0.05::double), 1.0::double) AS w, CASE WHEN to_address IN (SELECT address FROM exchanges) THEN 1 ELSE 0 END AS svc
+        FROM edges WHERE transfer_type IN ('native_transfer', 'erc20_transfer') AND amount > 0),
+    e1 AS (SELECT seed.address AS src, [seed.address] AS nodes, []::VARCHAR[] AS rels0, 1.0::double AS parent, mv.*, sum(amount) OVER (PARTITION BY seed.address, asset_id) AS total FROM seed JOIN mv ON node = seed.address)"""]
+    for hop in range(1, hops + 1):
+        if hop > 1:
+            before = " UNION ALL ".join(f"SELECT src, next, asset_id, b, x, score FROM t{k}" for k in range(1, hop - 1))
+            better = f"""AND score > coalesce((SELECT max(o.score) FROM ({before}) o WHERE o.src = l.src AND o.next = l.next AND o.asset_id = l.asset_id AND o.b = l.b AND o.x = l.x), 0.0)""" if before else ""
+            parts.append(f"""t{hop - 1} AS (SELECT * FROM (SELECT * FROM l{hop - 1} WHERE svc = 0 QUALIFY row_number() OVER (PARTITION BY src, next, asset_id, b, x ORDER BY score DESC, rels DESC) = 1) l WHERE true {better}),
+    e{hop} AS (SELECT t.src, t.nodes, t.rels AS rels0, t.score AS parent, mv.*, sum(mv.amount) OVER (PARTITION BY t.src, t.rels) AS total FROM t{hop - 1} t JOIN mv ON mv.node = t.next AND mv.asset_id = t.asset_id
+        WHERE mv.b > t.b OR (mv.b = t.b AND mv.x > t.x))""")
+        parts.append(f"""l{hop} AS (SELECT src, next, asset_id, b, x, svc, list_append(nodes, next) AS nodes, list_append(rels0, relationship_id) AS rels, {_BEST_SCORE.format(parent='parent')} AS score FROM e{hop} WHERE NOT list_contains(nodes, next))""")
+    every = " UNION ALL ".join(f"SELECT src, next, {k} AS hop, score, rels, svc, b FROM l{k}" for k in range(1, hops + 1))
+    parts.append(f"""f AS ({every}),
+    bf AS (SELECT *, count(*) OVER (PARTITION BY src, next) AS n FROM f QUALIFY row_number() OVER (PARTITION BY src, next ORDER BY score DESC, hop, rels DESC) = 1)""")
+    return ",\n    ".join(parts)
+
+
+@query(
+    "h07_exposure_best_three_hops",
+    f"""WITH {_CUR}, {_best_sql(3)} SELECT src AS source_address, next AS exposed_address, hop AS hop_distance, round(score, 6) AS exposure_score, n AS path_count, svc AS service_mediated FROM bf""",
+)
 def exposure_best_three_hops(t: Tables) -> DataFrame:
     found = exposure.expose_best(t.edges(), seed_wallets(t), t.exchanges(), AT, 3)
-    return found.groupBy("source_address", "hop_distance").agg(
-        F.count("*").alias("exposed"), F.round(F.max("exposure_score"), 6).alias("best_score")
+    return found.select(
+        "source_address", "exposed_address", "hop_distance", F.round("exposure_score", 6).alias("exposure_score"), "path_count", "service_mediated"
     )
 
 
-@query("e21_exposure_summary")
+@query(
+    "e21_exposure_summary",
+    f"""WITH {_CUR}, {_best_sql(2)}, eff AS (SELECT bf.*, least(greatest(score * least(risk_level / 100.0::double, 1.0::double), 0.0), 1.0) AS e FROM bf JOIN (SELECT address, max(risk_level) AS risk_level FROM seed WHERE risk_level > 0 GROUP BY 1) s ON s.address = src)
+    SELECT next AS wallet, round(1.0::double - exp(sum(ln(1.0::double - least(e, 0.99::double)))), 6) AS score, count(*) AS source_count, sum(n)::BIGINT AS path_count, min(hop) AS min_hop_distance, round(max(score), 6) AS max_path_score FROM eff GROUP BY 1""",
+)
 def exposure_summary(t: Tables) -> DataFrame:
     found = exposure.expose_best(t.edges(), seed_wallets(t), t.exchanges(), AT, 2)
     seeds = seed_wallets(t).withColumn("is_active", F.lit(1))
