@@ -240,7 +240,25 @@ def exposure_capped(t: Tables) -> DataFrame:
     )
 
 
-@query("h06_exposure_capped_five_hops")
+def _capped_sql(hops: int, keep: int = 3) -> str:
+    """The capped rule hop by hop: kept paths ``h1`` .. of every hop."""
+    later = "CASE WHEN st.direction = 'RECEIVED_FROM_SEED' THEN st.block_number > h.b ELSE st.block_number < h.b END"
+    parts = [f"""{_MOVES}, tot AS (SELECT direction, node, asset_id, sum(amount) AS total FROM mv GROUP BY 1, 2, 3),
+    st AS (SELECT mv.*, least(amount::double / total::double, 1.0::double) AS sh, exp((-0.6931471805599453::double * (({AT} - ms)::double / 86400000.0::double)) / 365.0::double) AS w FROM mv JOIN tot USING (direction, node, asset_id)),
+    c1 AS (SELECT seed.claim_id AS seed_id, risk_level, direction, [node, next] AS nodes, next, asset_id, [relationship_id] AS rels, block_number AS b, sh, w FROM seed JOIN st ON node = seed.address WHERE next <> node)"""]
+    for hop in range(1, hops + 1):
+        if hop > 1:
+            parts.append(f"""c{hop} AS (SELECT h.seed_id, h.risk_level, h.direction, list_append(h.nodes, st.next) AS nodes, st.next, h.asset_id, list_append(h.rels, st.relationship_id) AS rels, st.block_number AS b, least(h.sh, st.sh) AS sh, least(h.w, st.w) AS w
+        FROM h{hop - 1} h JOIN st ON st.direction = h.direction AND st.node = h.next AND st.asset_id = h.asset_id WHERE h.next NOT IN (SELECT address FROM svc) AND NOT list_contains(h.nodes, st.next) AND {later})""")
+        parts.append(f"""h{hop} AS (SELECT *, risk_level / 100.0::double * {0.65**hop!r}::double * sh * w AS score FROM c{hop} QUALIFY row_number() OVER (PARTITION BY seed_id, direction, next, asset_id ORDER BY score DESC, rels) <= {keep})""")
+    return ",\n    ".join(parts)
+
+
+@query(
+    "h06_exposure_capped_five_hops",
+    f"""WITH {_CUR}, {_SVC}, {_capped_sql(5)}, every AS ({" UNION ALL ".join(f"SELECT seed_id, direction, {k} AS hop_count, asset_id, score FROM h{k}" for k in range(1, 6))})
+    SELECT seed_id, direction, hop_count, asset_id, count(*) AS paths, round(max(score), 6) AS best_score FROM every GROUP BY 1, 2, 3, 4""",
+)
 def exposure_capped_five_hops(t: Tables) -> DataFrame:
     """The defaults: five hops, three paths per subject and asset."""
     claims = current_claims(t)
@@ -248,7 +266,7 @@ def exposure_capped_five_hops(t: Tables) -> DataFrame:
         F.col("claim_id").alias("seed_id"), "address", "risk_level"
     )
     found = exposure.expose_capped(t.edges(), seeds, op.service_addresses(claims), AT)
-    return found.groupBy("seed_id", "direction", "hop_count").agg(
+    return found.groupBy("seed_id", "direction", "hop_count", "asset_id").agg(
         F.count("*").alias("paths"), F.round(F.max("exposure_score"), 6).alias("best_score")
     )
 

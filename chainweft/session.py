@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +59,17 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, keys: Sequence[str], label: str = "step") -> DataFrame:
+    """Write ``df`` to the shared folder in buckets of ``keys`` and read it back.
+
+    Joins on exactly these keys read the buckets as they are and shuffle only
+    their other side.  There are as many buckets as shuffle partitions, which
+    Spark asks for to leave this side in place.
+    """
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(count, *keys).write.bucketBy(count, *keys).sortBy(*keys).option("path", f"{shared_dir(spark)}/{name}").format("parquet").saveAsTable(name)
+    return spark.table(name)

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chainweft.operators import exposure, graph
+from chainweft.session import bucketed
 
 EDGE = "relationship_id string, tx_hash string, block_number long, transaction_index long, block_timestamp_unix_ms long, asset_id string, token_id string, amount_raw string, from_address string, to_address string"
 CLAIM = "claim_id string, address string, entity_id string, entity_type string, risk_level int, confidence double, is_exposure_seed int"
@@ -148,3 +149,32 @@ def test_paths_met_in_the_middle_equal_plain_search(spark, hops):
     assert got(graph.ordered_paths(edges, asked, hops, "incoming")) == plain_simple_paths(rows, pairs, hops, True, False)
     ranked = {p: sorted((x[2].count(","), x[2].split(","), x[2]) for x in every if x[:2] == p)[:3] for p in pairs}
     assert got(graph.paths(edges, asked, hops, first=3)) == {(*p, x[2]) for p, found in ranked.items() for x in found}
+
+
+def test_hops_leave_the_bucketed_side_in_place(spark):
+    keys = ["direction", "node", "asset_id", "part"]
+    steps = spark.range(5_000).select(
+        F.concat(F.lit("d"), F.col("id") % 2).alias("direction"), F.concat(F.lit("n"), F.col("id") % 7).alias("node"), F.concat(F.lit("a"), F.col("id") % 3).alias("asset_id"), (F.col("id") % 8).cast("int").alias("part"), "id"
+    )
+    written = bucketed(steps, keys, "steps")
+    frontier = spark.range(100).select(F.concat(F.lit("d"), F.col("id") % 2).alias("direction"), F.concat(F.lit("n"), F.col("id") % 9).alias("node"), F.concat(F.lit("a"), F.col("id") % 3).alias("asset_id"), (F.col("id") % 8).cast("int").alias("part"), F.col("id").alias("state"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = frontier.join(written, keys)
+        rows = joined.count()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert rows == frontier.join(steps, keys).count() > 0
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan, plan
+
+
+def test_capped_rule_spreads_a_hub(spark):
+    """Every payment of a hub is met once, whichever of its buckets holds it."""
+    hub = [(f"h{k}", f"th{k}", 100 + k, 0, DAY, "a", None, "7", "hub", f"w{k}") for k in range(3_000)]
+    edges = spark.createDataFrame([("i", "ti", 1, 0, DAY, "a", None, "7", "seed", "hub"), *hub], EDGE)
+    seeds = spark.createDataFrame([("c", "seed", 80)], "seed_id string, address string, risk_level int")
+    none = spark.createDataFrame([], "address string")
+    found = exposure.expose_capped(edges, seeds, none, AT, exposure.CappedOptions(max_hops=2)).where("direction = 'RECEIVED_FROM_SEED'")
+    assert sorted(r.subject_id for r in found.collect()) == sorted(["hub", *(f"w{k}" for k in range(3_000))])
