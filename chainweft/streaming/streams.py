@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -246,27 +246,99 @@ def stream_alerts(checks: DataFrame) -> DataFrame:
 # jobs driven by batches -----------------------------------------------------------
 
 
-def stream_clusters(edges: DataFrame, sink: Sink, discover: Callable[[DataFrame], DataFrame], width: int,
-                    overlap: int) -> None:
-    """Run ``discover`` per arriving block range, widened by ``overlap`` blocks back.
+CURSOR = T.StructType(
+    [T.StructField("epoch", T.LongType()), T.StructField("block_number", T.LongType()), T.StructField("block_hash", T.StringType())]
+)
+
 
-    Edges are stored by block bucket first; each batch then reads the buckets it
-    touches plus the overlap, so a pattern across a batch border is found.
+class ClusterState:
+    """Facts by bucket of their group, a cursor, and the newest result of every group, under one sink.
+
+    Facts are only added: ``facts/epoch=../batch=../bucket=..``.  A batch reads
+    the buckets its groups fall into, and of these the batches before its own.
+    The cursor names the highest block seen and its hash; an epoch ends when
+    that block was replaced.
     """
-    schema = edges.schema
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        sink.write(batch, batch_id, "edges")
-        # two numbers, so that the range reaches the scan as a filter
-        low, high = batch.agg(F.min("block_number"), F.max("block_number")).first()
-        if low is None:
-            return
-        start = (low // width - (overlap + width - 1) // width) * width
-        stored = sink.read(schema, "edges").drop("batch")
-        touched = stored.where(F.col("block_number").between(start, high // width * width + width - 1))
-        sink.write(discover(touched), batch_id)
+    def __init__(self, sink: Sink, schema: T.StructType, key: Sequence[str], discover: Callable[[DataFrame], DataFrame], buckets: int = 32):
+        self.sink, self.schema, self.key, self.discover, self.buckets = sink, schema, list(key), discover, buckets
+        parts = [T.StructField("epoch", T.LongType()), T.StructField("batch", T.LongType()), T.StructField("bucket", T.LongType())]
+        self.stored_schema = T.StructType([*schema.fields, *parts])
+
+    def _spread(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("bucket", F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)))
 
-    run_available(edges, sink, each)
+    def facts(self, epoch: int, before: int, touched: Sequence[int] | None = None) -> DataFrame:
+        """Stored facts of an epoch from batches before ``before``; the bounds reach the scan as partition filters."""
+        path = f"{self.sink.base}/facts"
+        try:
+            rows = self.sink.spark.read.schema(self.stored_schema).parquet(path)
+        except Exception as error:  # nothing written yet
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            rows = self.sink.spark.createDataFrame([], self.stored_schema)
+        rows = rows.where((F.col("epoch") == epoch) & (F.col("batch") < before))
+        return rows if touched is None else rows.where(F.col("bucket").isin(*touched))
+
+    def cursor(self, before: int) -> tuple[int, int, str] | None:
+        rows = self.sink.read(CURSOR, "cursor").where(F.col("batch") < before)
+        last = rows.orderBy(F.desc("batch")).first()
+        return None if last is None else (last.epoch, last.block_number, last.block_hash)
+
+    def _results(self, rows: DataFrame, groups: DataFrame, epoch: int, batch_id: int) -> None:
+        """The result of each group, null where the rule no longer holds."""
+        found = self.discover(rows.drop("epoch", "batch", "bucket"))
+        kept = groups.join(found.withColumn("holds", F.lit(1)), self.key, "left")
+        self.sink.write(kept.withColumn("epoch", F.lit(epoch).cast("long")), batch_id)
+
+    def add(self, batch: DataFrame, batch_id: int, canonical: DataFrame) -> None:
+        """Take up a batch; ``canonical`` (block_number, block_hash) are the blocks that stand at this time."""
+        at = self.cursor(batch_id)
+        epoch = at[0] if at else 0
+        valid = batch.join(canonical, ["block_number", "block_hash"], "left_semi").dropDuplicates(["relationship_id"])
+        fresh = self._spread(valid)
+        anchor_gone = at is not None and canonical.where((F.col("block_number") == at[1]) & (F.col("block_hash") == at[2])).isEmpty()
+        if anchor_gone:  # the facts that still stand, and the batch, begin a new epoch
+            old = self.facts(epoch, batch_id).drop("epoch", "batch").join(canonical, ["block_number", "block_hash"], "left_semi")
+            fresh = old.select(*fresh.columns).unionByName(fresh).dropDuplicates(["relationship_id"])
+            epoch += 1
+        touched = sorted(r.bucket for r in fresh.select("bucket").distinct().collect())  # one number per bucket
+        if not touched:
+            return
+        stored = self.facts(epoch, batch_id, touched)
+        fresh = fresh.join(stored.select("bucket", "relationship_id"), ["bucket", "relationship_id"], "left_anti")
+        # rows of a bucket go together, a hot one in several files
+        fresh.repartition("bucket", F.pmod(F.xxhash64("relationship_id"), F.lit(8))).write.mode("overwrite").partitionBy("bucket").parquet(
+            f"{self.sink.base}/facts/epoch={epoch}/batch={batch_id}"
+        )
+        now = self.facts(epoch, batch_id + 1, touched)
+        groups = now.where(F.col("batch") == batch_id).select(*self.key).distinct()
+        rows = now.join(groups, self.key, "left_semi")
+        self._results(rows, groups, epoch, batch_id)
+        top = now.where(F.col("batch") == batch_id).agg(F.max(F.struct("block_number", "block_hash")).alias("m")).first().m
+        if top is None or (at is not None and not anchor_gone and (top.block_number, top.block_hash) < at[1:]):
+            top = Row(block_number=at[1], block_hash=at[2])
+        self.sink.write(self.sink.spark.createDataFrame([(epoch, top.block_number, top.block_hash)], CURSOR), batch_id, "cursor")
+
+    def read(self) -> DataFrame:
+        """The groups that the rule holds for, from the newest epoch and batch of each."""
+        empty = self.discover(self.sink.spark.createDataFrame([], self.schema)).schema
+        fields = {f.name: f for f in empty.fields}
+        schema = T.StructType([*(fields[k] for k in self.key), *(f for n, f in fields.items() if n not in self.key), T.StructField("holds", T.IntegerType()), T.StructField("epoch", T.LongType())])
+        rows = self.sink.read(schema)
+        newest = rows.agg(F.max("epoch").alias("epoch"))
+        current = latest(rows.join(F.broadcast(newest), "epoch"), self.key, "batch")  # one row
+        return current.where(F.col("holds") == 1).drop("holds", "epoch", "batch")
+
+
+def stream_clusters(edges: DataFrame, state: ClusterState, canonical: DataFrame) -> None:
+    """Keep the results of a rule over groups of edges as they arrive, late and repeated rows included.
+
+    Only groups with new edges are computed again, from the buckets that hold
+    them.  When the block under the cursor was replaced, the edges of blocks
+    that still stand are taken up anew.
+    """
+    run_available(edges, state.sink, lambda batch, batch_id: state.add(batch, batch_id, canonical))
 
 
 FAILURE_KEYS = ["network_id", "failure_id"]
