@@ -10,6 +10,7 @@ from chainweft.functions.ids import stable_id, word, word_address
 from chainweft.functions.ordered import top_per_group
 from chainweft.operators.activity import boundary_flows
 from chainweft.operators.extract import _topic, abi_proof, amount_of, normal_logs
+from chainweft.session import materialise
 
 # Topic families that name an unregistered pool's protocol.
 FAMILY = {
@@ -211,6 +212,12 @@ def registry_errors(registry: DataFrame) -> DataFrame:
     return registry.select("registry_id", F.explode(reasons).alias("reason"))
 
 
+def _indexed(rules: DataFrame, values: str, kinds: str, name: str) -> DataFrame:
+    """(contract, ``name``) to event type, one row for each value a rule names, its first place winning."""
+    places = rules.select("contract", kinds, F.posexplode(values).alias("place", name))
+    return places.groupBy("contract", name).agg(F.min_by(F.get(kinds, F.col("place")), "place").alias("event_type"))
+
+
 def registry_events(txs: DataFrame, logs: DataFrame, edges: DataFrame, registry: DataFrame) -> DataFrame:
     """Events by reviewed rule: method, log topic, standard receipt, then flow direction.
 
@@ -218,26 +225,37 @@ def registry_events(txs: DataFrame, logs: DataFrame, edges: DataFrame, registry:
     method_event_types, event_topics, event_types.  Failed transactions emit
     nothing.  Within a transaction and contract an event is taken once, from the
     strongest source.
+
+    Rules are an inverted index: a call looks up (contract, selector), a log
+    (address, first topic), a receipt (transaction, receipt name), so logs of a
+    transaction never meet contracts that have no rule for them.
     """
     ok = txs.where(F.col("status") == 1)
     rules = registry.withColumn("contract", F.lower("contract"))
+    deciding = rules.select("contract", "protocol_type", "decoder")
     own = normal_logs(logs).join(ok.select("tx_hash"), "tx_hash", "left_semi")
     proof = abi_proof(logs).select("tx_hash", "log_index", "abi", "operation", "abi_valid")
-    touched = (
-        ok.where(F.coalesce("to_address", F.lit("")) != "").select("tx_hash", F.col("to_address").alias("contract"))
-        .unionByName(own.select("tx_hash", F.col("address").alias("contract")))
+    seen = materialise(
+        own.select("tx_hash", "log_index", F.col("address").alias("contract"), _topic(0).alias("topic0"))
+        .join(proof, ["tx_hash", "log_index"], "left"),
+        "registry-logs",
+    )
+    heads = ok.select("tx_hash", "from_address", "to_address", "transaction_index", F.substring("input_data", 1, 10).alias("selector"))
+    base = materialise(
+        heads.where(F.coalesce("to_address", F.lit("")) != "").select("tx_hash", F.col("to_address").alias("contract"))
+        .unionByName(seen.select("tx_hash", "contract"))
         .distinct()
-        .join(rules, "contract")
+        .join(deciding, "contract")
         .unionByName(
-            ok.select("tx_hash", F.col("from_address").alias("contract")).join(
-                rules.where(F.col("protocol_type") == "system"), "contract"
+            heads.select("tx_hash", F.col("from_address").alias("contract")).join(
+                deciding.where(F.col("protocol_type") == "system"), "contract"
             )
         )
         .dropDuplicates(["tx_hash", "contract"])
+        .join(heads.select("tx_hash", "transaction_index"), "tx_hash"),
+        "registry-base",
     )
     columns = ["tx_hash", "contract", "event_type", "emitter", "event_index", "from_log", "source", "confidence", "priority"]
-    head = ok.select("tx_hash", "to_address", "transaction_index", F.substring("input_data", 1, 10).alias("selector"))
-    base = touched.join(head, "tx_hash")
 
     def out(df: DataFrame, kind: Column, emitter: str, index: str, from_log: bool, source: str,
             confidence: Column, priority: int) -> DataFrame:
@@ -247,38 +265,39 @@ def registry_events(txs: DataFrame, logs: DataFrame, edges: DataFrame, registry:
             F.lit(source).alias("source"), confidence.cast("double").alias("confidence"), F.lit(priority).alias("priority"),
         ).select(*columns)
 
-    at = F.array_position("method_ids", F.col("selector"))
-    method = out(
-        base.where((F.col("to_address") == F.col("contract")) & (at > 0)),
-        F.element_at("method_event_types", at.cast("int")), "contract", "transaction_index", False,
-        "method", F.lit(0.88), 1,
+    calls = heads.withColumn("contract", F.col("to_address")).join(
+        _indexed(rules, "method_ids", "method_event_types", "selector"), ["contract", "selector"]
     )
-    seen = base.join(
-        own.select("tx_hash", "log_index", F.col("address").alias("emitter"), _topic(0).alias("topic0")), "tx_hash"
-    ).join(proof, ["tx_hash", "log_index"], "left")
+    method = out(calls, F.col("event_type"), "contract", "transaction_index", False, "method", F.lit(0.88), 1)
+    by_topic = _indexed(rules, "event_topics", "event_types", "topic").withColumn("topic0", F.regexp_replace(F.lower("topic"), "^0x", ""))
     readable = F.col("abi").isNull() | F.col("abi_valid")
-    where = F.array_position("event_topics", F.concat(F.lit("0x"), "topic0"))
     topic = out(
-        seen.where((F.col("emitter") == F.col("contract")) & (where > 0) & readable),
-        F.element_at("event_types", where.cast("int")), "emitter", "log_index", True, "event_topic", F.lit(0.98), 2,
+        seen.where(readable).join(by_topic, ["contract", "topic0"]),
+        F.col("event_type"), "contract", "log_index", True, "event_topic", F.lit(0.98), 2,
     )
-    flows = boundary_flows(edges, ok, touched.select("tx_hash", "contract"))
-    flow = flows.groupBy("tx_hash", "contract").agg(
-        F.max((F.col("legs_in") > 0).cast("int")).alias("inward"), F.max((F.col("legs_out") > 0).cast("int")).alias("outward"),
-        F.count("*").alias("assets"),
+    flows = boundary_flows(edges, ok, base.select("tx_hash", "contract"))
+    flow = materialise(
+        flows.groupBy("tx_hash", "contract").agg(
+            F.max((F.col("legs_in") > 0).cast("int")).alias("inward"), F.max((F.col("legs_out") > 0).cast("int")).alias("outward"),
+            F.count("*").alias("assets"),
+        ),
+        "registry-flow",
     )
     both = (F.coalesce("inward", F.lit(0)) == 1) & (F.coalesce("outward", F.lit(0)) == 1)
-    standard_ok = F.lit(False)
-    for decoder, names in STANDARD.items():
-        standard_ok = F.when(F.col("decoder") == decoder, F.col("abi").isin(*names)).otherwise(standard_ok)
+    names = F.array().cast("array<string>")
+    for decoder, receipts in STANDARD.items():
+        names = F.when(F.col("decoder") == decoder, F.array(*map(F.lit, receipts))).otherwise(names)
+    receipts = seen.where("abi_valid").select("tx_hash", "abi", "operation", "log_index", F.col("contract").alias("emitter"))
     standard = out(
-        seen.where(standard_ok & F.col("abi_valid")).join(flow, ["tx_hash", "contract"], "left"),
+        base.select("tx_hash", "contract", F.explode(names).alias("abi")).join(receipts, ["tx_hash", "abi"])
+        .join(flow, ["tx_hash", "contract"], "left"),
         F.col("operation"), "emitter", "log_index", True, "standard_topic", F.when(both, 0.98).otherwise(0.90), 3,
     )
     mixer = out(
-        seen.where((F.col("decoder") == "tornado_cash_v1") & (F.col("emitter") == F.col("contract"))
-                   & F.col("operation").startswith("mixer_") & F.col("abi_valid")),
-        F.col("operation"), "emitter", "log_index", True, "standard_topic", F.lit(0.99), 3,
+        seen.where(F.col("abi_valid") & F.col("operation").startswith("mixer_")).join(
+            deciding.where(F.col("decoder") == "tornado_cash_v1").select("contract"), "contract"
+        ),
+        F.col("operation"), "contract", "log_index", True, "standard_topic", F.lit(0.99), 3,
     )
     fixed_kind = F.when(F.col("decoder") == "reviewed_interaction", "scam_interaction").when(
         F.col("decoder") == "chain_system", "chain_system_transaction"
@@ -287,7 +306,7 @@ def registry_events(txs: DataFrame, logs: DataFrame, edges: DataFrame, registry:
         base.where(fixed_kind.isNotNull()), fixed_kind, "contract", "transaction_index", False,
         "interaction", F.lit(1.0), 3,
     )
-    direct = method.unionByName(topic).unionByName(standard).unionByName(mixer).unionByName(fixed)
+    direct = materialise(method.unionByName(topic).unionByName(standard).unionByName(mixer).unionByName(fixed), "registry-direct")
     silent = base.join(direct.select("tx_hash", "contract").distinct(), ["tx_hash", "contract"], "left_anti").join(
         flow, ["tx_hash", "contract"]
     )

@@ -374,25 +374,58 @@ def registered_bridge_events(t: Tables) -> DataFrame:
     )
 
 
-@query("j12_registry_events")
+_REGISTRY_EVENTS = f"""ok AS (SELECT 't' || o_orderkey AS tx_hash, o_custkey AS ck, o_custkey % 50 AS sk, o_orderkey // 1440 AS x, o_orderpriority LIKE '2%' AS swaps FROM orders WHERE o_orderstatus <> 'F'),
+    lg AS (SELECT 't' || l_orderkey AS tx_hash, {_IDX} AS li, l_suppkey AS k, l_suppkey % 2 = 0 AS is_swap, l_linenumber <> 3 AS valid FROM lineitem WHERE 't' || l_orderkey IN (SELECT tx_hash FROM ok)),
+    rl AS (SELECT 's' AS side, s_suppkey AS k, s_suppkey % 8 AS pick FROM supplier UNION ALL SELECT 'c', c_custkey, 8 FROM customer WHERE c_custkey % 40 = 7),
+    ba AS (SELECT DISTINCT u.tx_hash, side, rl.k, pick FROM (SELECT tx_hash, sk AS k FROM ok UNION ALL SELECT tx_hash, k FROM lg) u JOIN rl ON rl.k = u.k AND side = 's'
+        UNION ALL SELECT tx_hash, side, k, pick FROM ok JOIN rl ON side = 'c' AND k = ck),
+    nb AS (SELECT ba.*, CASE side WHEN 's' THEN 'S' ELSE 'C' END || k AS who, x, 'C' || ck AS initiator FROM ba JOIN ok USING (tx_hash)),
+    le AS (SELECT nb.tx_hash, nb.side, nb.k, initiator, who, e.*, max(CASE WHEN from_address = who OR to_address = who THEN 1 ELSE 0 END) OVER (PARTITION BY nb.tx_hash, nb.side, nb.k) AS hit FROM nb JOIN (SELECT tx_hash AS tx, from_address, to_address, asset_id, token_id, amount FROM edges) e ON e.tx = nb.tx_hash),
+    fl AS (SELECT tx_hash, side, k, asset_id, count(*) FILTER (CASE WHEN hit = 1 THEN to_address = who ELSE from_address = initiator END AND to_address <> {ZERO}) AS i,
+        count(*) FILTER (CASE WHEN hit = 1 THEN from_address = who ELSE to_address = initiator END AND from_address <> {ZERO}) AS o FROM le WHERE coalesce(token_id, '') = '' AND from_address <> to_address AND amount <> 0 GROUP BY 1, 2, 3, 4),
+    fw AS (SELECT tx_hash, side, k, max(CASE WHEN i > 0 THEN 1 ELSE 0 END) AS inward, max(CASE WHEN o > 0 THEN 1 ELSE 0 END) AS outward, count(*) AS assets FROM fl WHERE i > 0 OR o > 0 GROUP BY 1, 2, 3),
+    di AS (SELECT nb.tx_hash, side, nb.k, 'swap' AS ev, nb.k AS em, nb.x AS ix, false AS from_log, 'method' AS source, 0.88 AS confidence, 1 AS p FROM nb JOIN ok USING (tx_hash) WHERE side = 's' AND nb.k = sk AND pick < 3 AND swaps
+        UNION ALL SELECT nb.tx_hash, side, nb.k, CASE WHEN pick = 4 THEN 'lending_supply' ELSE 'swap' END, nb.k, li, true, 'event_topic', 0.98, 2 FROM nb JOIN lg ON lg.tx_hash = nb.tx_hash AND lg.k = nb.k WHERE side = 's' AND pick IN (0, 4) AND is_swap AND valid
+        UNION ALL SELECT nb.tx_hash, nb.side, nb.k, CASE WHEN is_swap THEN 'swap' ELSE 'liquidity_add' END, lg.k, li, true, 'standard_topic', CASE WHEN inward = 1 AND outward = 1 THEN 0.98 ELSE 0.90 END, 3
+            FROM nb JOIN lg ON lg.tx_hash = nb.tx_hash LEFT JOIN fw ON fw.tx_hash = nb.tx_hash AND fw.side = nb.side AND fw.k = nb.k WHERE nb.side = 's' AND pick IN (0, 2) AND valid
+        UNION ALL SELECT tx_hash, side, k, CASE WHEN pick = 7 THEN 'scam_interaction' ELSE 'chain_system_transaction' END, k, x, false, 'interaction', 1.0, 3 FROM nb WHERE pick IN (7, 8)),
+    fb AS (SELECT nb.tx_hash, nb.side, nb.k, CASE pick WHEN 2 THEN 'swap' WHEN 3 THEN CASE WHEN inward = 1 THEN 'bridge_deposit' ELSE 'bridge_withdrawal' END WHEN 4 THEN CASE WHEN inward = 1 THEN 'lending_supply' ELSE 'lending_withdrawal' END
+            WHEN 5 THEN CASE WHEN inward = 1 THEN 'staking_deposit' ELSE 'staking_withdrawal' END ELSE CASE WHEN inward = 1 THEN 'mixer_deposit' ELSE 'mixer_withdrawal' END END AS ev, nb.k AS em, x AS ix, false AS from_log, 'fund_flow' AS source,
+            CASE pick WHEN 2 THEN 0.76 WHEN 3 THEN 0.74 ELSE 0.72 END AS confidence, 4 AS p
+        FROM nb JOIN fw ON fw.tx_hash = nb.tx_hash AND fw.side = nb.side AND fw.k = nb.k WHERE (nb.tx_hash, nb.side, nb.k) NOT IN (SELECT tx_hash, side, k FROM di) AND (pick IN (3, 4, 5, 6) OR (pick = 2 AND inward = 1 AND outward = 1 AND assets >= 2))),
+    ev AS (SELECT * FROM (SELECT * FROM di UNION ALL SELECT * FROM fb) QUALIFY row_number() OVER (PARTITION BY tx_hash, side, k, ev, em, ix, from_log ORDER BY p) = 1)"""
+
+
+@query(
+    "j12_registry_events",
+    f"""WITH {_REGISTRY_EVENTS} SELECT tx_hash, CASE side WHEN 's' THEN {_h('5', 'k')} ELSE {_h('c', 'k')} END AS contract, ev AS event_type, CASE side WHEN 's' THEN {_h('5', 'em')} ELSE {_h('c', 'em')} END AS emitter,
+        ix AS event_index, from_log, source, confidence::DOUBLE AS confidence FROM ev""",
+)
 def registry_events(t: Tables) -> DataFrame:
-    """Rules of every decoder applied to hex-addressed transactions and pool logs."""
+    """Rules of every decoder but the deposit pools', applied to hex-addressed transactions and pool logs."""
     number = F.regexp_extract("contract", "([0-9]+)$", 1).cast("bigint")
     empty = F.array().cast("array<string>")
-    registry = registry_rows(t).withColumns(
+    swap_topic = F.col("decoder").isin("amm_v2", "lending_generic")
+    registry = registry_rows(t).select("contract", "protocol", "protocol_type", "decoder").withColumns(
         {
             "contract": _hex_address("5", number),
             "method_ids": F.when(F.col("protocol_type") == "dex", F.array(F.lit("0x38ed1739"))).otherwise(empty),
             "method_event_types": F.when(F.col("protocol_type") == "dex", F.array(F.lit("swap"))).otherwise(empty),
-            "event_topics": empty, "event_types": empty,
+            "event_topics": F.when(swap_topic, F.array(F.lit(V2_SWAP))).otherwise(empty),
+            "event_types": F.when(F.col("protocol_type") == "dex", F.array(F.lit("swap"))).when(swap_topic, F.array(F.lit("lending_supply"))).otherwise(empty),
         }
     )
+    system = t.raw("customer").where(F.col("c_custkey") % 40 == 7).select(
+        _c("c_custkey").alias("contract"), F.lit("chain").alias("protocol"), F.lit("system").alias("protocol_type"), F.lit("chain_system").alias("decoder"),
+        *[empty.alias(c) for c in ("method_ids", "method_event_types", "event_topics", "event_types")],
+    )
+
     def named(column: str, prefix: str) -> Column:
         return _hex_address(prefix, F.regexp_extract(column, "([0-9]+)$", 1).cast("bigint"))
 
     txs = t.account_txs().withColumns({"from_address": named("from_address", "c"), "to_address": named("to_address", "5")})
-    found = ev.registry_events(txs, pool_logs(t), hex_edges(t), registry)
-    return found.groupBy("event_type", "source").agg(F.count("*").alias("events"), F.round(F.avg("confidence"), 4).alias("confidence"))
+    found = ev.registry_events(txs, pool_logs(t), hex_edges(t), registry.unionByName(system))
+    return found.drop("event_id")
 
 
 @query("j12_registry_errors", "SELECT 'reg' || s_suppkey AS registry_id, 'incompatible_decoder' AS reason FROM supplier WHERE s_suppkey % 6 = 1 AND s_suppkey % 8 <> 7")
