@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chainweft.functions.chains import places
 from chainweft.functions.ids import ZERO_ADDRESS
 from chainweft.session import materialise
 
@@ -75,44 +76,36 @@ def peel_steps(shape: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataF
     return _event(hit, PEEL_STEP)
 
 
-def peel_chains(steps: DataFrame) -> DataFrame:
-    """Steps linked through the spent larger output: three to five of them, at most two back.
+def peel_chains(steps: DataFrame, length: int = MAX_CHAIN, back: int = 2, least: int = 3) -> DataFrame:
+    """Steps linked through the spent larger output: ``least`` to ``length`` of them around each anchor.
 
-    Every step is looked at as an anchor: up to two parents, then children
-    until five.  A step has one input and one larger output, so each link join
-    is one to one and the chain is at most five columns wide.
+    A chain begins at most ``back`` steps before its anchor.  A step has one
+    input and one larger output, so links form lines: each step gets its line
+    and its place on it (see ``places``), and every anchor collects the few
+    places of its window in one aggregate, whatever the length.
     """
-    link = materialise(
-        steps.select(
-            F.col("tx_hash").alias("child"), F.col("prev_tx_hash"), F.col("prev_output_index"),
+    own = steps.select(F.col("tx_hash").alias("node"), "prev_tx_hash", "prev_output_index", "largest_output_index")
+    links = own.select(F.col("node").alias("child"), "prev_tx_hash", "prev_output_index").join(
+        own.select(F.col("node").alias("parent"), F.col("node").alias("prev_tx_hash"), F.col("largest_output_index").alias("prev_output_index")),
+        ["prev_tx_hash", "prev_output_index"],
+    ).select("child", "parent")
+    placed = places(own, materialise(links, "peel-links"))
+    place = F.col("place")
+    # anchors whose window holds this place: the window begins at max(anchor - back, 0)
+    anchors = F.sequence(F.greatest(place - (length - 1 - back), F.lit(0)), place + back)
+    near = placed.select("root", "node", "place", F.explode(anchors).alias("anchor_place")).where(
+        (place >= F.greatest(F.col("anchor_place") - back, F.lit(0))) & (place < F.greatest(F.col("anchor_place") - back, F.lit(0)) + length)
+    ).unionByName(
+        # the first anchors' windows are not moved back in full
+        placed.select("root", "node", "place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(back - 1).cast("long"))).alias("anchor_place")).where(
+            (place < length) & (F.col("anchor_place") < place - (length - 1 - back))
         )
-        .join(
-            steps.select(F.col("tx_hash").alias("parent"), F.col("tx_hash").alias("prev_tx_hash"),
-                         F.col("largest_output_index").alias("prev_output_index")),
-            ["prev_tx_hash", "prev_output_index"],
-        )
-        .select("parent", "child"),
-        "peel-links",
     )
-    chain = steps.select(F.col("tx_hash").alias("anchor"), F.array("tx_hash").alias("chain"),
-                         F.col("tx_hash").alias("first"), F.col("tx_hash").alias("last"))
-    for _ in range(2):
-        up = link.select(F.col("child").alias("first"), F.col("parent").alias("__p"))
-        chain = chain.join(up, "first", "left").select(
-            "anchor",
-            F.when(F.col("__p").isNotNull(), F.array_prepend("chain", F.col("__p"))).otherwise(F.col("chain")).alias("chain"),
-            # a broken walk must not resume: an empty name has no parent
-            F.coalesce("__p", F.lit("")).alias("first"), "last",
-        )
-    for _ in range(MAX_CHAIN - 1):
-        down = link.select(F.col("parent").alias("last"), F.col("child").alias("__c"))
-        room = F.size("chain") < MAX_CHAIN
-        chain = chain.join(down, "last", "left").select(
-            "anchor",
-            F.when(F.col("__c").isNotNull() & room, F.array_append("chain", F.col("__c"))).otherwise(F.col("chain")).alias("chain"),
-            F.when(room, F.coalesce("__c", F.lit(""))).otherwise(F.lit("")).alias("last"), "first",
-        )
-    hit = chain.where(F.size("chain") >= 3).select("anchor", "chain", F.size("chain").alias("steps"))
+    chains = near.groupBy("root", "anchor_place").agg(
+        F.array_sort(F.collect_list(F.struct("place", "node"))).alias("c"),
+        F.max(F.when(place == F.col("anchor_place"), F.col("node"))).alias("anchor"),
+    ).where(F.col("anchor").isNotNull() & (F.size("c") >= least))
+    hit = chains.select("anchor", F.transform("c", lambda x: x["node"]).alias("chain"), F.size("c").alias("steps"))
     return _event(hit, PEEL_CHAIN)
 
 

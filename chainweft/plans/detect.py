@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainweft.operators import activity, clusters, events, visibility
@@ -239,9 +239,37 @@ def peel_chains(t: Tables) -> DataFrame:
     return found.select("anchor", F.array_join("chain", ">").alias("chain"), "steps")
 
 
-@query("j05_peel_chains_strict")
+def _peel_lines(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A customer's orders as a line of payments: each spends what the one before left and pays its own total."""
+    line = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderkey"))
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    rows = t.raw("orders").select(
+        F.concat(F.lit("p"), "o_orderkey").alias("tx_hash"), F.concat(F.lit("C"), "o_custkey").alias("address"), F.col("o_custkey"), "o_orderkey", cents.alias("cents")
+    ).withColumns({
+        "held": F.sum("cents").over(line) + 100_000_000,
+        "prev_tx_hash": F.coalesce(F.lead("tx_hash").over(line), F.lit("origin")),
+    })
+    header = ["tx_hash", "address", F.lit("").alias("script_hex")]
+    inputs = rows.select(*header, F.col("held").alias("value_sats"), "prev_tx_hash", F.lit(0).alias("prev_output_index"))
+    left = rows.select(*header, F.lit(0).alias("output_index"), (F.col("held") - F.col("cents")).alias("value_sats"))
+    paid = rows.select("tx_hash", F.concat(F.lit("S"), F.col("o_orderkey") % 50).alias("address"), F.lit("").alias("script_hex"), F.lit(1).alias("output_index"), (F.col("cents") - 1).alias("value_sats"))
+    return inputs, left.unionByName(paid), rows.select("tx_hash", F.lit(0).alias("coinbase"))
+
+
+@query(
+    "j05_peel_chains_strict",
+    """WITH RECURSIVE r AS (SELECT 'p' || o_orderkey AS tx, o_custkey AS c, o_orderkey AS k, cast(round(o_totalprice * 100) AS bigint) AS cents FROM orders),
+    v AS (SELECT tx, cents, sum(cents) OVER (PARTITION BY c ORDER BY k DESC) + 100000000 AS held, lag(tx) OVER (PARTITION BY c ORDER BY k) AS prev, lag(cents) OVER (PARTITION BY c ORDER BY k) AS pc FROM r),
+    st AS (SELECT tx, prev, pc FROM v WHERE cents > 1 AND greatest(held - cents, cents - 1) // least(held - cents, cents - 1) >= 4),
+    lk AS (SELECT p.tx AS parent, c.tx AS child FROM st c JOIN st p ON p.tx = c.prev JOIN v ON v.tx = p.tx WHERE v.held - v.cents >= v.cents - 1),
+    up AS (SELECT tx AS anchor, tx AS head, 0 AS back FROM st UNION ALL SELECT anchor, parent, back + 1 FROM up JOIN lk ON child = head WHERE back < 2),
+    h AS (SELECT anchor, head, back FROM up QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY back DESC) = 1),
+    dn AS (SELECT anchor, head AS node, head AS chain, 1 AS steps FROM h UNION ALL SELECT anchor, child, chain || '>' || child, steps + 1 FROM dn JOIN lk ON parent = node WHERE steps < 5)
+    SELECT anchor, chain, steps FROM dn QUALIFY steps >= 3 AND row_number() OVER (PARTITION BY anchor ORDER BY steps DESC) = 1""",
+)
 def peel_chains_strict(t: Tables) -> DataFrame:
-    found = op.peel_chains(op.peel_steps(shape(t), t.utxo_inputs(), t.utxo_outputs()))
+    inputs, outputs, txs = _peel_lines(t)
+    found = op.peel_chains(op.peel_steps(clusters.tx_shape(inputs, outputs, txs), inputs, outputs))
     return found.select("anchor", F.array_join("chain", ">").alias("chain"), "steps")
 
 
