@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from itertools import pairwise
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +19,16 @@ def _stream(t: Tables, name: str = "events") -> DataFrame:
     return op.read_stream(t.spark, t.path, t.raw(name).schema, pattern=f"{name}.parquet")
 
 
-def _restream(df: DataFrame, label: str, parts: int = 4) -> DataFrame:
-    """A batch frame as a stream of a few files."""
-    stored = materialise(df.repartition(parts), label)
+def _restream(df: DataFrame, label: str, parts: int = 4, by: str | None = None) -> DataFrame:
+    """A batch frame as a stream of a few files, ordered by a column where one is named."""
+    if by is None:
+        stored = materialise(df.repartition(parts), label)
+    else:  # a file at a time, as they are read by age
+        cuts = [float("-inf"), *df.approxQuantile(by, [k / parts for k in range(1, parts)], 0.001), float("inf")]
+        folder = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+        for low, high in pairwise(cuts):
+            df.where((F.col(by) >= low) & (F.col(by) < high)).coalesce(1).write.mode("append").parquet(folder)
+        return op.read_stream(df.sparkSession, folder, df.schema, 1)
     return op.read_stream(df.sparkSession, stored.inputFiles()[0].rsplit("/", 1)[0], stored.schema, 1)
 
 
@@ -40,17 +48,31 @@ def confirmed_blocks(t: Tables) -> DataFrame:
     return sink.read(stream.schema).select("block_number", "block_hash", "revision")
 
 
-@query("m02_published_in_order")
+@query(
+    "m02_published_in_order",
+    """WITH RECURSIVE hd AS (SELECT DISTINCT 'n' || ((block_number + 31) // 37) AS network_id, block_number, block_hash, parent_hash FROM blocks),
+    an AS (SELECT network_id, min(block_number) AS block_number FROM hd GROUP BY 1),
+    w AS (SELECT hd.network_id, hd.block_number, hd.block_hash FROM hd JOIN an USING (network_id, block_number)
+        UNION SELECT hd.network_id, hd.block_number, hd.block_hash FROM w JOIN hd ON hd.network_id = w.network_id AND hd.block_number = w.block_number + 1 AND hd.parent_hash = w.block_hash)
+    SELECT network_id, block_number, block_hash FROM w""",
+)
 def published_in_order(t: Tables) -> DataFrame:
-    headers = t.blocks().where(F.col("revision") == 1)
-    return op.replay(op.publish_in_order(_restream(headers, "headers")), "published")
+    """Headers of all revisions in random order; every gap of the supplied heights begins another network."""
+    headers = t.blocks().select(
+        F.concat(F.lit("n"), F.floor((F.col("block_number") + 31) / 37)).alias("network_id"), "block_number", "block_hash", "parent_hash"
+    )
+    anchors = headers.groupBy("network_id").agg(F.min_by(F.struct("block_number", "block_hash"), "block_number").alias("a")).select("network_id", "a.*")
+    sink = op.Sink(t.spark, "published")
+    op.publish_in_order(_restream(headers, "headers"), sink, materialise(anchors, "anchors"))
+    return sink.read(op.HEADER).select("network_id", "block_number", "block_hash")
 
 
 @query("m03_deduplicated_blocks", "SELECT DISTINCT block_number, block_hash, revision FROM blocks")
 def deduplicated_blocks(t: Tables) -> DataFrame:
-    """Every block arrives twice in different files."""
-    twice = t.blocks().unionByName(t.blocks())
-    out = op.replay(op.dedupe_blocks(_restream(twice, "twice"), "10000 days"), "deduplicated")
+    """Every block arrives twice, the second time up to half a day later and so often in a later file; state is kept for a day."""
+    late = t.blocks().withColumn("arrives", F.col("block_timestamp_unix_ms") + F.pmod(F.xxhash64("block_hash"), F.lit(43_200_000)))
+    twice = t.blocks().withColumn("arrives", F.col("block_timestamp_unix_ms")).unionByName(late)
+    out = op.replay(op.dedupe_blocks(_restream(twice, "twice", 6, "arrives").drop("arrives"), "1 day"), "deduplicated")
     return out.select("block_number", "block_hash", "revision")
 
 

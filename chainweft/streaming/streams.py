@@ -11,14 +11,15 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from chainweft.functions.chains import places
 from chainweft.operators.risk import severity
 from chainweft.operators.visibility import latest
-from chainweft.session import shared_dir
+from chainweft.session import materialise, shared_dir
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None,
@@ -105,45 +106,50 @@ def confirmed(stream: DataFrame, sink: Sink, depth: int) -> None:
     run_available(stream, sink, each)
 
 
-PUBLISHED = "network_id string, block_number long, block_hash string, action string"
+HEADER = T.StructType(
+    [
+        T.StructField("network_id", T.StringType()), T.StructField("block_number", T.LongType()),
+        T.StructField("block_hash", T.StringType()), T.StructField("parent_hash", T.StringType()),
+    ]
+)
 
 
-def publish_in_order(stream: DataFrame) -> DataFrame:
-    """Publish headers one height at a time; report what does not fit the tip.
+def publish_in_order(stream: DataFrame, sink: Sink, anchors: DataFrame) -> None:
+    """Publish the headers that a line of parents joins to their network's anchor.
 
-    State per network: tip height and hash, and headers that wait for their
-    parent.  Only headers pass through here (a few per second and network), not
-    facts.  Actions: published, conflict (other parent at the next height).
+    ``anchors``: network_id, block_number, block_hash; an anchor is published
+    with its first descendants.  Headers may come in any order and repeatedly; whatever is not
+    attached yet waits in the stored headers.  A batch reads the stored headers
+    from the lowest published tip on, links them by (height - 1, parent hash)
+    and finds each one's root in a logarithmic number of joins.
     """
-    state = "tip long, tip_hash string, waiting string"
+    keys = ["network_id", "block_number", "block_hash"]
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        import json
+    def name(height: Column, block: str) -> Column:
+        return F.concat_ws("|", "network_id", height.cast("string"), F.col(block))
 
-        tip, tip_hash, raw = held.get if held.exists else (None, None, "{}")
-        waiting = {int(h): v for h, v in json.loads(raw).items()}
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                waiting.setdefault(int(r.block_number), []).append([r.block_hash, r.parent_hash])
-        out = []
-        if tip is None and waiting:
-            first = min(waiting)
-            tip, tip_hash = first - 1, waiting[first][0][1]
-        while tip is not None and tip + 1 in waiting:
-            options = waiting[tip + 1]
-            fit = next((o for o in options if o[1] == tip_hash), None)
-            out.extend((key[0], tip + 1, o[0], "conflict") for o in options if o is not fit)
-            del waiting[tip + 1]
-            if fit is None:
-                break
-            tip, tip_hash = tip + 1, fit[0]
-            out.append((key[0], tip, tip_hash, "published"))
-        held.update((tip if tip is not None else -1, tip_hash or "", json.dumps(waiting)))
-        yield pd.DataFrame(out, columns=["network_id", "block_number", "block_hash", "action"])
-
-    return stream.select("network_id", "block_number", "block_hash", "parent_hash").groupBy("network_id").applyInPandasWithState(
-        step, PUBLISHED, state, "append", GroupStateTimeout.NoTimeout
-    )
+    def each(batch: DataFrame, batch_id: int) -> None:
+        sink.write(batch.select(*HEADER.fieldNames()), batch_id, "headers")
+        out = sink.read(HEADER).where(F.col("batch") < batch_id)
+        tips = out.groupBy("network_id").agg(F.max_by(F.struct("block_number", "block_hash"), "block_number").alias("tip"))
+        start = anchors.join(tips, "network_id", "left").select("network_id", F.col("block_number").alias("anchor"), F.coalesce("tip.block_number", "block_number").alias("from"))
+        start = materialise(start, "tips")
+        low = start.agg(F.min("from")).first()[0]  # one number, so that the range reaches the scan
+        if low is None:
+            return
+        stored = sink.read(HEADER, "headers").where((F.col("block_number") >= low) & (F.col("batch") <= batch_id)).drop("batch").distinct()
+        # a row per network; heights below its anchor never count
+        live = materialise(stored.join(start, "network_id").where(F.col("block_number") >= F.col("anchor")), "headers")
+        nodes = live.select(name(F.col("block_number"), "block_hash").alias("node"), "network_id", "block_number", "block_hash", "parent_hash")
+        own = nodes.where("parent_hash IS NOT NULL").select(F.col("node").alias("child"), name(F.col("block_number") - 1, "parent_hash").alias("parent"))
+        links = own.join(nodes.select(F.col("node").alias("parent")), "parent", "left_semi").dropDuplicates(["child"])
+        placed = places(nodes, materialise(links, "links"))
+        published = out.select(name(F.col("block_number"), "block_hash").alias("node"))
+        roots = anchors.select(name(F.col("block_number"), "block_hash").alias("root")).unionByName(published.select(F.col("node").alias("root"))).distinct()
+        new = placed.join(roots, "root", "left_semi").join(published, "node", "left_anti")
+        sink.write(nodes.join(new.select("node"), "node", "left_semi").select(*HEADER.fieldNames()).dropDuplicates(keys), batch_id)
+
+    run_available(stream, sink, each)
 
 
 def dedupe_blocks(stream: DataFrame, delay: str = "1 day") -> DataFrame:
