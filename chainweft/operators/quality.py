@@ -122,8 +122,11 @@ def coverage(blocks: DataFrame) -> DataFrame:
 
 
 def health(state: DataFrame, journal: DataFrame, failures: DataFrame, missing: DataFrame,
-           head: int | None, max_lag: int) -> DataFrame:
-    """One status per network: NOT_STARTED, DEGRADED, LAGGING or HEALTHY."""
+           heads: DataFrame, max_lag: int) -> DataFrame:
+    """One status per network: NOT_STARTED, DEGRADED, LAGGING or HEALTHY.
+
+    ``heads``: network_id, head; a network whose source gives no head is degraded.
+    """
     # One row per network and status, at most a few dozen rows in all.
     stuck = failures.where(F.col("status") == "dead_letter").groupBy("network_id").agg(
         F.sum("failures").alias("non_retryable_failures")
@@ -134,12 +137,13 @@ def health(state: DataFrame, journal: DataFrame, failures: DataFrame, missing: D
         .join(journal, "network_id", "left")
         .join(stuck, "network_id", "left")
         .join(holes, "network_id", "left")
+        .join(heads.select("network_id", F.col("head").cast("bigint").alias("head")), "network_id", "left")
         .fillna(0, ["processing_blocks", "stale_processing_blocks", "failed_blocks",
                     "non_retryable_failures", "missing_block_count"])
     )
     tip = F.when(F.col("initialized") == 1, F.col("last_block_number"))
-    source = F.lit(head).cast("bigint")
-    lag = F.greatest(source - tip, F.lit(0))
+    source = F.col("head")
+    lag = F.when(source.isNotNull() & tip.isNotNull(), F.greatest(source - tip, F.lit(0)))
     bad = (
         source.isNull()
         | (F.col("stale_processing_blocks") > 0)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chainweft.functions import ids
 from chainweft.operators import activity, exposure, matching, quality, scope, series, visibility
 from chainweft.operators import profile as op
 from chainweft.operators import risk
@@ -13,6 +16,8 @@ from chainweft.plans.detect import labelled_wallets
 from chainweft.plans.graph import _EXPOSED, AT, current_claims
 from chainweft.plans.matching import forward_sql
 from chainweft.plans.registry import query
+from chainweft.session import shared_dir
+from chainweft.sources import files
 from chainweft.sources.tables import Tables
 
 _CUR = "cur AS (SELECT * FROM claims QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY revision DESC) = 1)"
@@ -413,17 +418,73 @@ def gap_scan(t: Tables) -> DataFrame:
     return found.select("block_number", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("n02_health_status", "SELECT network_id, 'DEGRADED' AS status, 4 AS lag_blocks FROM state")
+@query(
+    "n02_health_status",
+    """WITH c AS (SELECT c_nationkey AS n, count(*) AS tip, count(*) FILTER (c_acctbal < -900) AS stale, count(*) FILTER (c_acctbal > 9980) AS failed FROM customer GROUP BY 1),
+    s AS (SELECT s_nationkey AS n, count(*) FILTER (s_acctbal < -500) AS dead, count(*) FILTER (s_acctbal > 9800) AS missing FROM supplier GROUP BY 1),
+    a AS (SELECT n_nationkey AS n, n_nationkey % 6 <> 5 AS started, c.tip, CASE WHEN n_nationkey % 7 <> 3 THEN c.tip + n_nationkey * 11 - 5 END AS head, coalesce(stale, 0) AS stale, coalesce(failed, 0) AS failed, coalesce(dead, 0) AS dead, coalesce(missing, 0) AS missing
+        FROM nation JOIN c ON c.n = n_nationkey LEFT JOIN s ON s.n = n_nationkey)
+    SELECT 'net' || n AS network_id, CASE WHEN NOT started THEN 'NOT_STARTED' WHEN head IS NULL OR stale > 0 OR failed > 0 OR dead > 0 OR missing > 0 THEN 'DEGRADED' WHEN greatest(head - tip, 0) > 100 THEN 'LAGGING' ELSE 'HEALTHY' END AS status,
+        CASE WHEN started AND head IS NOT NULL THEN greatest(head - tip, 0) END AS lag_blocks, stale AS stale_processing_blocks, failed AS failed_blocks, dead AS non_retryable_failures, missing AS missing_block_count FROM a""",
+)
 def health_status(t: Tables) -> DataFrame:
-    tip = t.state().select("network_id", (F.col("last_block_number") + 4).alias("head"))
-    missing = series.missing_ranges(_canonical(t), t.state())
-    found = quality.health(
-        t.state(), quality.journal_summary(t.blocks(), 1_300_050_000_000), quality.failure_summary(t.failures()), missing,
-        None, 100,
+    """Every nation as a network: customers are its blocks, the balances tell which of them have trouble."""
+    net = lambda c: F.concat(F.lit("net"), F.col(c).cast("string")).alias("network_id")
+    blocks = t.raw("customer").groupBy(net("c_nationkey")).agg(
+        F.count("*").alias("tip"), F.count_if(F.col("c_acctbal") < -900).alias("stale"), F.count_if(F.col("c_acctbal") > 9980).alias("failed")
     )
-    return found.join(tip, "network_id").join(t.state().select("network_id", "last_block_number"), "network_id").select(
-        "network_id", "status", (F.col("head") - F.col("last_block_number")).alias("lag_blocks")
+    key = F.regexp_extract("network_id", "([0-9]+)$", 1).cast("bigint")
+    state = blocks.join(t.raw("nation").select(net("n_nationkey")), "network_id").select(
+        "network_id", F.lit(1).alias("revision"), (key % 6 != 5).cast("int").alias("initialized"), F.col("tip").alias("last_block_number")
     )
+    journal = blocks.select("network_id", F.col("stale").alias("processing_blocks"), F.col("stale").alias("stale_processing_blocks"), F.col("failed").alias("failed_blocks"))
+    trouble = t.raw("supplier").groupBy(net("s_nationkey")).agg(F.count_if(F.col("s_acctbal") < -500).alias("failures"), F.count_if(F.col("s_acctbal") > 9800).alias("missing"))
+    heads = blocks.select("network_id", F.when(key % 7 != 3, F.col("tip") + key * 11 - 5).alias("head"))
+    found = quality.health(state, journal, trouble.withColumn("status", F.lit("dead_letter")), trouble, heads, 100)
+    return found.drop("processing_blocks")
+
+
+_SANCTION_NETWORK = "CASE s_suppkey % 5 WHEN 0 THEN 'ETH' WHEN 1 THEN 'XBT' WHEN 2 THEN 'BSC' WHEN 3 THEN 'XMR' ELSE 'TRX' END"
+_SANCTIONED = f"""entries AS (SELECT s_suppkey AS k, s_name, {_SANCTION_NETWORK} AS asset, CASE s_suppkey % 5 WHEN 0 THEN 'eip155:1' WHEN 1 THEN 'bip122:000000000019d6689c085ae165831e93' WHEN 2 THEN 'eip155:56' WHEN 4 THEN 'tron:mainnet' END AS network_id,
+    CASE WHEN s_suppkey % 5 IN (0, 2) THEN '0x' || lpad('ab' || s_suppkey, 40, '0') WHEN s_suppkey % 5 = 1 AND s_suppkey % 3 <> 0 THEN '1' || lpad('A' || translate(s_suppkey::varchar, '0', 'z'), 30, 'B') ELSE 'not an address ' || s_suppkey END AS address FROM supplier)"""
+
+
+def sanction_entries(t: Tables) -> DataFrame:
+    """Suppliers as entries of a published list: written as XML, read as such a list."""
+    k = F.col("s_suppkey")
+    text = k.cast("string")
+    asset = F.when(k % 5 == 0, "ETH").when(k % 5 == 1, "XBT").when(k % 5 == 2, "BSC").when(k % 5 == 3, "XMR").otherwise("TRX")
+    hex_ = F.concat(F.lit("0x"), F.lpad(F.concat(F.lit("aB"), text), 40, "0"))
+    coin = F.concat(F.lit("1"), F.lpad(F.concat(F.lit("A"), F.translate(text, "0", "z")), 30, "B"))
+    address = F.when((k % 5).isin(0, 2), hex_).when((k % 5 == 1) & (k % 3 != 0), coin).otherwise(F.concat(F.lit("not an address "), text))
+    kind = lambda a: F.concat(F.lit("Digital Currency Address - "), a)
+    one = lambda uid, a, b: F.struct(uid.alias("uid"), a.alias("idType"), b.alias("idNumber"))
+    ids = F.array(one(text, kind(asset), address), one(F.concat(text, F.lit("b")), F.lit("Passport"), F.lit("X & Y <1>")))
+    entries = t.raw("supplier").select(text.alias("uid"), F.col("s_name").alias("lastName"), F.lit("Entity").alias("sdnType"), F.struct(ids.alias("id")).alias("idList"))
+    path = f"{shared_dir(t.spark)}/sanction-list-{uuid.uuid4().hex}"
+    entries.write.format("xml").option("rootTag", "sdnList").option("rowTag", "sdnEntry").save(path)
+    return files.read_sanction_list(t.spark, path)
+
+
+_VALID = {"bip122:000000000019d6689c085ae165831e93": ids.BITCOIN_ADDRESS, "eip155:1": ids.EVM_ADDRESS, "eip155:56": ids.EVM_ADDRESS, "tron:mainnet": ids.TRON_ADDRESS}
+
+
+@query(
+    "n05_sanction_claims",
+    f"""WITH {_SANCTIONED} SELECT 'list:' || k || ':' || network_id || ':' || substr(sha256(address), 1, 16) AS claim_id, network_id, address, k::varchar AS uid, s_name AS entity_name, 'entity' AS entity_type, asset AS symbols, 'pending' AS review_status
+        FROM entries WHERE network_id IS NOT NULL AND address NOT LIKE 'not an%'""",
+)
+def sanctioned(t: Tables) -> DataFrame:
+    claims, _ = quality.sanction_claims(sanction_entries(t), "list", _VALID)
+    return claims.withColumn("symbols", F.array_join("symbols", ","))
+
+
+@query(
+    "n05_sanction_excluded",
+    f"""WITH {_SANCTIONED} SELECT k::varchar AS uid, network_id, asset AS symbol, address, 'address_not_valid_for_supported_network' AS reason FROM entries WHERE network_id IS NOT NULL AND address LIKE 'not an%'""",
+)
+def sanction_excluded(t: Tables) -> DataFrame:
+    return quality.sanction_claims(sanction_entries(t), "list", _VALID)[1]
 
 
 @query(

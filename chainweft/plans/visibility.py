@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from chainweft.functions import ids
 from chainweft.operators import quality
 from chainweft.operators import visibility as op
 from chainweft.plans.registry import query
+from chainweft.session import shared_dir
+from chainweft.sources import files
 from chainweft.sources.tables import ACCOUNT, UTXO, Tables
 
 AT = 1_000_000_000_000
@@ -354,3 +358,47 @@ def common_ancestor(t: Tables) -> DataFrame:
     moved = F.when(F.col("block_number") > 20, F.concat(F.lit("z"), F.col("block_number").cast("string")))
     remote = local.withColumn("block_hash", F.coalesce(moved, "block_hash"))
     return op.common_ancestor(local, remote, 100_000)
+
+
+# stored tables -----------------------------------------------------------------
+
+
+def _folder(t: Tables, label: str) -> str:
+    return f"{shared_dir(t.spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@query(
+    "a15_stored_edges",
+    "SELECT relationship_id, tx_hash, block_number, cast(amount AS varchar) AS amount_raw, block_number // 100000 AS block_bucket FROM edges WHERE block_number BETWEEN 13950000 AND 14300000",
+)
+def stored_edges(t: Tables) -> DataFrame:
+    """Two appends of partitioned files with a bloom filter, read back by a range of blocks and its partitions."""
+    path = _folder(t, "stored-edges")
+    edges = files.with_block_bucket(t.edges().select("relationship_id", "tx_hash", "block_number", "amount_raw"))
+    early = F.col("block_number") < 14_100_000
+    files.write_table(edges.where(early), path, ["block_bucket"], bloom=["tx_hash"])
+    files.write_table(edges.where(~early), path, ["block_bucket"], bloom=["tx_hash"])
+    low, high = 13_950_000, 14_300_000
+    rows = files.read_table(t.spark, path, edges.schema)
+    return rows.where(F.col("block_bucket").between(low // 100_000, high // 100_000) & F.col("block_number").between(low, high))
+
+
+@query("a15_labels_csv", "SELECT address, entity_id, exchange_name AS entity_name, 'exchange' AS entity_type, 'list, \"' || address_role || '\"' AS source_reference, false AS bad FROM exchanges")
+def labels_csv(t: Tables) -> DataFrame:
+    """Labels through CSV with a header, quotes and commas."""
+    path = _folder(t, "labels-csv")
+    labels = t.exchanges().select("address", "entity_id", F.col("exchange_name").alias("entity_name"), F.lit("exchange").alias("entity_type"), F.concat(F.lit('list, "'), "address_role", F.lit('"')).alias("source_reference"))
+    labels.write.option("header", "true").option("escape", '"').csv(path)
+    return files.read_labels_csv(t.spark, path).withColumn("bad", F.col("_bad").isNotNull()).drop("_bad")
+
+
+@query(
+    "a15_claims_json",
+    "SELECT claim_id, address, entity_type, confidence, risk_level, review_status, valid_to_unix_ms, revision, 'ev1,ev' || claim_id AS evidence FROM claims",
+)
+def claims_json(t: Tables) -> DataFrame:
+    """Claims as one JSON object a line, read with the fixed schema."""
+    path = _folder(t, "claims-json")
+    t.claims().withColumn("evidence_refs", F.array(F.lit("ev1"), F.concat(F.lit("ev"), "claim_id"))).write.json(path)
+    read = files.read_claims(t.spark, path)
+    return read.select("claim_id", "address", "entity_type", "confidence", "risk_level", "review_status", "valid_to_unix_ms", "revision", F.array_join("evidence_refs", ",").alias("evidence"))

@@ -41,10 +41,10 @@ def read_claims(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_labels_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Address labels from CSV with a header; malformed lines land in ``_bad``."""
+    """Address labels from CSV with a header, quotes doubled inside quotes; malformed lines land in ``_bad``."""
     columns = ["address", "entity_id", "entity_name", "entity_type", "source_reference"]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_bad"]])
-    reader = spark.read.schema(schema).option("header", "true")
+    reader = spark.read.schema(schema).option("header", "true").option("escape", '"')
     return reader.option("columnNameOfCorruptRecord", "_bad").csv(path)
 
 
