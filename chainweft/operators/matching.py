@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainweft.functions import wide
-from chainweft.functions.ids import HOUR_MS, script_subject, stable_id
+from chainweft.functions.ids import HOUR_MS, ZERO_ADDRESS, script_subject, stable_id, word, word_address
 from chainweft.functions.ordered import asof, with_running_total
 from chainweft.operators.activity import OCCURRENCE
+from chainweft.operators.extract import TRANSFER, amount_of, normal_logs
 from chainweft.operators.scope import wallet_edges
 from chainweft.operators.visibility import latest, per_network
 from chainweft.session import materialise
@@ -540,6 +541,67 @@ def _first_fit(deposits: DataFrame, steps: DataFrame, keys: list[str], fits: Col
     return deposits.join(first, deposit, "left").withColumns({c: F.col("__fit")[c] for c in columns}).drop("__fit")
 
 
+# The bridge's vault and token, and its event signatures.
+MINT_VAULT = "0x9c070027cdc9dc8f82416b2e5314e11dfb4fe3cd"
+MINT_TOKEN = "0x18084fba666a33d37592fa2633fd49a74dd93a88"
+MINT_FINALIZED = "2cffebf26d639426e79514d100febae8b2c63e700e5dc0fa6c88a12963350636"
+MINTED = "30385c845b448a36257a6a1716e6ad2e1bc2cbe333cde1e69fe849ad6511adfe"
+
+
+def mint_observations(logs: DataFrame) -> DataFrame:
+    """Finalised mints with the token mints that stand directly before them in their transaction.
+
+    ``logs``: tx_hash, log_index, block_number, timestamp_ms, address, topics,
+    data.  Before a finalisation stand a minted log and its transfer out of
+    nothing, for the recipient; a pair for the fee may stand between.  Each
+    finalisation looks up its four places by (transaction, index), so logs are
+    never paired with each other.  Gives one row for each finalisation that fits.
+    """
+    own = normal_logs(logs).withColumns({f"topic{i}": F.get("topics", F.lit(i)) for i in range(4)})
+    own = own.withColumn("value", word(F.col("data"), 0))
+    last = own.where(
+        (F.col("address") == MINT_VAULT) & (F.col("topic0") == MINT_FINALIZED) & (F.size("topics") == 4)
+        & (F.coalesce(word_address(F.col("topic1")), F.lit(ZERO_ADDRESS)) != ZERO_ADDRESS)
+    ).select(
+        "tx_hash", "block_number", "timestamp_ms", F.col("log_index").alias("final_index"), F.col("topic2").alias("deposit_key"),
+        word_address(F.col("topic3")).alias("recipient"), amount_of(F.col("value")).alias("debt_raw"),
+    )
+    places = last.select("tx_hash", "final_index", F.explode(F.array(*map(F.lit, range(1, 5)))).alias("back")).withColumn(
+        "log_index", F.col("final_index") - F.col("back")
+    )
+    minted = (F.col("address") == MINT_VAULT) & (F.col("topic0") == MINTED) & (F.size("topics") == 2)
+    moved = (
+        (F.col("address") == MINT_TOKEN) & (F.col("topic0") == TRANSFER) & (F.size("topics") == 3)
+        & (word_address(F.col("topic1")) == ZERO_ADDRESS)
+    )
+    kind = F.when(minted, "minted").when(moved, "moved")
+    who = word_address(F.when(minted, F.col("topic1")).otherwise(F.col("topic2")))
+    found = places.join(own.where(kind.isNotNull()).select("tx_hash", "log_index", kind.alias("kind"), who.alias("who"), "value"), ["tx_hash", "log_index"])
+    # at most four rows of each finalisation
+    step = F.struct("kind", "who", "value")
+    four = found.groupBy("tx_hash", "final_index").agg(*[F.max(F.when(F.col("back") == k, step)).alias(f"at{k}") for k in range(1, 5)])
+
+    def pair(first: str, second: str) -> Column:
+        a, b = F.col(first), F.col(second)
+        fits = (
+            (a["kind"] == "minted") & (b["kind"] == "moved") & (a["who"] == b["who"]) & (a["who"] != ZERO_ADDRESS)
+            & (a["value"] == b["value"]) & (a["value"] != "0" * 64)
+        )
+        return F.when(fits, F.struct(a["who"].alias("who"), amount_of(a["value"]).alias("amount")))
+
+    rows = last.join(four.withColumns({"near": pair("at2", "at1"), "far": pair("at4", "at3")}), ["tx_hash", "final_index"])
+    direct = F.col("near.who") == F.col("recipient")
+    to_far = F.coalesce(F.col("far.who") == F.col("recipient"), F.lit(False))
+    good = F.col("near").isNotNull() & F.when(direct, ~to_far).otherwise(to_far)
+    issued = F.when(direct, F.col("near.amount")).otherwise(F.col("far.amount"))
+    fee = F.when(direct, F.lit("0")).otherwise(F.col("near.amount"))
+    both = wide.joined([a + b for a, b in zip(wide.whole_limbs(F.col("issued_raw")), wide.whole_limbs(F.col("fee_raw")), strict=True)])
+    return rows.where(good).withColumns({"issued_raw": issued, "fee_raw": fee}).select(
+        "deposit_key", "recipient", "timestamp_ms", stable_id(F.col("tx_hash"), F.col("final_index"), F.lit("mint")).alias("event_id"),
+        both.alias("minted_raw"), "fee_raw", "debt_raw", "block_number", F.col("final_index").alias("log_index"),
+    )
+
+
 def deposit_lifecycle(
     outputs: DataFrame, reveals: DataFrame, spends: DataFrame, sweeps: DataFrame, mints: DataFrame
 ) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainweft.operators import activity, visibility
@@ -299,26 +299,57 @@ def message_match(t: Tables) -> DataFrame:
     return op.match_messages(sends, receives, routes).select("send_event_id", "receive_event_id", "delay_ms")
 
 
+#: What the mint logs of a deposit look like, by half its output index modulo 8: 0 one pair, 1 with a fee pair, 2 the recipient
+#: twice, 3 amounts that differ, 4 no transfer, 5 a debt below the mint, 6 too late, 7 none.
+_VARIANT = "(output_index // 2) % 8"
+_MINT = f"""o AS (SELECT DISTINCT tx_hash, output_index, block_timestamp_unix_ms, block_number, value_sats FROM outputs WHERE coinbase = 0),
+    r AS (SELECT tx_hash, output_index, value_sats, block_timestamp_unix_ms + 600000 AS reveal_ms, block_number, {_VARIANT} AS v FROM o WHERE output_index % 2 = 0)"""
+
+
+def mint_logs(reveals: DataFrame) -> DataFrame:
+    """Vault and token logs for deposits (deposit_key, depositor, value_sats, timestamp_ms, variant)."""
+    pad = lambda c: F.lpad(F.substring(c, 3, 40), 64, "0")
+    word = lambda c: F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(c.cast("bigint"))), 64, "0"))
+    v, zero = F.col("variant"), F.lit("0" * 64)
+    some, fee = F.col("value_sats") * 9_000_000_000, F.col("value_sats") * 1_000
+    other = F.lit("0x" + "fe" * 20)
+
+    def log(index: int, address: str, topics: list[Column], value: Column, keep: Column) -> Column:
+        row = F.struct(F.lit(index).alias("log_index"), F.lit(address).alias("address"), F.array(*topics).alias("topics"), word(value).alias("data"))
+        return F.when(keep, row)
+
+    def two(index: int, who: Column, value: Column, keep: Column) -> list[Column]:
+        moved = F.when(v == 3, value + 1).otherwise(value)
+        return [
+            log(index, op.MINT_VAULT, [F.lit(op.MINTED), pad(who)], value, keep),
+            log(index + 1, op.MINT_TOKEN, [F.lit(op.TRANSFER), zero, pad(who)], moved, keep & (v != 4)),
+        ]
+
+    debt = F.when(v == 5, some - 1).otherwise(some + fee)
+    final = log(12, op.MINT_VAULT, [F.lit(op.MINT_FINALIZED), pad(other), F.col("deposit_key"), pad(F.col("depositor"))], debt, F.lit(True))
+    noise = log(7, op.MINT_TOKEN, [F.lit(op.TRANSFER), pad(other), pad(F.col("depositor"))], some, F.lit(True))
+    every = [
+        noise, *two(8, F.col("depositor"), some, v.isin(1, 2)), *two(10, F.col("depositor"), some, v != 1), *two(10, other, fee, v == 1), final,
+    ]
+    late = F.when(v == 6, op.MINT_WINDOW_MS + 1).otherwise(op.HOUR_MS)
+    return reveals.where(v < 7).select(
+        F.concat(F.lit("m"), "deposit_key").alias("tx_hash"), F.lit(3).alias("block_number"), (F.col("timestamp_ms") + late).alias("timestamp_ms"),
+        F.inline(F.array_compact(F.array(*every))),
+    )
+
+
 @query(
     "d15_deposit_lifecycle",
-    """WITH o AS (SELECT DISTINCT tx_hash, output_index, block_timestamp_unix_ms, block_number FROM outputs WHERE coinbase = 0),
-    r AS (SELECT tx_hash, output_index, block_timestamp_unix_ms + 600000 AS reveal_ms, block_number FROM o WHERE output_index % 2 = 0),
-    s AS (SELECT DISTINCT prev_tx_hash AS tx_hash, prev_output_index AS output_index, tx_hash AS spend_tx, block_timestamp_unix_ms AS spend_ms FROM inputs)
-    SELECT r.tx_hash, r.output_index, CASE WHEN s.spend_tx IS NOT NULL AND r.output_index % 3 = 0 AND s.spend_ms + 300000 >= greatest(r.reveal_ms, s.spend_ms - 7200000) THEN 'swept'
-        WHEN s.spend_tx IS NOT NULL THEN 'spent' ELSE 'revealed' END AS stage, s.spend_tx
+    f"""WITH {_MINT}, s AS (SELECT DISTINCT prev_tx_hash AS tx_hash, prev_output_index AS output_index, tx_hash AS spend_tx, block_timestamp_unix_ms AS spend_ms FROM inputs)
+    SELECT r.tx_hash, r.output_index, CASE WHEN v IN (0, 1) AND value_sats > 0 THEN 'minted' WHEN s.spend_tx IS NOT NULL AND r.output_index % 3 = 0 AND s.spend_ms + 300000 >= greatest(r.reveal_ms, s.spend_ms - 7200000) THEN 'swept'
+        WHEN s.spend_tx IS NOT NULL THEN 'spent' ELSE 'revealed' END AS stage, s.spend_tx,
+        CASE WHEN value_sats > 0 THEN CASE v WHEN 0 THEN value_sats::hugeint * 9000000000 WHEN 1 THEN value_sats::hugeint * 9000001000 END END::VARCHAR AS minted_raw
     FROM r LEFT JOIN s USING (tx_hash, output_index)""",
 )
 def deposit_lifecycle(t: Tables) -> DataFrame:
-    """Outputs with an even index are revealed ten minutes later; some are swept."""
-    outs = t.utxo_outputs().where(F.col("coinbase") == 0).dropDuplicates(["tx_hash", "output_index"])
+    """Outputs with an even index are revealed ten minutes later; some are swept, and most have mint logs."""
+    outs, reveals = _deposits(t)
     ins = t.utxo_inputs().dropDuplicates(["prev_tx_hash", "prev_output_index"])
-    deposit = F.concat_ws(":", "tx_hash", F.col("output_index").cast("string"))
-    reveals = outs.where(F.col("output_index") % 2 == 0).select(
-        F.col("tx_hash").alias("funding_tx_hash"), "output_index", deposit.alias("deposit_key"),
-        F.lit("d").alias("depositor"), deposit.alias("wallet"),
-        (F.col("block_timestamp_unix_ms") + 600_000).alias("timestamp_ms"),
-        F.lit(1).alias("block_number"), F.lit(1).alias("log_index"),
-    )
     hashed = lambda c: F.sha2(c, 256)
     spends = ins.select(
         "prev_tx_hash", "prev_output_index", F.col("tx_hash"), "block_number",
@@ -327,21 +358,41 @@ def deposit_lifecycle(t: Tables) -> DataFrame:
     wide_spends = spends.withColumn("tx_hash", hashed(F.col("tx_hash")))
     sweeps = ins.where(F.col("prev_output_index") % 3 == 0).select(
         op.reversed_hash(hashed(F.col("tx_hash"))).alias("sweep_tx_reversed"),
-        F.concat_ws(":", "prev_tx_hash", F.col("prev_output_index").cast("string")).alias("wallet"),
+        hashed(F.concat_ws(":", "prev_tx_hash", F.col("prev_output_index").cast("string"))).alias("wallet"),
         (F.col("block_timestamp_unix_ms") + 300_000).alias("timestamp_ms"),
         F.concat(F.lit("w"), F.col("tx_hash")).alias("event_id"), F.lit(2).alias("block_number"), F.lit(1).alias("log_index"),
     )
-    mints = reveals.where(F.lit(False)).select(
-        "deposit_key", F.lit("d").alias("recipient"), "timestamp_ms", F.lit("m").alias("event_id"),
-        F.lit("1").alias("minted_raw"), F.lit("1").alias("debt_raw"), "block_number", "log_index",
-    )
-    chain = op.deposit_lifecycle(outs, reveals, wide_spends, sweeps, mints)
+    mints = op.mint_observations(mint_logs(reveals))
+    chain = op.deposit_lifecycle(outs, reveals.drop("value_sats", "variant"), wide_spends, sweeps, mints)
     names = spends.select(F.col("tx_hash").alias("spend_name"), hashed(F.col("tx_hash")).alias("spend_tx")).distinct()
     return chain.join(names, "spend_tx", "left").select(
-        "tx_hash", "output_index", "stage", F.col("spend_name").alias("spend_tx")
+        "tx_hash", "output_index", "stage", F.col("spend_name").alias("spend_tx"), "minted_raw"
     )
 
 
+def _deposits(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Outputs, and the reveals of those with an even index."""
+    outs = t.utxo_outputs().where(F.col("coinbase") == 0).dropDuplicates(["tx_hash", "output_index"])
+    deposit = F.sha2(F.concat_ws(":", "tx_hash", F.col("output_index").cast("string")), 256)
+    reveals = outs.where(F.col("output_index") % 2 == 0).select(
+        F.col("tx_hash").alias("funding_tx_hash"), "output_index", deposit.alias("deposit_key"),
+        F.concat(F.lit("0x"), F.substring(deposit, 1, 40)).alias("depositor"), deposit.alias("wallet"),
+        (F.col("block_timestamp_unix_ms") + 600_000).alias("timestamp_ms"),
+        F.lit(1).alias("block_number"), F.lit(1).alias("log_index"), "value_sats", (F.floor(F.col("output_index") / 2) % 8).alias("variant"),
+    )
+    return outs, reveals
+
+
+@query(
+    "d15_mint_observations",
+    f"""WITH {_MINT} SELECT sha256(tx_hash || ':' || output_index) AS deposit_key, (value_sats::hugeint * CASE v WHEN 1 THEN 9000001000 ELSE 9000000000 END)::VARCHAR AS minted_raw, (CASE v WHEN 1 THEN value_sats * 1000 ELSE 0 END)::VARCHAR AS fee_raw
+        FROM r WHERE v IN (0, 1, 5, 6) AND value_sats > 0""",
+)
+def mint_observations(t: Tables) -> DataFrame:
+    """Every variant that pairs, whether or not the deposit's time and amounts allow it."""
+    return op.mint_observations(mint_logs(_deposits(t)[1])).select("deposit_key", "minted_raw", "fee_raw")
+
+
 @query(
     "d18_receipt_swaps",
     """WITH s AS (SELECT tx_hash, pool, side, asset_id, sum(amount) AS total FROM (
