@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainweft.functions import ids
@@ -12,8 +12,8 @@ from chainweft.operators import activity, exposure, matching, quality, scope, se
 from chainweft.operators import profile as op
 from chainweft.operators import risk
 from chainweft.plans.activity import _round
-from chainweft.plans.detect import labelled_wallets
-from chainweft.plans.graph import _EXPOSED, AT, current_claims
+from chainweft.plans.detect import _peel_lines, labelled_wallets
+from chainweft.plans.graph import _EXPOSED, AT, _best_sql, current_claims, seed_wallets
 from chainweft.plans.matching import forward_sql
 from chainweft.plans.registry import query
 from chainweft.session import shared_dir
@@ -151,7 +151,7 @@ def _mixer(t: Tables) -> DataFrame:
     return t.semantic_events().select(
         "event_id", "tx_hash", "subject_id", "event_type", "confidence", F.lit("pool").alias("protocol_contract"),
         F.lit("pool").alias("emitter"), F.col("event_type").alias("abi_operation"),
-        F.when(key % 7 == 0, "").otherwise("registry").alias("registry_source"),
+        F.when(key % 7 == 0, "").otherwise("registry").alias("registry_source"), key.alias("log_index"),
     )
 
 
@@ -227,6 +227,78 @@ def mixer_gates(t: Tables) -> DataFrame:
     return gated.groupBy(F.coalesce("gate_reason", F.lit("scored")).alias("gate_reason")).agg(F.count("*").alias("events"))
 
 
+_NETWORKS = "(VALUES ('ethereum'), ('bsc'), ('tron')) v(network)"
+
+
+@query(
+    "k07_mixer_evidence",
+    f"""WITH e AS (SELECT event_id, cast(substr(event_id, 2) AS bigint) AS k, confidence, network FROM sem, {_NETWORKS} WHERE starts_with(event_type, 'mixer_'))
+    SELECT network, event_id, CASE WHEN confidence < 0.8 THEN 'low_confidence' WHEN k % 11 = 1 THEN 'missing_reference' WHEN k % 13 = 2 THEN 'receipt_does_not_prove_event' WHEN k % 17 = 3 THEN 'emitter_differs'
+        WHEN network = 'tron' OR k % 7 = 0 OR k % 19 = 4 THEN 'unregistered_contract' WHEN network = 'bsc' AND (k % 5 = 1 OR k % 23 = 6) THEN 'unregistered_contract' ELSE 'scored' END AS gate_reason FROM e""",
+)
+def mixer_evidence(t: Tables) -> DataFrame:
+    """Mixer events whose receipts, emitters and registry rows fail one after the other, on three networks."""
+    key = F.regexp_extract("event_id", "([0-9]+)$", 1).cast("bigint")
+    pool = F.concat(F.lit("pool"), key % 40)
+    events = t.semantic_events().where(F.col("event_type").startswith("mixer_")).select(
+        "event_id", "event_type", "confidence", F.when(key % 11 == 1, "").otherwise(F.col("tx_hash")).alias("tx_hash"), pool.alias("protocol_contract"),
+        F.when(key % 13 == 2, F.lit(None)).otherwise(F.col("event_type")).alias("abi_operation"),
+        F.when(key % 17 == 3, F.concat(F.lit("not-"), pool)).otherwise(pool).alias("emitter"),
+        F.when(key % 7 == 0, "").otherwise("registry").alias("registry_source"), F.when(key % 19 != 4, key).alias("log_index"),
+        F.when(key % 5 == 1, "pending").otherwise("APPROVED").alias("registry_review"), F.when(key % 23 == 6, "mixer_generic").otherwise(risk.MIXER_DECODER).alias("registry_decoder"),
+    )
+    out = None
+    for network in ("ethereum", "bsc", "tron"):
+        part = risk.gate_mixer(events, network).select(F.lit(network).alias("network"), "event_id", F.coalesce("gate_reason", F.lit("scored")).alias("gate_reason"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    "k07_propagated_gates",
+    f"""WITH {_CUR}, seed AS (SELECT * FROM cur WHERE is_exposure_seed = 1), {_best_sql(2)}, good AS (SELECT address FROM cur WHERE lower(review_status) = 'approved')
+    SELECT src AS source_address, next AS wallet, CASE WHEN b % 10 = 3 THEN 'incomplete_path_evidence' WHEN src NOT IN (SELECT address FROM good) THEN 'seed_not_approved' WHEN svc = 1 THEN 'service_mediated' ELSE 'scored' END AS gate_reason FROM bf""",
+)
+def propagated_gates(t: Tables) -> DataFrame:
+    """Best paths as a propagation run stores them; runs of every tenth block have lost their id."""
+    found = exposure.expose_best(t.edges(), seed_wallets(t), t.exchanges(), AT, 2)
+    approved = labelled_wallets(t).where(F.col("is_exposure_seed") == 1).select(F.col("wallet").alias("source_address"), risk.approved_label().alias("seed_approved"))
+    paths = found.join(approved, "source_address", "left").select(
+        "source_address", F.col("exposed_address").alias("wallet"), "last_tx_hash", "seed_approved", "service_mediated", F.col("hop_distance").alias("hop_count"),
+        F.when(F.col("last_seen_block") % 10 != 3, F.concat(F.lit("run"), "last_seen_block")).alias("propagation_run_id"),
+    )
+    return risk.gate_propagated(paths).select("source_address", "wallet", F.coalesce("gate_reason", F.lit("scored")).alias("gate_reason"))
+
+
+@query(
+    "k07_utxo_gates",
+    """WITH r AS (SELECT o_orderkey AS k, o_custkey AS c, cast(round(o_totalprice * 100) AS bigint) AS cents FROM orders),
+    v AS (SELECT k, sum(cents) OVER (PARTITION BY c ORDER BY k DESC) + 100000000 - cents AS remains, row_number() OVER (PARTITION BY c ORDER BY k) AS i, c FROM r)
+    SELECT 'p' || a.k AS path_id, b.remains::BIGINT AS minimum_sats, b.remains::BIGINT AS maximum_sats, CASE WHEN a.k % 7 IN (1, 2, 3) THEN 0 ELSE 1 END AS score_eligible
+    FROM v a JOIN v b ON b.c = a.c AND b.i = a.i + 2""",
+)
+def utxo_gates(t: Tables) -> DataFrame:
+    """Three payments of a line as one path; of seven paths one claims a wrong bound, one spends another output, one has too large a fee."""
+    inputs, outputs, _ = _peel_lines(t)
+    paid = outputs.where(F.col("output_index") == 0).select("tx_hash", F.col("value_sats").alias("output_sats"))
+    order = F.regexp_extract("tx_hash", "([0-9]+)$", 1).cast("bigint")
+    line = inputs.join(paid, "tx_hash").withColumn("at", order)
+    window = Window.partitionBy("address").orderBy("at")
+    step = F.struct("tx_hash", "at", "value_sats", "output_sats", "prev_tx_hash")
+    paths = line.select(F.col("tx_hash").alias("path_id"), F.col("at").alias("k"), *[F.lead(step, n).over(window).alias(f"s{n}") if n else step.alias("s0") for n in range(3)]).where("s2 IS NOT NULL")
+    steps = paths.select("path_id", F.col("k"), F.posexplode(F.array("s0", "s1", "s2")).alias("step", "s"))
+    fault = F.col("k") % 7
+    return risk.gate_utxo_steps(
+        steps.select(
+            "path_id", "step", "s.tx_hash", F.col("s.at").alias("block_number"), F.lit(0).cast("bigint").alias("transaction_index"),
+            F.col("s.value_sats").alias("selected_sats"), F.col("s.value_sats").alias("total_input_sats"), F.col("s.output_sats").alias("output_sats"),
+            F.when((fault == 3) & (F.col("step") == 2), F.col("s.value_sats")).otherwise(F.lit(1).cast("bigint")).alias("fee_sats"), "s.prev_tx_hash",
+            F.when((fault == 2) & (F.col("step") == 1), 1).otherwise(0).cast("bigint").alias("prev_output_index"), F.lit(0).cast("bigint").alias("output_index"),
+            (F.col("s.output_sats") + F.when((fault == 1) & (F.col("step") == 1), 1).otherwise(0)).alias("claimed_lower"), F.col("s.output_sats").alias("claimed_upper"),
+        )
+    )
+
+
 def _rules(t: Tables) -> DataFrame:
     """Rule maxima, one per signal type, kept as a small reviewed table."""
     kinds = F.array(*[F.lit(s) for s in risk.RULE_SIGNALS])
