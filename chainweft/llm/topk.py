@@ -5,8 +5,10 @@ segments of 16 bits, and each segment has an index. A query looks up the segment
 radius r of its own, segment by segment and r by r. When segments 0..j have been searched to
 radius r and the others to r - 1, every code within distance m * r + j has been met, by the
 pigeonhole rule. A query ends when its k-th verified distance is covered in this sense; only the
-others grow their radii. A ring whose look-ups would cost more than a comparison with every
-code is not enumerated: what is still open then is compared with all codes in blocks of queries.
+others grow their radii. A segment has at most 65,536 values, so whatever the table's size, a ring
+is enumerated over the values that codes have: look-ups of other values end before the shuffle,
+in a table of bounded size. Codes that are farther than what a query already holds are dropped as
+they are verified.
 
 Equal codes are one entry with its k + 1 least ids, and equal queries are one search, so copies
 cost nothing and the order (distance, id) stays exact.
@@ -14,13 +16,10 @@ cost nothing and the order (distance, id) stays exact.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,11 +28,7 @@ from chainweft.session import materialise
 BITS, SEGMENT = 64, 16
 SEGMENTS = BITS // SEGMENT
 #: Look-ups of a query that one step may add when it takes several segments together.
-STEP_LOOKUPS = 600
-#: Codes that can be compared in the time of one look-up, which is a shuffled and joined row.
-LOOKUP_COST = 256
-#: Query codes in a block of the scan.
-BLOCK = 8_192
+STEP_LOOKUPS = 8_000
 
 
 def code_of(vector: Column) -> Column:
@@ -56,44 +51,33 @@ def _steps() -> Iterator[tuple[int, list[int], int]]:
             yield r, own, SEGMENTS * r + own[-1]
 
 
-def _ring(r: int) -> list[int]:
-    return [sum(1 << b for b in bits) for bits in combinations(range(SEGMENT), r)]
+def _ring(r: int) -> Column:
+    """Masks with ``r`` bits, as one text that Spark folds to a constant array."""
+    masks = (sum(1 << b for b in bits) for bits in combinations(range(SEGMENT), r))
+    return F.split(F.lit(",".join(map(str, masks))), ",").cast("array<int>")
 
 
-def _looked_up(queries: DataFrame, codes: DataFrame, r: int, own: list[int]) -> DataFrame:
-    """(q, code, n, least, distance) of codes that the step meets and no step before has met."""
-    def values(j: int) -> Column:
-        return F.transform(F.lit(_ring(r)).cast("array<int>"), lambda m: F.struct(F.lit(j).alias("j"), _segment(F.col("q"), j).bitwiseXOR(m).alias("value")))
+def _values(codes: DataFrame, own: list[int]) -> DataFrame:
+    """(code, .., j, value) for each segment in ``own``."""
+    keys = F.array(*(F.struct(F.lit(j).alias("j"), _segment(F.col("code"), j).alias("value")) for j in own))
+    return codes.select("*", F.explode(keys).alias("key")).select("*", "key.j", "key.value").drop("key")
 
-    keys = F.concat(*map(values, own))
-    asked = queries.select("q", F.explode(keys).alias("key")).select("q", "key.j", "key.value")
-    index = codes.select("code", "n", "least", F.explode(F.array(*(F.struct(F.lit(j).alias("j"), _segment(F.col("code"), j).alias("value")) for j in own))).alias("key")).select("code", "n", "least", "key.j", "key.value")
-    met = asked.join(index, ["j", "value"])
+
+def _looked_up(queries: DataFrame, codes: DataFrame, occupied: DataFrame, r: int, own: list[int]) -> DataFrame:
+    """(q, code, n, least, distance) of codes that the step meets, no step before has met, and that lie within the query's ``bound``."""
+    def ring(j: int) -> Column:
+        return F.transform(_ring(r), lambda m: F.struct(F.lit(j).alias("j"), _segment(F.col("q"), j).bitwiseXOR(m).alias("value")))
+
+    asked = queries.select("q", "bound", F.explode(F.concat(*map(ring, own))).alias("key")).select("q", "bound", "key.j", "key.value")
+    # at most 65,536 values of a segment
+    asked = asked.join(F.broadcast(occupied.where(F.col("j").isin(*own))), ["j", "value"], "left_semi")
+    met = asked.join(_values(codes.select("code", "n", "least"), own), ["j", "value"])
     apart = F.col("q").bitwiseXOR(F.col("code"))
     at = [F.bit_count(_segment(apart, j)) for j in range(SEGMENTS)]
     # first met in the nearest segment, the first one among equals
     first = F.array_position(F.array(*at), F.array_min(F.array(*at))) - 1
-    return met.where((F.array_min(F.array(*at)) == r) & (first == F.col("j"))).select("q", "code", "n", "least", F.bit_count(apart).alias("distance"))
-
-
-def _scanned(block: np.ndarray, k: int):  # noqa: ANN001, ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[list[tuple[int, int, int, int]]] = [[] for _ in block]
-        for batch in batches:
-            codes, n, least = (batch.column(c).to_numpy() for c in ("code", "n", "least"))
-            for x, q in enumerate(block):
-                d = np.bitwise_count((codes ^ q).view(np.uint64)).astype(np.int64)
-                near = np.argpartition(d, k)[: k + 1] if len(d) > k + 1 else np.arange(len(d))
-                # ties with the farthest of them stay in
-                near = np.flatnonzero(d <= d[near].max()) if len(near) else near
-                best[x] = heapq.nsmallest(k + 1, best[x] + [(int(d[i]), int(least[i]), int(codes[i]), int(n[i])) for i in near])
-        rows = [(int(q), c, n, least, d) for q, found in zip(block, best, strict=True) for d, least, c, n in found]
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.array([r[c] for r in rows], pa.int64()) for c in range(4)), pa.array([r[4] for r in rows], pa.int32())],
-            ["q", "code", "n", "least", "distance"],
-        )
-
-    return run
+    fresh = (F.bit_count(apart) <= F.col("bound")) & (F.array_min(F.array(*at)) == r) & (first == F.col("j"))
+    return met.where(fresh).select("q", "code", "n", "least", F.bit_count(apart).alias("distance"))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -113,28 +97,28 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         every.where(F.col("place") <= k + 1).groupBy("code").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.array_sort(F.collect_list("id")).alias("ids")), "codes"
     )
     asking = materialise(coded(queries), "asking")
-    open_ = materialise(asking.select(F.col("code").alias("q")).distinct(), "open")
+    occupied = materialise(_values(codes.select("code"), list(range(SEGMENTS))).select("j", "value").distinct(), "occupied")
+    open_ = materialise(asking.select(F.col("code").alias("q")).distinct().withColumn("bound", F.lit(BITS)), "open")
     total = codes.count()
     nearer = Window.partitionBy("q").orderBy("distance", "least")
     best, done, shape = None, [], "q long, code long, n long, least long, distance int"
     for r, own, covered in _steps():
         if open_.isEmpty():
             break
-        if comb(SEGMENT, r) * len(own) * LOOKUP_COST > max(total, SEGMENTS * LOOKUP_COST):
-            for rows in _in_blocks(open_):
-                block = np.array([x[0] for x in rows], np.int64)
-                scan = codes.select("code", "n", "least").mapInArrow(_scanned(block, k), shape)
-                cut = scan.withColumn("at", F.row_number().over(nearer)).where(F.col("at") <= k + 1).drop("at")
-                done.append(materialise(cut, "scanned"))
-            break
-        new = _looked_up(open_, codes, r, own)
+        new = _looked_up(open_, codes, occupied, r, own)
         pool = new if best is None else best.join(open_, "q", "left_semi").unionByName(new)
         # k + 1 codes have k + 1 ids at least, and each stands by its least
         best = materialise(pool.withColumn("at", F.row_number().over(nearer)).where(F.col("at") <= k + 1).drop("at"), "best")
-        ended = best.where(F.col("distance") <= covered).groupBy("q").agg(F.sum("n").alias("ids")).where(F.col("ids") >= k + 1).select("q")
-        ended = materialise(ended, "ended")
-        done.append(best.join(ended, "q", "left_semi"))
-        open_ = materialise(open_.join(ended, "q", "left_anti"), "open")
+        held = best.groupBy("q").agg(
+            F.sum(F.when(F.col("distance") <= covered, F.col("n"))).alias("ids"), F.count("*").alias("codes"), F.max("distance").alias("farthest"),
+        )
+        # all that there is, or k + 1 ids within what is covered
+        over = (F.col("ids") >= k + 1) | (F.col("codes") == total)
+        held = materialise(held.withColumn("over", F.coalesce(over, F.lit(False))), "held")
+        done.append(best.join(held.where("over"), "q", "left_semi"))
+        left = open_.join(held.where("over"), "q", "left_anti").join(held.select("q", "codes", "farthest"), "q", "left")
+        bound = F.when(F.col("codes") == k + 1, F.col("farthest")).otherwise(F.lit(BITS))
+        open_ = materialise(left.select("q", bound.alias("bound")), "open")
     found = vectors.sparkSession.createDataFrame([], shape)
     for part in done:
         found = found.unionByName(part)
@@ -147,15 +131,3 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return out.select(F.col("id").alias("query_id"), F.posexplode(others).alias("rank", "found")).select(
         "query_id", (F.col("rank") + 1).alias("rank"), F.col("found.neighbour_id").alias("neighbour_id"), F.col("found.distance").alias("distance")
     )
-
-
-def _in_blocks(open_: DataFrame) -> Iterator[list]:
-    """Query codes, ``BLOCK`` at a time at the driver."""
-    block = []
-    for row in open_.toLocalIterator():
-        block.append(row)
-        if len(block) == BLOCK:
-            yield block
-            block = []
-    if block:
-        yield block

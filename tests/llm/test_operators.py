@@ -444,3 +444,31 @@ def test_token_pieces_equal_whole_texts():
     for _ in range(2):  # new pieces, then known ones
         got = tokens.encode([t.encode() for t in texts], path, None)
         assert [g.tolist() for g in got] == want
+
+
+def test_topk_grows_radii_to_coverage(spark, monkeypatch):
+    """Fifty thousand random codes: no query is covered before radius 3, and every radius is met."""
+    from pyspark.sql import functions as F
+
+    n = 50_000
+    codes = np.random.default_rng(9).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.random.default_rng(10).integers(0, 2, n, dtype=np.uint64)
+    codes[1:4] = codes[0] ^ np.array([1, 3, 1 << 40], np.uint64)
+    rows = spark.createDataFrame(zip(range(n), codes.view(np.int64).tolist(), strict=True), "vec_id long, code long")
+    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(F.call_function("shiftrightunsigned", F.col("code"), i).bitwiseAND(F.lit(1).cast("long")) == 1, 1.0).otherwise(-1.0))
+    vectors = rows.select("vec_id", bits.alias("embedding"))
+    radii, looked_up = [], topk._looked_up
+
+    def noted(*given):
+        radii.append(given[3])
+        return looked_up(*given)
+
+    monkeypatch.setattr(topk, "_looked_up", noted)
+    asked = [0, 7, 25_000, 49_999]
+    got = {}
+    for r in topk.nearest(vectors, vectors.where(F.col("vec_id").isin(asked)), k=10).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.distance, r.neighbour_id))
+    for q in asked:
+        distance = np.bitwise_count(codes ^ codes[q]).astype(int)
+        want = sorted((int(d), i) for i, d in enumerate(distance) if i != q)[:10]
+        assert [(d, i) for _, d, i in sorted(got[q])] == want
+    assert max(radii) >= 3 and set(range(max(radii) + 1)) == set(radii)
