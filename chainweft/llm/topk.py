@@ -5,10 +5,9 @@ segments of 16 bits, and each segment has an index. A query looks up the segment
 radius r of its own, segment by segment and r by r. When segments 0..j have been searched to
 radius r and the others to r - 1, every code within distance m * r + j has been met, by the
 pigeonhole rule. A query ends when its k-th verified distance is covered in this sense; only the
-others grow their radii. A segment has at most 65,536 values, so whatever the table's size, a ring
-is enumerated over the values that codes have: look-ups of other values end before the shuffle,
-in a table of bounded size. Codes that are farther than what a query already holds are dropped as
-they are verified.
+others grow their radii. A segment has 65,536 values, which bounds the look-ups of a query for any
+table size; with more codes its radii stay smaller. Codes that are farther than what a query already
+holds are dropped as they are verified.
 
 Equal codes are one entry with its k + 1 least ids, and equal queries are one search, so copies
 cost nothing and the order (distance, id) stays exact.
@@ -63,14 +62,12 @@ def _values(codes: DataFrame, own: list[int]) -> DataFrame:
     return codes.select("*", F.explode(keys).alias("key")).select("*", "key.j", "key.value").drop("key")
 
 
-def _looked_up(queries: DataFrame, codes: DataFrame, occupied: DataFrame, r: int, own: list[int]) -> DataFrame:
+def _looked_up(queries: DataFrame, codes: DataFrame, r: int, own: list[int]) -> DataFrame:
     """(q, code, n, least, distance) of codes that the step meets, no step before has met, and that lie within the query's ``bound``."""
     def ring(j: int) -> Column:
         return F.transform(_ring(r), lambda m: F.struct(F.lit(j).alias("j"), _segment(F.col("q"), j).bitwiseXOR(m).alias("value")))
 
     asked = queries.select("q", "bound", F.explode(F.concat(*map(ring, own))).alias("key")).select("q", "bound", "key.j", "key.value")
-    # at most 65,536 values of a segment
-    asked = asked.join(F.broadcast(occupied.where(F.col("j").isin(*own))), ["j", "value"], "left_semi")
     met = asked.join(_values(codes.select("code", "n", "least"), own), ["j", "value"])
     apart = F.col("q").bitwiseXOR(F.col("code"))
     at = [F.bit_count(_segment(apart, j)) for j in range(SEGMENTS)]
@@ -97,7 +94,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         every.where(F.col("place") <= k + 1).groupBy("code").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.array_sort(F.collect_list("id")).alias("ids")), "codes"
     )
     asking = materialise(coded(queries), "asking")
-    occupied = materialise(_values(codes.select("code"), list(range(SEGMENTS))).select("j", "value").distinct(), "occupied")
     open_ = materialise(asking.select(F.col("code").alias("q")).distinct().withColumn("bound", F.lit(BITS)), "open")
     total = codes.count()
     nearer = Window.partitionBy("q").orderBy("distance", "least")
@@ -105,7 +101,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     for r, own, covered in _steps():
         if open_.isEmpty():
             break
-        new = _looked_up(open_, codes, occupied, r, own)
+        new = _looked_up(open_, codes, r, own)
         pool = new if best is None else best.join(open_, "q", "left_semi").unionByName(new)
         # k + 1 codes have k + 1 ids at least, and each stands by its least
         best = materialise(pool.withColumn("at", F.row_number().over(nearer)).where(F.col("at") <= k + 1).drop("at"), "best")

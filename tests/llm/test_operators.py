@@ -459,7 +459,7 @@ def test_topk_grows_radii_to_coverage(spark, monkeypatch):
     radii, looked_up = [], topk._looked_up
 
     def noted(*given):
-        radii.append(given[3])
+        radii.append(given[2])
         return looked_up(*given)
 
     monkeypatch.setattr(topk, "_looked_up", noted)
