@@ -68,7 +68,8 @@ def _looked_up(queries: DataFrame, codes: DataFrame, r: int, own: list[int]) ->
         return F.transform(_ring(r), lambda m: F.struct(F.lit(j).alias("j"), _segment(F.col("q"), j).bitwiseXOR(m).alias("value")))
 
     asked = queries.select("q", "bound", F.explode(F.concat(*map(ring, own))).alias("key")).select("q", "bound", "key.j", "key.value")
-    met = asked.join(_values(codes.select("code", "n", "least"), own), ["j", "value"])
+    # Spark takes a few queries for few look-ups and would send them all to the driver
+    met = asked.hint("merge").join(_values(codes.select("code", "n", "least"), own), ["j", "value"])
     apart = F.col("q").bitwiseXOR(F.col("code"))
     at = [F.bit_count(_segment(apart, j)) for j in range(SEGMENTS)]
     # first met in the nearest segment, the first one among equals
