@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainweft.functions import ids
-from chainweft.operators import quality
+from chainweft.operators import projections, quality
 from chainweft.operators import visibility as op
 from chainweft.plans.registry import query
 from chainweft.session import shared_dir
@@ -347,6 +347,66 @@ def projected_edges(t: Tables) -> DataFrame:
     )
 
 
+def _evidence_transactions(t: Tables) -> DataFrame:
+    """Orders as transactions whose evidence is JSON: every ninth has none, every eleventh a nonce that is no number."""
+    key = F.col("o_orderkey")
+    stored = F.to_json(F.struct(
+        F.when(key % 3 == 0, F.concat(F.lit("0xc"), F.col("o_custkey"))).alias("contract_address"),
+        F.when(key % 11 == 0, F.lit("many")).otherwise((key % 1000).cast("string")).alias("nonce"), (key % 3).alias("transaction_type"),
+        F.col("o_orderpriority").alias("input_data"), (key % 90_000 + 21_000).alias("gas_limit"), (key % 21_000).alias("gas_used"),
+    ))
+    facts = t.account_txs().select("network_id", "tx_hash", "block_number", "block_timestamp_unix_ms", "transaction_index", "from_address", "to_address", "fee_raw")
+    own = t.raw("orders").select(
+        F.concat(F.lit("t"), key).alias("tx_hash"), F.when(key % 9 != 4, stored).alias("raw_evidence_json"),
+        F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "O", "success").alias("status"),
+        F.when(key % 5 != 0, F.round(F.col("o_totalprice") * 100).cast("bigint").cast("string")).alias("amount_raw"),
+    )
+    return facts.join(own, "tx_hash").withColumn("to_address", F.when(F.col("status").isNotNull(), F.col("to_address")))
+
+
+@query(
+    "a17_projected_transactions",
+    """SELECT 't' || o_orderkey AS tx_hash, CASE WHEN o_orderstatus IN ('F', 'O') THEN 'S' || (o_custkey % 50) ELSE '' END AS to_address, CASE WHEN o_orderkey % 5 <> 0 THEN cast(cast(round(o_totalprice * 100) AS bigint) AS varchar) ELSE '0' END AS value,
+        CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS status, CASE WHEN o_orderstatus IN ('F', 'O') THEN 1 ELSE 0 END AS status_known,
+        CASE WHEN o_orderkey % 9 <> 4 AND o_orderkey % 3 = 0 THEN '0xc' || o_custkey ELSE '' END AS contract_address, CASE WHEN o_orderkey % 9 <> 4 AND o_orderkey % 11 <> 0 THEN o_orderkey % 1000 ELSE 0 END AS nonce,
+        CASE WHEN o_orderkey % 9 <> 4 THEN o_orderkey % 3 ELSE 0 END AS transaction_type, '' AS input_selector, CASE WHEN o_orderkey % 9 <> 4 THEN o_orderkey % 90000 + 21000 ELSE 0 END AS gas_limit, CASE WHEN o_orderkey % 9 <> 4 THEN o_orderkey % 21000 ELSE 0 END AS gas_used FROM orders""",
+)
+def projected_transactions(t: Tables) -> DataFrame:
+    return projections.project_transactions(_evidence_transactions(t)).select(
+        "tx_hash", "to_address", "value", "status", "status_known", "contract_address", "nonce", "transaction_type", "input_selector", "gas_limit", "gas_used"
+    )
+
+
+@query(
+    "a17_split_assets",
+    """SELECT relationship_id, 'acct:1/' || CASE WHEN transfer_type = 'native_transfer' THEN 'native:ac' WHEN token_id IS NOT NULL THEN 'erc721:' || asset_id ELSE 'erc20:' || asset_id END AS asset_id,
+        CASE WHEN transfer_type = 'native_transfer' THEN 'native' WHEN token_id IS NOT NULL THEN 'erc721' ELSE 'erc20' END AS asset_standard, CASE WHEN transfer_type = 'native_transfer' THEN 'AC' ELSE asset_id END AS asset_contract,
+        CASE WHEN transfer_type <> 'native_transfer' AND token_id IS NOT NULL THEN token_id ELSE '' END AS asset_item, coalesce(token_id, '') AS token_id, cast(amount AS varchar) AS amount
+        FROM (SELECT relationship_id, transfer_type, token_id, amount, '0x' || replace(asset_id, 'asset:', 'a') AS asset_id FROM edges)""",
+)
+def split_assets(t: Tables) -> DataFrame:
+    """Asset ids of three standards, single items among them."""
+    contract = F.concat(F.lit("0x"), F.regexp_replace("asset_id", "asset:", "a"))
+    named = F.when(F.col("transfer_type") == "native_transfer", "native:AC").when(
+        F.col("token_id").isNotNull(), F.concat(F.lit("erc721:"), contract, F.lit("/"), "token_id")
+    ).otherwise(F.concat(F.lit("erc20:"), contract))
+    return projections.project_edges(t.edges().withColumn("asset_id", named)).select("relationship_id", "asset_id", "asset_standard", "asset_contract", "asset_item", "token_id", "amount")
+
+
+@query(
+    "a17_event_fields",
+    """SELECT event_id, subject_id AS subject_address, '' AS amount_out, cast(amount AS varchar) AS amount_in, CASE WHEN starts_with(event_type, 'bridge') THEN 'outbound' ELSE '' END AS bridge_direction, 'key ' || tx_hash || ' "q"' AS correlation_key, '' AS remote_asset FROM sem""",
+)
+def event_fields(t: Tables) -> DataFrame:
+    stored = F.to_json(F.struct(
+        F.when(F.col("event_type").startswith("bridge"), "outbound").alias("bridge_direction"), F.concat(F.lit("key "), "tx_hash", F.lit(' "q"')).alias("correlation_key"),
+    ))
+    events = t.semantic_events()
+    amount = F.col("amount_raw")
+    rows = events.withColumns({"raw_evidence_json": stored, "amount_in": amount, "amount_out": F.lit(None).cast("string")})
+    return projections.project_events(rows).select("event_id", "subject_address", "amount_out", "amount_in", "bridge_direction", "correlation_key", "remote_asset")
+
+
 @query(
     "a18_common_ancestor",
     """WITH r AS (SELECT block_number, CASE WHEN block_number > 20 THEN 'z' || block_number ELSE block_hash END AS block_hash FROM current_blocks)
