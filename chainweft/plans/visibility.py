@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainweft.functions import ids
-from chainweft.operators import projections, quality
+from chainweft.operators import contracts, projections, quality
 from chainweft.operators import visibility as op
 from chainweft.plans.registry import query
 from chainweft.session import shared_dir
@@ -291,6 +292,58 @@ def edge_violations(t: Tables) -> DataFrame:
     return broken.groupBy("rule").agg(F.count("*").alias("rows"))
 
 
+_FORMATS = {ACCOUNT: "^[tx][0-9]+$"}
+
+
+def _broken(df: DataFrame, table: str, key: str) -> DataFrame:
+    found = contracts.with_violations(df, table, _FORMATS)
+    return found.select(F.lit(table).alias("table_name"), F.col(key).alias("key"), "revision", F.explode("violations").alias("rule"))
+
+
+@query(
+    "a13_contract_violations",
+    """WITH c AS (SELECT 'cl' || s_suppkey AS id, s_suppkey AS k, revision, review_status, network_id FROM (SELECT claims.*, cast(substr(claim_id, 3) AS bigint) AS s_suppkey FROM claims)),
+    s AS (SELECT source_id AS id, cast(substr(source_id, 4) AS bigint) AS k, revision FROM sources),
+    r AS (SELECT review_id AS id, decision, cast(substr(subject_id, 3) AS bigint) AS k, revision FROM reviews),
+    f AS (SELECT failure_id AS id, cast(substr(failure_id, 2) AS bigint) AS k, revision, attempts FROM failures)
+    SELECT 'intelligence_claims' AS table_name, id AS key, revision, rule FROM (
+        SELECT id, revision, 'share:confidence' AS rule FROM c WHERE k % 6 = 1 UNION ALL SELECT id, revision, 'flag:is_exposure_seed' FROM c WHERE k % 9 = 2 UNION ALL SELECT id, revision, 'status:review:review_status' FROM c WHERE k % 10 = 3
+        UNION ALL SELECT id, revision, 'refs:evidence_refs' FROM c WHERE k % 7 = 4 OR k % 8 = 5 UNION ALL SELECT id, revision, 'network' FROM c WHERE k % 13 = 6)
+    UNION ALL SELECT 'intelligence_sources', id, revision, 'network' FROM s WHERE k % 4 = 1 UNION ALL SELECT 'intelligence_sources', id, revision, 'flag:is_active' FROM s WHERE k % 5 = 2
+    UNION ALL SELECT 'intelligence_reviews', id, revision, 'status:decision:decision' FROM r WHERE decision NOT IN ('reject', 'approve', 'revoke') OR k % 5 = 1
+    UNION ALL SELECT 'intelligence_reviews', id, revision, 'filled:reviewed_by' FROM r WHERE k % 7 = 2
+    UNION ALL SELECT 'ingestion_failures', id, revision, 'status:failure:status' FROM f WHERE k % 9 = 1 UNION ALL SELECT 'ingestion_failures', id, revision, 'positive:attempts' FROM f WHERE k % 11 = 2
+    UNION ALL SELECT 'transactions', 't' || o_orderkey, 1, 'hash:tx_hash' FROM orders WHERE o_orderkey % 8 = 1 UNION ALL SELECT 'transactions', 't' || o_orderkey, 1, 'amount:amount_raw' FROM orders WHERE o_orderkey % 12 = 5
+    UNION ALL SELECT 'ingestion_benchmarks', 'bench' || event_id, 1, 'json:settings_json' FROM events WHERE event_id % 6 = 5""",
+)
+def contract_violations(t: Tables) -> DataFrame:
+    """Five stored tables and the events' settings, with faults planted by key; every broken rule of every row."""
+    number = lambda c: F.regexp_extract(c, "([0-9]+)", 1).cast("bigint")
+    k = number("claim_id")
+    claims = t.claims().withColumns({
+        "confidence": F.when(k % 6 == 1, F.lit(float("nan"))).otherwise(F.col("confidence")), "is_exposure_seed": F.when(k % 9 == 2, 2).otherwise(F.col("is_exposure_seed")),
+        "review_status": F.when(k % 10 == 3, "maybe").otherwise(F.col("review_status")), "network_id": F.when(k % 13 == 6, "elsewhere").otherwise(F.col("network_id")),
+        "evidence_refs": F.when(k % 7 == 4, F.array(F.lit("tx:1"), F.lit("no colon"))).when(k % 8 == 5, F.array(F.lit(None).cast("string"))).otherwise(F.array(F.lit("note:fine"))),
+    })
+    k = number("source_id")
+    sources = t.sources().withColumns({"network_id": F.when(k % 4 != 1, ACCOUNT), "is_active": F.when(k % 5 != 2, F.col("is_active"))})
+    k = number("subject_id")
+    named = F.when(F.col("decision") == "approve", "approved").when(F.col("decision") == "reject", "rejected").when(F.col("decision") == "revoke", "revoked")
+    reviews = t.reviews().withColumns({"network_id": F.lit(ACCOUNT), "decision": F.when(k % 5 != 1, named).otherwise(F.col("decision")), "reviewed_by": F.when(k % 7 != 2, F.col("reviewed_by")).otherwise("")})
+    k = number("failure_id")
+    failures = t.failures().withColumns({"network_id": F.lit(ACCOUNT), "status": F.when(k % 9 == 1, "lost").otherwise(F.col("status")), "attempts": F.when(k % 11 == 2, 0).otherwise(F.col("attempts"))})
+    k = number("tx_hash")
+    txs = t.account_txs().withColumns({"key": F.col("tx_hash"), "block_hash": F.lit("b"), "amount_raw": F.when(k % 12 == 5, "007").otherwise("7"), "revision": F.lit(1)}).withColumn("tx_hash", F.when(k % 8 == 1, "no hash").otherwise(F.col("tx_hash")))
+    settings = t.raw("events").select(
+        F.lit(ACCOUNT).alias("network_id"), F.concat(F.lit("bench"), "event_id").alias("benchmark_id"), F.when(F.col("event_id") % 6 == 5, F.lit("{open")).otherwise(F.col("props")).alias("settings_json"), F.lit(1).alias("revision"),
+    )
+    parts = [
+        _broken(claims, "intelligence_claims", "claim_id"), _broken(sources, "intelligence_sources", "source_id"), _broken(reviews, "intelligence_reviews", "review_id"),
+        _broken(failures, "ingestion_failures", "failure_id"), _broken(txs, "transactions", "key"), _broken(settings, "ingestion_benchmarks", "benchmark_id"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(
     "a14_rollback_tombstones",
     "SELECT block_number, block_hash, 3 AS revision, 0 AS canonical, 'orphaned' AS ingestion_status FROM canonical_blocks WHERE block_number > 12",
