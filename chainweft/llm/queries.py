@@ -35,9 +35,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 @query("op1_noisy_channel_toxicity")
 def toxicity_scores(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    grams = toxicity.language_model(documents)
-    patterns, base = toxicity.train(documents, table(spark, folder, "labels"), grams)
-    found = toxicity.scored(documents, grams, patterns, base, "score").select(
+    restored = toxicity.restoration(documents)
+    patterns, base = toxicity.train(documents, table(spark, folder, "labels"), restored)
+    found = toxicity.scored(documents, restored, patterns, base, "score").select(
         "doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
     with batches_of(spark, 1000):

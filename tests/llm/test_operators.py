@@ -256,13 +256,56 @@ def test_toxicity_restores_and_scores(spark, docs):
     rows += [(1100 + k, d, "en", "a") for k, d in enumerate(["555-1234 a@b 10.0.0.1", None, "", "x" * 30_000, "a1" * 5_000])]
     labels = spark.createDataFrame([(k, 1, int(k % 5 == 0)) for k in range(600)], "doc_id long, quality int, toxic int")
     df = docs(rows)
-    grams = toxicity.language_model(df)
-    patterns, base = toxicity.train(df, labels, grams)
-    out = {r.doc_id: r.score for r in toxicity.scored(df, grams, patterns, base, "score").collect()}
+    restored = toxicity.restoration(df)
+    patterns, base = toxicity.train(df, labels, restored)
+    out = {r.doc_id: r.score for r in toxicity.scored(df, restored, patterns, base, "score").collect()}
     assert all(out[1000 + k] >= 0.5 for k in range(len(disguises))), {d: out[1000 + k] for k, d in enumerate(disguises)}
     assert all((out[k] >= 0.5) == (k % 5 == 0) for k in range(600))
     assert all(out[1100 + k] < 0.5 for k in range(5))
-    assert toxicity.train(docs([]), labels.where("false"), [])[0] == {}
+    # repeated rows, clashing columns and an empty table
+    odd = docs([*rows[:5], *rows[:5], *rows[-11:]]).withColumn("__key__", F.lit(1)).withColumn("score", F.lit("x"))
+    again = toxicity.scored(odd, restored, patterns, base, "score")
+    assert sorted(map(tuple, again.select("doc_id", "score").collect())) == sorted((r[0], out[r[0]]) for r in [*rows[:5], *rows[:5], *rows[-11:]])
+    assert toxicity.scored(docs([]), toxicity.restoration(docs([])), patterns, base).count() == 0
+    assert toxicity.train(docs([]), labels.where("false"), toxicity.restoration(docs([])))[0] == {}
+
+
+def test_toxicity_model_and_scores_equal_brute_force(spark, docs):
+    rng = random.Random(31)
+    long_word = "".join(rng.choice("abcdefgh") + "i" for _ in range(60))
+    texts = [f"{invented(rng, 20)} m0r{'o' * rng.randint(3, 5)}n! {long_word} k.o.r.i r i t u" for _ in range(40)] + [None, "", "漢字仮名" * 30]
+    df = docs([(k, t, "en", "a") for k, t in enumerate(texts)])
+    counts = Counter()
+    for text in texts:
+        for piece in (text or "").split():
+            word = toxicity.plain(piece)
+            if word.isalpha() and not toxicity._TRIPLE.search(word):
+                framed = f" {word} "
+                for end in range(1, len(framed)):
+                    counts.update(framed[start : end + 1] for start in range(max(0, end - toxicity.ORDER), end + 1))
+    model = toxicity.Model(counts.items())
+    table = {r.gram: r for r in toxicity.language_model(df).collect()}
+    assert {g: r.n for g, r in table.items() if r.n} == dict(counts)
+    assert {g: (r.kinds, r.total) for g, r in table.items() if r.kinds} == model.after
+    restored = toxicity.restoration(df)
+    decoded = {r.spelling: set(r.words) for r in restored.words.collect()}
+    assert decoded == {x: toxicity.words_behind(x, model) for x in decoded} and len(decoded) > 2
+    patterns, base = {"moron$": 0.9, "kori": 0.3, "ritu$": 0.4, "bako": 0.2}, 0.01
+
+    def by_force(text):
+        pieces = (text or "").split()
+        found = set()
+        for piece in pieces:
+            found |= toxicity.read_as_is(piece)
+            for x in toxicity.spellings_of(piece):
+                found |= toxicity.words_behind(x, model)
+        for run in toxicity.runs(pieces):
+            for x in toxicity.spellings_of_run(run):
+                found |= toxicity.words_behind(x, model)
+        return toxicity.chance(toxicity.patterns_of(found) & patterns.keys(), patterns, base)
+
+    out = {r.doc_id: r.toxicity for r in toxicity.scored(df, restored, patterns, base).collect()}
+    assert out == {k: pytest.approx(by_force(t)) for k, t in enumerate(texts)}
 
 
 def test_disguised_pieces_are_decoded_exactly_and_whole():
@@ -303,9 +346,8 @@ def test_disguised_pieces_are_decoded_exactly_and_whole():
     for _ in range(40):
         piece = "".join(rng.choice("1!|6046a.l") for _ in range(9))
         assert model.decode(piece) in force(piece), piece
-    restorer = toxicity.Restorer(model)
-    assert "badword" in restorer.piece("nice_b4dw0rd")
-    assert "badword" in restorer.piece("nice_" * 9 + "b4dw0rd")
+    for piece in ("nice_b4dw0rd", "nice_" * 9 + "b4dw0rd"):
+        assert any("badword" in toxicity.words_behind(x, model) for x in toxicity.spellings_of(piece))
 
 
 def test_code_lengths_equal_plain_ppm():
