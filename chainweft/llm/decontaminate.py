@@ -128,7 +128,7 @@ def contaminations(documents: DataFrame, benchmark: DataFrame, threshold: float
     document holds at least ``threshold`` of the item's distinct five-word shingles (A-Z in lower
     case). Items with the same shingles are reported once, under the least ``item_id``; a text of
     one to four words has one shingle; null and blank texts, and items without an id, contain
-    and match nothing. Repeated rows of a document give one pair. Documents without an id are told
+    and match nothing. Rows that share an id are one document, which holds what any of them holds. Documents without an id are told
     apart by their text.
     """
     spark = documents.sparkSession
@@ -150,7 +150,7 @@ def contaminations(documents: DataFrame, benchmark: DataFrame, threshold: float
         found.select("ident", F.explode("keys").alias("key"))
         .join(items.select("item_id", F.explode("keys").alias("key")), "key").select("ident", "item_id").distinct()
     )
-    held = found.groupBy("ident", "doc_id").agg(F.max("hits").alias("hits"))
+    held = found.groupBy("ident", "doc_id").agg(F.flatten(F.collect_set("hits")).alias("hits"))
     n_found = F.size(F.array_intersect("hits", "own"))
     return (
         pairs.join(held, "ident").join(items.select("item_id", "own"), "item_id")

@@ -25,8 +25,6 @@ WEIGHTS = (3, 1, 2)
 #: Slices of documents of one source and size, so that copies of one text are ranked apart.
 SLICES = 1024
 STEPS, PRECISION = 200, 1e-9
-#: Passes that make up what rounding leaves over.
-PASSES = 4
 
 
 def words_of(text: Column) -> Column:
@@ -81,9 +79,11 @@ def rates(sizes: DataFrame, aims: DataFrame) -> DataFrame:
     )
     x = F.col("size") / F.col("mean")
     tilt = F.exp(F.least(F.col("dual") * x, F.lit(math.log(CAP))))
-    for _ in range(STEPS):
-        if state.where("NOT done").isEmpty():
-            break
+    steps = 0
+    while not state.where("NOT done").isEmpty():
+        if steps == STEPS:
+            raise RuntimeError(f"sources without a solution after {STEPS} steps")
+        steps += 1
         moved = sizes.join(state.where("NOT done"), "skey").groupBy("skey").agg(
             F.sum(tilt * F.col("size") * F.col("n")).alias("got"),
             F.sum(F.when(tilt < CAP, tilt * x * F.col("size") * F.col("n")).otherwise(0.0)).alias("slope"),
@@ -100,7 +100,7 @@ def rates(sizes: DataFrame, aims: DataFrame) -> DataFrame:
                 F.when(F.col("done") | (F.abs(gap) <= PRECISION * F.col("target")), F.col("dual"))
                 .when((F.col("slope") > 0) & (newton > F.col("low")) & (newton < F.col("high")), newton).otherwise(halved).alias("dual"),
                 "low", "high",
-                (F.col("done") | (F.abs(gap) <= PRECISION * F.col("target")) | (F.col("high") - F.col("low") < 1e-14)).alias("done"),
+                (F.col("done") | (F.abs(gap) <= PRECISION * F.col("target")) | (F.col("high") - F.col("low") < 1e-14 * F.greatest(F.lit(1.0), F.abs("dual")))).alias("done"),
             ),
             "dual",
         )
@@ -119,7 +119,7 @@ def _rounded(rated: DataFrame) -> DataFrame:
     out = rated.withColumn("upto", upto)
     out = out.withColumn("copies", F.floor(F.col("upto") + 0.5) - F.floor(F.col("upto") - F.col("rate") * F.col("n") + 0.5))
     out = out.withColumn("copies", F.least(F.greatest(F.col("copies"), F.lit(0)), F.col("n") * CAP))
-    for _ in range(PASSES):
+    while True:  # each pass brings some source nearer to its target, from the same side
         taken = F.sum(F.col("copies") * F.col("size")).over(Window.partitionBy("skey"))
         out = out.withColumn("over", taken - F.round("target"))
         free = F.when(F.col("over") > 0, F.col("copies")).otherwise(F.col("n") * CAP - F.col("copies"))
@@ -127,7 +127,10 @@ def _rounded(rated: DataFrame) -> DataFrame:
         before = F.coalesce(F.sum(F.col("free") * F.col("size")).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         out = out.withColumn("before", before)
         flips = F.least(F.col("free"), F.greatest(F.floor((F.abs("over") - F.col("before")) / F.greatest("size", F.lit(1))), F.lit(0)))
-        out = out.withColumn("copies", F.col("copies") - F.signum("over") * flips)
+        out = out.withColumn("flips", flips).withColumn("copies", F.col("copies") - F.signum("over") * F.col("flips"))
+        out = materialise(out, "rounded")
+        if out.where("flips > 0").isEmpty():
+            break
     few = F.floor(F.col("copies") / F.col("n")).cast("long")
     return out.select("skey", "size", "source_size", "target", few.alias("few"), (F.col("copies") - few * F.col("n")).cast("long").alias("more"))
 

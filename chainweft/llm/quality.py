@@ -90,13 +90,14 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS) -
 def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> np.ndarray:
     """Weights learnt from at most ``max_rows`` labelled documents that are not held out.
 
-    The sample has a fixed bound, so one task sees it whole; the result is ``PLACES`` numbers at most.
+    Of rows that share an id the least text is taken, so the sample has a fixed bound and one task
+    sees it whole; the result is ``PLACES`` numbers at most.
     """
     chosen = bounded_labels(labels, "quality", ~held_out(F.col("doc_id"), 4, 2), max_rows)
     sample = (
         documents.select("doc_id", F.col("text").cast("binary").alias("text"))
         .join(F.broadcast(chosen), "doc_id")  # at most max_rows ids
-        .select("text", "label", "place")
+        .groupBy("place", "label").agg(F.min("text").alias("text"))
     )
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

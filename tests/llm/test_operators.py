@@ -456,6 +456,56 @@ def test_pipeline_stages_feed_each_other(spark, sf):
     assert len(rows) == docs.count() and all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False))
 
 
+def test_pipeline_takes_odd_rows_and_empty_tables(spark, sf, tmp_path):
+    import corpus_pipeline
+
+    for name in ("labels", "benchmark"):
+        table(spark, sf, name).write.parquet(f"{tmp_path}/{name}.parquet")
+        table(spark, sf, name).where("false").write.parquet(f"{tmp_path}/none/{name}.parquet")
+    plain = table(spark, sf, "documents").withColumns({"score": F.lit("x"), "size": F.lit(1), "__mark__": F.lit("y")})
+    first = plain.orderBy("doc_id").limit(1)
+    nothing = first.withColumns({c: F.lit(None).cast(t) for c, t in first.dtypes})
+    blank = first.withColumn("doc_id", F.lit(10**9) + F.col("doc_id")).withColumn("text", F.lit(" \n"))
+    giant = first.withColumn("doc_id", F.lit(2 * 10**9) + F.col("doc_id")).withColumn("text", F.repeat(F.concat("text", F.lit(" ")), 200))
+    plain.unionByName(plain).unionByName(nothing).unionByName(blank).unionByName(giant).write.parquet(f"{tmp_path}/documents.parquet")
+    plain.where("false").write.parquet(f"{tmp_path}/none/documents.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).orderBy("start").collect()
+    assert rows and all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False))
+    assert None not in {r.doc_id for r in rows} and 10**9 not in {r.doc_id // 10**9 * 10**9 for r in rows}
+    kept = plain.select("doc_id").distinct().collect()
+    assert {r.doc_id for r in rows if r.doc_id < 10**9} <= {r.doc_id for r in kept}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_quality_sample_takes_one_row_of_an_id(spark, docs):
+    rows = [(k, "fine words stand here in rows" if k % 2 else "%%% $$$ 111 ~~~", "en", "a") for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    once = quality.train(docs(rows), labels)
+    again = quality.train(docs([*rows, *rows[:30], *((k, t + " zz", lang, s) for k, t, lang, s in rows[30:])]), labels)
+    assert once.any() and np.array_equal(once, again)
+
+
+def test_rows_that_share_an_id_are_one_document_for_benchmarks(spark, docs):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
+    bench = spark.createDataFrame([(1, item), (2, item[::-1])], "item_id long, text string")
+    rows = [(7, f"a b {item} c", "en", "a"), (7, f"d e {item[::-1]} f", "en", "a"), (8, item, "en", "a")]
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminations(docs(rows), bench).collect()}
+    assert found == {(7, 1), (7, 2), (8, 1)}
+
+
+def test_mixing_rounds_until_nothing_moves_and_says_when_unsolved(spark, docs, monkeypatch):
+    rng = random.Random(17)
+    rows = [(k, "w " * rng.choice([1, 2, 3, 5, 17, 40, 301]), "en", rng.choice("abcd")) for k in range(300)]
+    found = mixing.taken(docs(rows)).withColumn("source", F.col("source_size")).collect()
+    for source in {r.source for r in found}:
+        own = [r for r in found if r.source == source]
+        over = sum(r.taken for r in own) - round(own[0].target)
+        assert not any(0 < r.size <= abs(over) and (r.taken > 0 if over > 0 else r.taken < 2 * r.size) for r in own if over), (source, over)
+    monkeypatch.setattr(mixing, "STEPS", 0)
+    with pytest.raises(RuntimeError):
+        mixing.taken(docs(rows))
+
+
 def test_check_sql_agrees(spark, sf):
     import compare
     from chainweft.llm import queries
