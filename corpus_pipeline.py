@@ -3,6 +3,13 @@
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before kept. The first
 four return the columns of documents; the last writes the token files and returns one row for
 each document in them.
+
+A null or blank text is scored like any other, is nobody's duplicate and holds no item, but the mix
+takes no words from it, so it is not in the files. Rows that share an id are one document for
+duplicates and benchmark items, and rows of their own in the mix. Texts of any length are read
+whole. Equal scores, sizes and ranks are decided by hashes and ids, so reruns agree. Further
+columns are carried along to the mix, whatever their names, but for names in double
+underscores, which the operators use. An empty table gives an empty result.
 """
 
 from __future__ import annotations
