@@ -4,7 +4,8 @@ A plain window puts every row of one key into one task.  The helpers here cut
 a key into slices of its order (a block or time range), work inside the
 slices, reduce each slice to one small row and carry that row forward.  The
 only window over a whole key then runs over its slice rows, whose number is
-bounded by the range of the order divided by the slice width.
+bounded by the range of the order divided by the slice width.  A slice that
+holds too many rows can be cut again at their percentiles.
 """
 
 from __future__ import annotations
@@ -21,6 +22,21 @@ def _slice(position: Column, width: int) -> Column:
     return F.floor(position / F.lit(width)).cast("bigint")
 
 
+def with_even_slices(df: DataFrame, keys: Sequence[str], position: str, rows: int, pieces: int = 128) -> DataFrame:
+    """``df`` with its slices cut again at percentiles of ``position`` where one holds more than ``rows`` rows.
+
+    Slices keep their order, and rows of one position stay together.  Only
+    overfull slices are sorted into percentiles; their number is at most the
+    number of rows divided by ``rows``.
+    """
+    group = [*keys, SLICE]
+    full = df.groupBy(*group).count().where(F.col("count") > rows).select(*group)
+    shares = [k / pieces for k in range(1, pieces)]
+    borders = df.join(full, group, "left_semi").groupBy(*group).agg(F.percentile_approx(position, shares, 10_000).alias("__borders"))
+    inner = F.when(F.col("__borders").isNull(), 0).otherwise(F.size(F.filter("__borders", lambda b: b < F.col(position))))
+    return df.join(borders, group, "left").withColumn(SLICE, F.col(SLICE) * pieces + inner).drop("__borders")
+
+
 def with_previous(
     df: DataFrame,
     keys: Sequence[str],
@@ -101,11 +117,13 @@ def asof(
     width: int,
     forward: bool = False,
     inclusive: bool = False,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Attach the nearest earlier (or later) ``right`` row to each left row.
 
     Both frames carry ``keys`` and ``order`` under the same names; ``payload``
     columns of the right frame come back, null where there is no such row.
+    Slices of more than ``slice_rows`` rows, if given, are cut again.
     Cost is one sort of the union per slice: pairs are never formed.
     """
     keys, order, payload = list(keys), list(order), list(payload)
@@ -126,6 +144,8 @@ def asof(
     )
     both = a.unionByName(b, allowMissingColumns=True)
     both = both.withColumn(SLICE, _slice(F.col(slice_on), width))
+    if slice_rows is not None:
+        both = with_even_slices(both, keys, slice_on, slice_rows)
     # A later row is an earlier row of the reversed order: frames that start at
     # the partition head are evaluated in one pass, frames that end at its tail
     # are not.

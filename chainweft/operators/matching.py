@@ -213,12 +213,14 @@ def pass_through(edges: DataFrame, window_ms: int = 600_000) -> DataFrame:
 
 
 def event_sequence(
-    events: DataFrame, left: Column, right: Column, window_ms: int = HOUR_MS
+    events: DataFrame, left: Column, right: Column, window_ms: int = HOUR_MS, slice_rows: int = 1_000_000
 ) -> DataFrame:
     """Subjects with a left and a right event within the window, in either order.
 
     For every left event only the nearest right event on each side is looked
-    up; the first left event in time that has one is reported with it.
+    up; the first left event in time that has one is reported with it.  A
+    subject is cut into slices of 512 windows, and where these hold more than
+    ``slice_rows`` events, at their percentiles.
     """
     a = events.where(left).select(
         "subject_id", F.col(TS).alias("at"), F.col("event_id").alias("left_id")
@@ -231,8 +233,8 @@ def event_sequence(
     payload = ["right_at", "right_id"]
     # several right events may share a time: keep the smallest id
     b = b.groupBy("subject_id", "at", "right_at").agg(F.min("right_id").alias("right_id"))
-    back = asof(a, b, ["subject_id"], ["at"], payload, "at", width, inclusive=True)
-    ahead = asof(a, b, ["subject_id"], ["at"], payload, "at", width, forward=True, inclusive=True)
+    back = asof(a, b, ["subject_id"], ["at"], payload, "at", width, inclusive=True, slice_rows=slice_rows)
+    ahead = asof(a, b, ["subject_id"], ["at"], payload, "at", width, forward=True, inclusive=True, slice_rows=slice_rows)
     found = back.unionByName(ahead).where(F.abs(F.col("right_at") - F.col("at")) <= window_ms)
     first = F.min(F.struct("at", "left_id", "right_at", "right_id"))
     return found.groupBy("subject_id").agg(first.alias("f")).select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chainweft.functions import wide
 from chainweft.functions.ids import ZERO_ADDRESS
-from chainweft.functions.ordered import asof, with_previous, with_running_total
+from chainweft.functions.ordered import SLICE, asof, with_even_slices, with_previous, with_running_total
 from chainweft.operators import activity, clusters, detect, exposure, extract, matching, quality, risk, series, visibility
 from chainweft.operators.graph import ordered_paths
 
@@ -78,6 +78,25 @@ def test_asof_equals_brute_force(spark, forward, inclusive):
         assert got[(k, p)] == ((min(fits) if forward else max(fits)) if fits else None)
 
 
+def test_overfull_slices_are_cut_at_percentiles(spark):
+    """One key with nearly all rows in one slice of time spreads over many slices, and look-ups stay right."""
+    rng = random.Random(13)
+    hot = [("x", int(1000 * rng.random() ** 4)) for _ in range(4000)]
+    df = spark.createDataFrame([*hot, *(("y", p) for p in range(0, 900, 90))], "k string, p long").withColumn(SLICE, F.lit(0).cast("long"))
+    cut = with_even_slices(df, ["k"], "p", 100).groupBy("k", SLICE).agg(F.count("*").alias("n"), F.min("p").alias("low"), F.max("p").alias("high"), F.countDistinct("p").alias("kinds")).collect()
+    x = sorted((r for r in cut if r.k == "x"), key=lambda r: r[SLICE])
+    assert len(x) > 60 and all(r.n <= 100 or r.kinds == 1 for r in x) and all(a.high < b.low for a, b in zip(x, x[1:], strict=False))
+    assert sum(r.k == "y" for r in cut) == 1 and sum(r.n for r in cut) == 4010
+    events = [(k, p, f"e{i:04}", rng.choice(["mixer_in", "bridge"])) for i, (k, p) in enumerate({*hot, ("y", 3), ("y", 20)})]
+    frame = spark.createDataFrame(events, "subject_id string, block_timestamp_unix_ms long, event_id string, event_type string")
+    kind = F.col("event_type")
+    whole, split = (matching.event_sequence(frame, kind == "mixer_in", kind == "bridge", 2, rows) for rows in (10**6, 20))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, split.collect()))
+    a, b = ([(k, p, i) for k, p, i, t in events if t == want] for want in ("mixer_in", "bridge"))
+    near = {k: min((p, i) for k2, p, i in a if k2 == k and any(k3 == k and abs(q - p) <= 2 for k3, q, _ in b)) for k in {k for k, *_ in a} if any(k2 == k and k3 == k and abs(q - p) <= 2 for k2, p, _ in a for k3, q, _ in b)}
+    assert {r.subject_id: r.left_event_id for r in split.collect()} == {k: i for k, (_, i) in near.items()}
+
+
 def test_latest_does_not_depend_on_order(spark):
     rows = [("a", 1, "old"), ("a", 3, "new"), ("a", 2, "mid"), ("b", 1, "only")]
     for shuffled in (rows, rows[::-1]):
