@@ -292,11 +292,14 @@ def edge_violations(t: Tables) -> DataFrame:
     return broken.groupBy("rule").agg(F.count("*").alias("rows"))
 
 
-_FORMATS = {ACCOUNT: "^[tx][0-9]+$"}
+_SHAPES = {
+    ACCOUNT: contracts.Network("^[tx][0-9]+$", "^(?:native:COIN|token:(?:0|[1-9][0-9]*)(?:/(?:0|[1-9][0-9]*))?)$", 6, ("logs",)),
+    UTXO: contracts.Network("^[bu][0-9]+$", "^native:COIN$", 8, ("outputs",)),
+}
 
 
 def _broken(df: DataFrame, table: str, key: str) -> DataFrame:
-    found = contracts.with_violations(df, table, _FORMATS)
+    found = contracts.with_violations(df, table, {ACCOUNT: _SHAPES[ACCOUNT]})
     return found.select(F.lit(table).alias("table_name"), F.col(key).alias("key"), "revision", F.explode("violations").alias("rule"))
 
 
@@ -305,14 +308,14 @@ def _broken(df: DataFrame, table: str, key: str) -> DataFrame:
     """WITH c AS (SELECT 'cl' || s_suppkey AS id, s_suppkey AS k, revision, review_status, network_id FROM (SELECT claims.*, cast(substr(claim_id, 3) AS bigint) AS s_suppkey FROM claims)),
     s AS (SELECT source_id AS id, cast(substr(source_id, 4) AS bigint) AS k, revision FROM sources),
     r AS (SELECT review_id AS id, decision, cast(substr(subject_id, 3) AS bigint) AS k, revision FROM reviews),
-    f AS (SELECT failure_id AS id, cast(substr(failure_id, 2) AS bigint) AS k, revision, attempts FROM failures)
+    f AS (SELECT failure_id AS id, cast(substr(failure_id, 2) AS bigint) AS k, revision, attempts, status FROM failures)
     SELECT 'intelligence_claims' AS table_name, id AS key, revision, rule FROM (
         SELECT id, revision, 'share:confidence' AS rule FROM c WHERE k % 6 = 1 UNION ALL SELECT id, revision, 'flag:is_exposure_seed' FROM c WHERE k % 9 = 2 UNION ALL SELECT id, revision, 'status:review:review_status' FROM c WHERE k % 10 = 3
         UNION ALL SELECT id, revision, 'refs:evidence_refs' FROM c WHERE k % 7 = 4 OR k % 8 = 5 UNION ALL SELECT id, revision, 'network' FROM c WHERE k % 13 = 6)
     UNION ALL SELECT 'intelligence_sources', id, revision, 'network' FROM s WHERE k % 4 = 1 UNION ALL SELECT 'intelligence_sources', id, revision, 'flag:is_active' FROM s WHERE k % 5 = 2
     UNION ALL SELECT 'intelligence_reviews', id, revision, 'status:decision:decision' FROM r WHERE decision NOT IN ('reject', 'approve', 'revoke') OR k % 5 = 1
     UNION ALL SELECT 'intelligence_reviews', id, revision, 'filled:reviewed_by' FROM r WHERE k % 7 = 2
-    UNION ALL SELECT 'ingestion_failures', id, revision, 'status:failure:status' FROM f WHERE k % 9 = 1 UNION ALL SELECT 'ingestion_failures', id, revision, 'positive:attempts' FROM f WHERE k % 11 = 2
+    UNION ALL SELECT 'ingestion_failures', id, revision, 'status:failure:status' FROM f WHERE k % 9 = 1 OR status = 'pending' UNION ALL SELECT 'ingestion_failures', id, revision, 'positive:attempts' FROM f WHERE k % 11 = 2
     UNION ALL SELECT 'transactions', 't' || o_orderkey, 1, 'hash:tx_hash' FROM orders WHERE o_orderkey % 8 = 1 UNION ALL SELECT 'transactions', 't' || o_orderkey, 1, 'amount:amount_raw' FROM orders WHERE o_orderkey % 12 = 5
     UNION ALL SELECT 'ingestion_benchmarks', 'bench' || event_id, 1, 'json:settings_json' FROM events WHERE event_id % 6 = 5""",
 )
@@ -344,6 +347,70 @@ def contract_violations(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+@query(
+    "a13_ledger_violations",
+    """WITH i AS (SELECT tx_hash, input_index AS place, revision FROM inputs), o AS (SELECT tx_hash, output_index AS place, revision, value_sats FROM outputs)
+    SELECT 'bitcoin_inputs' AS table_name, tx_hash AS key, place, revision, rule FROM (
+        SELECT *, 'hash:prev_tx_hash' AS rule FROM i WHERE place % 71 = 4 UNION ALL SELECT *, 'hash:block_hash' FROM i WHERE place % 67 = 3 UNION ALL SELECT *, 'filled:block_hash' FROM i WHERE place % 67 = 3
+        UNION ALL SELECT *, 'network' FROM i WHERE place % 61 = 2 UNION ALL SELECT *, 'kind:outputs' FROM i WHERE place % 61 = 2 OR place % 59 = 1
+        UNION ALL SELECT *, unnest(['hash:block_hash', 'hash:tx_hash', 'hash:prev_tx_hash']) FROM i WHERE (place % 61 = 2 OR place % 59 = 1)) GROUP BY ALL
+    UNION ALL SELECT 'bitcoin_outputs', tx_hash, place, revision, rule FROM (
+        SELECT *, 'sats:value_sats' AS rule FROM o WHERE place % 97 = 5 AND value_sats > 0 UNION ALL SELECT *, 'bytes:script_hex' FROM o WHERE place % 89 = 3
+        UNION ALL SELECT *, 'flag:coinbase' FROM o WHERE place % 83 = 2 UNION ALL SELECT *, 'filled:commit_id' FROM o WHERE place % 79 = 1)""",
+)
+def ledger_violations(t: Tables) -> DataFrame:
+    """Inputs and outputs of the unspent-output network with faults planted by index; every broken rule of every row."""
+    at = F.col("input_index")
+    inputs = t.utxo_inputs().withColumns({
+        "prev_tx_hash": F.when(at % 71 == 4, "none").otherwise(F.col("prev_tx_hash")), "block_hash": F.when(at % 67 == 3, "").otherwise(F.col("block_hash")),
+        "network_id": F.when(at % 61 == 2, "elsewhere").when(at % 59 == 1, ACCOUNT).otherwise(F.col("network_id")),
+    }).withColumn("place", at)
+    at = F.col("output_index")
+    outputs = t.utxo_outputs().withColumns({
+        "value_sats": F.when(at % 97 == 5, F.col("value_sats") + contracts.MOST_SATS).otherwise(F.col("value_sats")), "script_hex": F.when(at % 89 == 3, "6aZ").otherwise(F.col("script_hex")),
+        "coinbase": F.when(at % 83 == 2, 2).otherwise(F.col("coinbase")), "commit_id": F.when(at % 79 != 1, F.col("commit_id")),
+    }).withColumn("place", at)
+    parts = [contracts.with_violations(df, table, _SHAPES).select(F.lit(table).alias("table_name"), F.col("tx_hash").alias("key"), "place", "revision", F.explode("violations").alias("rule"))
+             for df, table in ((inputs, "bitcoin_inputs"), (outputs, "bitcoin_outputs"))]
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "a13_event_and_asset_violations",
+    """SELECT 'evm_logs' AS table_name, 'x' || event_id AS key, rule FROM (
+        SELECT event_id, 'kind:logs' AS rule FROM events WHERE event_id % 9 = 4 UNION ALL SELECT event_id, 'hash:tx_hash' FROM events WHERE event_id % 9 = 4 OR event_id % 8 = 1
+        UNION ALL SELECT event_id, 'hash:block_hash' FROM events WHERE event_id % 9 = 4 UNION ALL SELECT event_id, 'positive:revision' FROM events WHERE event_id % 13 = 6)
+    UNION ALL SELECT 'tron_contracts', 'x' || event_id, unnest(CASE WHEN event_id % 6 = 5 THEN ['kind:contracts', 'json:payload_json'] ELSE ['kind:contracts'] END) FROM events
+    UNION ALL SELECT 'asset_metadata', 'm' || p_partkey, rule FROM (
+        SELECT p_partkey, 'asset:asset_id' AS rule FROM part WHERE p_partkey % 10 <> 0 AND p_partkey % 7 = 2 OR p_partkey % 10 <> 0 AND p_partkey % 7 <> 2 AND p_partkey % 17 = 3
+        UNION ALL SELECT p_partkey, 'native_decimals:asset_id:decimals' FROM part WHERE p_partkey % 20 = 0
+        UNION ALL SELECT p_partkey, 'reviewed:review_status:reviewed_by' FROM part WHERE p_partkey % 4 = 1 AND p_partkey % 3 <> 0
+        UNION ALL SELECT p_partkey, 'refs:evidence_refs' FROM part WHERE p_partkey % 11 = 7)""",
+)
+def event_and_asset_violations(t: Tables) -> DataFrame:
+    """Logs and contract calls from the events and asset records from the parts, with faults planted by key."""
+    k = F.col("event_id")
+    rows = t.raw("events").select(
+        F.concat(F.lit("x"), k).alias("key"), F.when(k % 9 == 4, UTXO).otherwise(ACCOUNT).alias("network_id"), F.concat(F.lit("x"), k).alias("block_hash"), F.lit("k").alias("commit_id"),
+        F.when(k % 13 != 6, 1).otherwise(0).alias("revision"), F.concat(F.when(k % 8 == 1, F.lit("X")).otherwise("x"), k).alias("tx_hash"),
+    )
+    # no known network carries contract calls here, so each row breaks that rule
+    calls = t.raw("events").select(
+        F.concat(F.lit("x"), k).alias("key"), F.lit(ACCOUNT).alias("network_id"), F.concat(F.lit("x"), k).alias("block_hash"), F.lit("k").alias("commit_id"),
+        F.lit(1).alias("revision"), F.concat(F.lit("x"), k).alias("tx_hash"), F.when(k % 6 == 5, F.lit("{open")).otherwise(F.col("props")).alias("payload_json"),
+    )
+    k = F.col("p_partkey")
+    assets = t.raw("part").select(
+        F.concat(F.lit("m"), k).alias("key"), F.lit(ACCOUNT).alias("network_id"),
+        F.when(k % 10 == 0, "native:COIN").when(k % 7 == 2, F.concat(F.lit("token:0"), k)).when(k % 17 == 3, F.concat(F.lit("token:1/"), F.repeat(F.lit("9"), 78))).otherwise(F.concat(F.lit("token:"), k)).alias("asset_id"),
+        F.when(k % 20 != 0, 6).alias("decimals"), F.when(k % 3 == 0, "pending").otherwise("approved").alias("review_status"), F.when(k % 4 != 1, "lead").otherwise("").alias("reviewed_by"),
+        F.when(k % 11 == 7, F.array(F.lit("Bad ref"))).otherwise(F.array(F.lit("tx:1"))).alias("evidence_refs"), F.lit(1).alias("revision"),
+    )
+    parts = [contracts.with_violations(df, table, _SHAPES).select(F.lit(table).alias("table_name"), "key", F.explode("violations").alias("rule"))
+             for df, table in ((rows, "evm_logs"), (calls, "tron_contracts"), (assets, "asset_metadata"))]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(
     "a14_rollback_tombstones",
     "SELECT block_number, block_hash, 3 AS revision, 0 AS canonical, 'orphaned' AS ingestion_status FROM canonical_blocks WHERE block_number > 12",
