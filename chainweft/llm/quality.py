@@ -97,7 +97,7 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_
     sample = (
         documents.select("doc_id", F.col("text").cast("binary").alias("text"))
         .join(F.broadcast(chosen), "doc_id")  # at most max_rows ids
-        .groupBy("place", "label").agg(F.min("text").alias("text"))
+        .select("text", "label", "place")
     )
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,8 +109,8 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_
                 at.append(own.astype(np.int32))
                 xs.append(np.bincount(where, values).astype(np.float32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("place"), batch.column("label"), pa.array(at, pa.list_(pa.int32())), pa.array(xs, pa.list_(pa.float32()))],
-                ["place", "label", "at", "x"],
+                [batch.column("place"), batch.column("label"), batch.column("text"), pa.array(at, pa.list_(pa.int32())), pa.array(xs, pa.list_(pa.float32()))],
+                ["place", "label", "text", "at", "x"],
             )
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +123,8 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(w[used])], ["at", "w"])
 
     learnt = (
-        sample.mapInArrow(folded, "place long, label int, at array<int>, x array<float>")
+        sample.mapInArrow(folded, "place long, label int, text binary, at array<int>, x array<float>")
+        .groupBy("place", "label").agg(F.min(F.struct(F.col("text").isNull(), "text", "at", "x")).alias("least")).select("place", "label", "least.at", "least.x")
         .repartitionByRange(1, "place", "at").sortWithinPartitions("place", "at", "x")
         .mapInArrow(fitted, "at long, w double")
     )
