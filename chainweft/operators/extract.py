@@ -293,6 +293,11 @@ def _padded(value: Column, digits: int, signed: bool) -> Column:
 
 def abi_proof(logs: DataFrame) -> DataFrame:
     """Known logs with their receipt name and whether topics, size and padding fit."""
+    return receipts(logs).where(F.col("abi").isNotNull())
+
+
+def receipts(logs: DataFrame) -> DataFrame:
+    """All logs, normalised, with what ``abi_proof`` says of the known ones and nulls for the others."""
     own = normal_logs(logs)
     table = F.create_map(
         *[
@@ -305,7 +310,7 @@ def abi_proof(logs: DataFrame) -> DataFrame:
             )
         ]
     )
-    rows = own.withColumn("shape", F.try_element_at(table, _topic(0))).where(F.col("shape").isNotNull())
+    rows = own.withColumn("shape", F.try_element_at(table, _topic(0)))
     size_ok = (
         (F.size("topics") == F.col("shape.topics"))
         & (F.length("data") == F.col("shape.words") * 64)
@@ -319,8 +324,9 @@ def abi_proof(logs: DataFrame) -> DataFrame:
             value = _topic(index) if place == "topic" else word(F.col("data"), index)
             ok = ok & _padded(value, digits, signed)
         padding = F.when(F.col("shape.name") == name, ok).otherwise(padding)
+    valid = F.when(F.col("shape").isNotNull(), F.coalesce(size_ok & padding, F.lit(False)))
     return rows.withColumn("abi", F.col("shape.name")).withColumn("operation", F.col("shape.operation")).withColumn(
-        "abi_valid", F.coalesce(size_ok & padding, F.lit(False))
+        "abi_valid", valid
     ).drop("shape")
 
 
@@ -366,38 +372,71 @@ def asset_parts(df: DataFrame) -> DataFrame:
 ITEM_TYPES = ("native", "erc20", "erc721", "erc1155")
 
 
+#: The least word that needs more than 60 bits.
+_LARGE_WORD = bytes(24) + bytes([16]) + bytes(7)
+
+
+def _unhexed(data: Column) -> Column:
+    """Hex data, with or without prefix, as bytes; null where it is no hex of whole words."""
+    digits = F.when(F.lower(F.left(data, F.lit(2))) == "0x", F.substring(data, F.lit(3), F.octet_length(data))).otherwise(data)
+    return F.when(F.octet_length(digits) % 64 == 0, F.unhex(digits))
+
+
+def _byte_word(data: Column, index: Column | int) -> Column:
+    """The 32 bytes of word number ``index``; null where the data is shorter."""
+    at = F.lit(index) if isinstance(index, int) else index
+    bits = F.substring(data, (at * F.lit(32) + F.lit(1)).cast("int"), F.lit(32))
+    return F.when(F.octet_length(data) >= (at + F.lit(1)) * F.lit(32), bits)
+
+
+def _small_bytes(value: Column) -> Column:
+    """A word of bytes that fits 60 bits as ``bigint``, else null."""
+    return F.when(value < F.lit(_LARGE_WORD), F.conv(F.hex(F.substring(value, F.lit(25), F.lit(8))), 16, 10).cast("bigint"))
+
+
+def _address_bytes(value: Column) -> Column:
+    """An EVM address from a left-padded word of bytes; null when the padding is not zero."""
+    return F.when(F.substring(value, F.lit(1), F.lit(12)) == F.lit(bytes(12)), _hexed(F.substring(value, F.lit(13), F.lit(20)), "0x"))
+
+
+def _hexed(value: Column, prefix: str = "") -> Column:
+    text = F.lower(F.hex(value))
+    return F.concat(F.lit(prefix), text) if prefix else text
+
+
 def nft_orders(logs: DataFrame) -> DataFrame:
     """Marketplace order logs as one row per item of the offer or the consideration.
 
     A log is decoded only as a whole: fixed offsets, exact size, and every item
-    consistent with its type.
+    consistent with its type.  Data is read as bytes, whose words are cut out
+    without a scan, and each log is decoded once.
     """
     data = F.col("data")
-    at = lambda i: small_word(word(data, i))
-    own = normal_logs(logs).where((_topic(0) == ORDER_FULFILLED) & (F.size("topics") == 3)).select(
-        "tx_hash", "log_index", "data", word_address(_topic(1)).alias("offerer"),
-        F.when((F.length("data") % 64 == 0) & data.rlike("^[0-9a-f]+$"), word_count(data)).alias("w"),
+    at = lambda i: _small_bytes(_byte_word(data, i))
+    topic = lambda i: F.regexp_replace(F.lower(_topic(i)), "^0x", "")
+    own = logs.where((topic(0) == ORDER_FULFILLED) & (F.size("topics") == 3)).select(
+        "tx_hash", "log_index", _unhexed(F.col("data")).alias("data"), word_address(topic(1)).alias("offerer"),
     )
     step = own.withColumns(
-        {"order_hash": word(data, 0), "recipient": word_address(word(data, 1)), "o2": at(2), "o3": at(3), "offers": at(4)}
+        {"w": F.floor(F.octet_length(data) / 32).cast("int"), "order_hash": _hexed(_byte_word(data, 0), "0x"),
+         "recipient": _address_bytes(_byte_word(data, 1)), "o2": at(2), "o3": at(3), "offers": at(4)}
     )
     start = F.when(F.col("offers") < F.col("w"), F.col("offers") * 4 + 5)
     step = step.withColumn("start", start)
-    step = step.withColumn("received", F.when(F.col("start") < F.col("w"), small_word(word(data, F.col("start")))))
+    step = step.withColumn("received", F.when(F.col("start") < F.col("w"), at(F.col("start"))))
     shaped = (
         (F.col("o2") == 128) & (F.col("o3") == F.col("start") * 32)
         & (F.col("w") == F.col("start") + 1 + F.col("received") * 5)
-        & F.col("recipient").isNotNull() & (F.col("offerer") != ZERO_ADDRESS) & (F.col("order_hash") != "0" * 64)
+        & F.col("recipient").isNotNull() & (F.col("offerer") != ZERO_ADDRESS) & (F.col("order_hash") != "0x" + "0" * 64)
     )
     step = step.withColumn("shaped", F.coalesce(shaped, F.lit(False)))
 
     def items(first: Column, size: int, count: str) -> Column:
         n = F.when(F.col("shaped"), F.col(count)).otherwise(0).cast("int")
         starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        span = 64 * size
-        return F.transform(starts, lambda i: F.substring(data, ((first + i * size) * 64 + 1).cast("int"), F.lit(span)))
+        return F.transform(starts, lambda i: F.substring(data, ((first + i * size) * 32 + 1).cast("int"), F.lit(32 * size)))
 
-    # items stay raw text until they are one row each
+    # items stay raw bytes until they are one row each
     step = step.withColumns(
         {"offer": items(F.lit(5), 4, "offers"), "consideration": items(F.col("start") + 1, 5, "received")}
     )
@@ -410,45 +449,50 @@ def nft_orders(logs: DataFrame) -> DataFrame:
     )
     raw = F.col("s")["x"]
     parts = one.select(
-        "tx_hash", "log_index", F.concat(F.lit("0x"), "order_hash").alias("order_hash"), "offerer", "recipient", "item_index",
-        F.col("s")["side"].alias("side"), small_word(word(raw, 0)).alias("kind"), word_address(word(raw, 1)).alias("token"),
-        word(raw, 2).alias("id_word"), word(raw, 3).alias("amount_word"),
-        F.when(F.col("s")["side"] == "consideration", word_address(word(raw, 4))).alias("item_recipient"),
+        "tx_hash", "log_index", "order_hash", "offerer", "recipient", "item_index",
+        F.col("s")["side"].alias("side"), _small_bytes(_byte_word(raw, 0)).alias("kind"), _address_bytes(_byte_word(raw, 1)).alias("token"),
+        _byte_word(raw, 2).alias("id_word"), _byte_word(raw, 3).alias("amount_word"),
+        F.when(F.col("s")["side"] == "consideration", _address_bytes(_byte_word(raw, 4))).alias("item_recipient"),
     )
-    zero_id, zero_token = F.col("id_word") == "0" * 64, F.col("token") == ZERO_ADDRESS
+    zero_word = F.lit(bytes(32))
+    zero_id, zero_token = F.col("id_word") == zero_word, F.col("token") == ZERO_ADDRESS
     sound = (
         F.when(F.col("kind") == 0, zero_token & zero_id).when(F.col("kind") == 1, ~zero_token & zero_id)
-        .when(F.col("kind") == 2, ~zero_token & (F.col("amount_word") == "0" * 63 + "1"))
+        .when(F.col("kind") == 2, ~zero_token & (F.col("amount_word") == F.lit(bytes(31) + b"\x01")))
         .when(F.col("kind") == 3, ~zero_token).otherwise(False)
-    ) & (F.col("amount_word") != "0" * 64) & ((F.col("side") == "offer") | F.col("item_recipient").isNotNull())
+    ) & (F.col("amount_word") != zero_word) & ((F.col("side") == "offer") | F.col("item_recipient").isNotNull())
     marked = parts.withColumn("sound", F.coalesce(sound, F.lit(False)).cast("int"))
-    # an order counts only when all its items do
-    whole = marked.groupBy("tx_hash", "log_index").agg(F.min("sound").alias("all_sound"))
+    # an order counts only when all its items do; its items, bounded by the log's data, travel together
+    items_of = marked.groupBy("tx_hash", "log_index").agg(
+        F.min("sound").alias("all_sound"),
+        F.collect_list(F.struct("order_hash", "offerer", "recipient", "item_index", "side", "kind", "token", "id_word", "amount_word", "item_recipient")).alias("items"),
+    )
     kinds = F.array(*[F.lit(k) for k in ITEM_TYPES])
-    return marked.join(whole.where(F.col("all_sound") == 1), ["tx_hash", "log_index"], "left_semi").select(
+    amount = lambda c: F.coalesce(
+        _small_bytes(F.col(c)).cast("string"), wide.from_hex(_hexed(F.col(c)))
+    )
+    return items_of.where(F.col("all_sound") == 1).select("tx_hash", "log_index", F.inline("items")).select(
         "tx_hash", "log_index", "order_hash", "offerer", "recipient", "item_index", "side",
-        F.get(kinds, F.col("kind").cast("int")).alias("item_type"), "token", amount_of(F.col("id_word")).alias("identifier"),
-        amount_of(F.col("amount_word")).alias("amount_raw"), "item_recipient",
+        F.get(kinds, F.col("kind").cast("int")).alias("item_type"), "token", amount("id_word").alias("identifier"),
+        amount("amount_word").alias("amount_raw"), "item_recipient",
     )
 
 
 def nft_order_edges(orders: DataFrame, edges: DataFrame) -> DataFrame:
     """Order items matched to the NFT transfers of the same transaction."""
-    nft = orders.where(F.col("item_type").isin("erc721", "erc1155")).withColumn(
-        "asset_id", F.concat("item_type", F.lit(":"), "token", F.lit("/"), "identifier")
-    )
-    offer = nft.where((F.col("side") == "offer") & (F.col("recipient") != ZERO_ADDRESS)).select(
-        "tx_hash", "log_index", "order_hash", "asset_id", "amount_raw",
-        F.col("offerer").alias("from_address"), F.col("recipient").alias("to_address"),
-    )
-    given = nft.where((F.col("side") == "consideration") & (F.col("item_recipient") != ZERO_ADDRESS)).select(
-        "tx_hash", "log_index", "order_hash", "asset_id", "amount_raw", F.col("item_recipient").alias("to_address"),
-    )
+    offered = F.col("side") == "offer"
+    nft = orders.where(F.col("item_type").isin("erc721", "erc1155")).select(
+        "tx_hash", "log_index", "order_hash", "amount_raw",
+        F.concat("item_type", F.lit(":"), "token", F.lit("/"), "identifier").alias("asset_id"),
+        # who gives is stated for offers only
+        F.when(offered, F.col("offerer")).alias("giver"),
+        F.when(offered, F.col("recipient")).otherwise(F.col("item_recipient")).alias("to_address"), offered.alias("offered"),
+    ).where(F.col("to_address") != ZERO_ADDRESS)
     move = edges.select("tx_hash", "relationship_id", "asset_id", "amount_raw", "from_address", "to_address")
-    a = move.join(offer, ["tx_hash", "asset_id", "amount_raw", "from_address", "to_address"])
-    b = move.join(given, ["tx_hash", "asset_id", "amount_raw", "to_address"])
-    columns = ["tx_hash", "log_index", "order_hash", "relationship_id"]
-    return a.select(*columns).unionByName(b.select(*columns)).distinct()
+    found = move.join(nft, ["tx_hash", "asset_id", "amount_raw", "to_address"]).where(
+        ~F.col("offered") | (F.col("giver") == F.col("from_address"))
+    )
+    return found.select("tx_hash", "log_index", "order_hash", "relationship_id").distinct()
 
 
 def with_stable_ids(df: DataFrame, columns: list[str], name: str = "stable_id") -> DataFrame:
