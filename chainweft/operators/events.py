@@ -9,7 +9,7 @@ from chainweft.functions import wide
 from chainweft.functions.ids import stable_id, word, word_address
 from chainweft.functions.ordered import top_per_group
 from chainweft.operators.activity import boundary_flows
-from chainweft.operators.extract import _topic, abi_proof, amount_of, normal_logs
+from chainweft.operators.extract import _topic, abi_proof, amount_of, normal_logs, receipts
 from chainweft.session import materialise
 
 # Topic families that name an unregistered pool's protocol.
@@ -60,22 +60,30 @@ def log_events(logs: DataFrame, edges: DataFrame, registry: DataFrame) -> DataFr
     A swap takes its assets from the log (vault swaps), else from flows with one
     asset on each side, else it stays without assets at lower confidence.
     """
-    known = abi_proof(logs).where(
-        F.col("abi_valid") & F.col("operation").isin("swap", "liquidity_add", "liquidity_remove")
-    ).withColumnRenamed("address", "pool")
+    data = F.col("data")
+    token = lambda i: F.concat(F.lit("erc20:"), word_address(_topic(i)))
+    stated = F.when(
+        F.col("abi") == "balancer_v2_swap",
+        F.struct(token(2).alias("asset_in"), amount_of(word(data, 0)).alias("amount_in"), token(3).alias("asset_out"), amount_of(word(data, 1)).alias("amount_out")),
+    )
+    # logs are decoded once; what goes on is short
+    known = materialise(
+        abi_proof(logs).where(
+            F.col("abi_valid") & F.col("operation").isin("swap", "liquidity_add", "liquidity_remove")
+        ).select("tx_hash", "log_index", F.col("address").alias("pool"), "abi", "operation", stated.alias("stated")),
+        "pool-logs",
+    )
     flows = pool_flows(edges, known)
     dex = registry.where(F.col("protocol_type") == "dex").select(
         F.lower("contract").alias("pool"), F.col("protocol").alias("registered"),
         F.col("confidence").alias("registered_confidence"),
     )
     rows = known.join(flows, ["tx_hash", "pool"], "left").join(dex, "pool", "left")
-    data = F.col("data")
     swap, add = F.col("operation") == "swap", F.col("operation") == "liquidity_add"
     direct = swap & (F.col("abi") == "balancer_v2_swap")
     ins = F.coalesce("ins", F.array().cast("array<struct<asset_id:string,total:string>>"))
     outs = F.coalesce("outs", F.array().cast("array<struct<asset_id:string,total:string>>"))
     single = (F.size(ins) == 1) & (F.size(outs) == 1)
-    token = lambda i: F.concat(F.lit("erc20:"), word_address(_topic(i)))
     quality = (
         F.when(direct, DIRECT).when(swap & single, MATCHED_SWAP).when(swap, UNMATCHED)
         .when(F.when(add, F.size(ins)).otherwise(F.size(outs)) > 0, MATCHED_LIQUIDITY).otherwise(UNMATCHED)
@@ -86,10 +94,10 @@ def log_events(logs: DataFrame, edges: DataFrame, registry: DataFrame) -> DataFr
         stable_id(F.col("tx_hash"), F.col("log_index"), F.col("operation"), F.col("pool")).alias("event_id"),
         "tx_hash", "log_index", F.col("operation").alias("event_type"),
         F.coalesce("registered", _map(FAMILY, F.col("abi"))).alias("protocol"), F.col("pool").alias("protocol_contract"),
-        F.when(direct, token(2)).when(pick_in, _join(ins, "asset_id")).otherwise("").alias("asset_in"),
-        F.when(direct, amount_of(word(data, 0))).when(pick_in, _join(ins, "total")).otherwise("").alias("amount_in"),
-        F.when(direct, token(3)).when(pick_out, _join(outs, "asset_id")).otherwise("").alias("asset_out"),
-        F.when(direct, amount_of(word(data, 1))).when(pick_out, _join(outs, "total")).otherwise("").alias("amount_out"),
+        F.when(direct, F.col("stated.asset_in")).when(pick_in, _join(ins, "asset_id")).otherwise("").alias("asset_in"),
+        F.when(direct, F.col("stated.amount_in")).when(pick_in, _join(ins, "total")).otherwise("").alias("amount_in"),
+        F.when(direct, F.col("stated.asset_out")).when(pick_out, _join(outs, "asset_id")).otherwise("").alias("asset_out"),
+        F.when(direct, F.col("stated.amount_out")).when(pick_out, _join(outs, "total")).otherwise("").alias("amount_out"),
         F.greatest(quality, F.coalesce("registered_confidence", F.lit(0.0))).alias("confidence"),
     )
 
@@ -233,11 +241,10 @@ def registry_events(txs: DataFrame, logs: DataFrame, edges: DataFrame, registry:
     ok = txs.where(F.col("status") == 1)
     rules = registry.withColumn("contract", F.lower("contract"))
     deciding = rules.select("contract", "protocol_type", "decoder")
-    own = normal_logs(logs).join(ok.select("tx_hash"), "tx_hash", "left_semi")
-    proof = abi_proof(logs).select("tx_hash", "log_index", "abi", "operation", "abi_valid")
     seen = materialise(
-        own.select("tx_hash", "log_index", F.col("address").alias("contract"), _topic(0).alias("topic0"))
-        .join(proof, ["tx_hash", "log_index"], "left"),
+        receipts(logs).join(ok.select("tx_hash"), "tx_hash", "left_semi").select(
+            "tx_hash", "log_index", F.col("address").alias("contract"), _topic(0).alias("topic0"), "abi", "operation", "abi_valid"
+        ),
         "registry-logs",
     )
     heads = ok.select("tx_hash", "from_address", "to_address", "transaction_index", F.substring("input_data", 1, 10).alias("selector"))
@@ -285,11 +292,11 @@ def registry_events(txs: DataFrame, logs: DataFrame, edges: DataFrame, registry:
     )
     both = (F.coalesce("inward", F.lit(0)) == 1) & (F.coalesce("outward", F.lit(0)) == 1)
     names = F.array().cast("array<string>")
-    for decoder, receipts in STANDARD.items():
-        names = F.when(F.col("decoder") == decoder, F.array(*map(F.lit, receipts))).otherwise(names)
-    receipts = seen.where("abi_valid").select("tx_hash", "abi", "operation", "log_index", F.col("contract").alias("emitter"))
+    for decoder, named in STANDARD.items():
+        names = F.when(F.col("decoder") == decoder, F.array(*map(F.lit, named))).otherwise(names)
+    proven = seen.where("abi_valid").select("tx_hash", "abi", "operation", "log_index", F.col("contract").alias("emitter"))
     standard = out(
-        base.select("tx_hash", "contract", F.explode(names).alias("abi")).join(receipts, ["tx_hash", "abi"])
+        base.select("tx_hash", "contract", F.explode(names).alias("abi")).join(proven, ["tx_hash", "abi"])
         .join(flow, ["tx_hash", "contract"], "left"),
         F.col("operation"), "emitter", "log_index", True, "standard_topic", F.when(both, 0.98).otherwise(0.90), 3,
     )
