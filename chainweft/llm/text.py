@@ -67,14 +67,19 @@ WORDS = WordHashes()
 TASK_TABLES.append(WORDS)
 
 
+_SHIFTS, _FACTORS = np.array([30, 27, 31], np.uint64), np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: each input bit reaches each output bit."""
-    x = values.copy()
-    x ^= x >> np.uint64(30)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
+    x = values >> _SHIFTS[0]
+    x ^= values
+    x *= _FACTORS[0]
+    y = x >> _SHIFTS[1]
+    x ^= y
+    x *= _FACTORS[1]
+    np.right_shift(x, _SHIFTS[2], out=y)
+    x ^= y
     return x
 
 
@@ -84,9 +89,13 @@ def shingles(hashes: np.ndarray, width: int = 5) -> np.ndarray:
     if n == 0:
         return hashes
     span = min(n, width)
-    out = np.zeros(n - span + 1, np.uint64) + np.uint64(span)
-    for k in range(span):
-        out += mixed(hashes[k : n - span + 1 + k] + np.uint64(k + 1)) * _ODD[k % len(_ODD)]
+    places = np.arange(span)
+    # all places of a run at once: numpy's calls cost more than their work on short texts
+    lanes = mixed(hashes[None, :] + (places + 1).astype(np.uint64)[:, None])
+    lanes *= _ODD[places % len(_ODD)][:, None]
+    out = lanes[0, : n - span + 1] + np.uint64(span)
+    for k in range(1, span):
+        out += lanes[k, k : n - span + 1 + k]
     return mixed(out)
 
 

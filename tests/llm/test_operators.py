@@ -564,3 +564,29 @@ def test_topk_grows_radii_to_coverage(spark, monkeypatch):
         want = sorted((int(d), i) for i, d in enumerate(distance) if i != q)[:10]
         assert [(d, i) for _, d, i in sorted(got[q])] == want
     assert max(radii) >= 3 and set(range(max(radii) + 1)) == set(radii)
+
+
+def test_shingles_mix_all_places_in_one_call(monkeypatch):
+    """Two calls a text, whatever the width; the values are those of the plain rule."""
+    from chainweft.llm import text
+
+    rng = np.random.default_rng(3)
+    calls = []
+    kept = text.mixed
+    monkeypatch.setattr(text, "mixed", lambda values: calls.append(1) or kept(values))
+    mask = (1 << 64) - 1
+
+    def plain(x: int) -> int:
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return x ^ (x >> 31)
+
+    for n, width in ((1, 5), (4, 5), (5, 5), (40, 5), (9, 7)):
+        hashes = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        span = min(n, width)
+        want = [
+            plain((span + sum(plain((int(hashes[i + k]) + k + 1) & mask) * int(text._ODD[k % 5]) for k in range(span))) & mask)
+            for i in range(n - span + 1)
+        ]
+        calls.clear()
+        assert [int(v) for v in text.shingles(hashes, width)] == want and len(calls) == 2
