@@ -590,3 +590,12 @@ def test_shingles_mix_all_places_in_one_call(monkeypatch):
         ]
         calls.clear()
         assert [int(v) for v in text.shingles(hashes, width)] == want and len(calls) == 2
+
+
+def test_toxicity_keeps_one_row_for_copies_of_a_text(spark, docs):
+    """Joins on a text's key must not multiply copies by copies."""
+    df = docs([(k, "you b4dword h3re", "en", "a") for k in range(40)] + [(40 + k, f"b.a.d.w.o.r.d of {k}", "en", "a") for k in range(5)] + [(50, "plain text", "en", "a"), (51, None, "en", "a")])
+    restored = toxicity.restoration(df)
+    assert restored.spelt.count() == 6
+    assert {x for r in restored.spelt.collect() for x in r.spellings} == {"b4dword", "h3re", "b.a.d.w.o.r.d"}
+    assert toxicity.scored(df, restored, {"badword$": 0.9}, 0.1).count() == 47
