@@ -15,6 +15,7 @@ size that holds the items' values, and only documents with a hit send rows at al
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +43,21 @@ def _upper(n: int) -> int:
     return 1 << (n - 1).bit_length()
 
 
+@cache
+def _kind(upper: int) -> np.ndarray:
+    return mixed(np.arange(HASHES, dtype=np.uint64) * np.uint64(64) + np.uint64(upper.bit_length()))
+
+
 def _keys(least: np.ndarray, upper: int) -> np.ndarray:
-    """Keys of MinHash values (``HASHES`` rows), apart for each partition and hash."""
-    kind = np.arange(HASHES, dtype=np.uint64) * np.uint64(64) + np.uint64(upper.bit_length())
-    return mixed(least + mixed(kind)[:, None])
+    """Keys of MinHash values (``HASHES`` columns), apart for each partition and hash; the values are spread already."""
+    return least ^ _kind(upper)
+
+
+def _least(rows: np.ndarray, size: int) -> np.ndarray:
+    """The least values of each ``size`` rows, of the rest at the end too."""
+    whole = len(rows) // size * size
+    parts = [rows[:whole].reshape(-1, size, rows.shape[1]).min(axis=1)] if whole else []
+    return np.concatenate([*parts, rows[whole:].min(axis=0, keepdims=True)]) if whole < len(rows) else parts[0]
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,7 +69,7 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids.append(item)
                 upper.append(_upper(len(runs)))
                 own.append(np.unique(runs).view(np.int64))
-                least = np.array([(runs * a).min() for a in _A], np.uint64)[:, None]
+                least = np.array([(runs * a).min() for a in _A], np.uint64)
                 keys.append(_keys(least, upper[-1]).ravel().view(np.int64))
         longs = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
@@ -79,7 +91,7 @@ def _bitmap(values: DataFrame) -> np.ndarray:
 
 def _holds(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
     at = values & np.uint64(BITS - 1)
-    return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return (bitmap[(at >> np.uint64(3)).view(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def _searched(key_bits, own_bits, uppers: list[int]):  # noqa: ANN001, ANN202
@@ -88,14 +100,13 @@ def _searched(key_bits, own_bits, uppers: list[int]):  # noqa: ANN001, ANN202
         part = max(uppers) * max(1, 4096 // max(uppers))  # a multiple of every step; parts overlap by a window
         for at in range(0, len(runs), part):
             own = runs[at : at + part + 2 * max(uppers)]
-            hashed = own[None, :] * _A[:, None]
-            for upper in uppers:
-                least = np.minimum.reduceat(hashed, np.arange(0, len(own), upper), axis=1)
-                if least.shape[1] > 1:
-                    least = np.minimum(least[:, 1:], least[:, :-1])
-                keys = _keys(least, upper).ravel()
-                found.append(keys[_holds(bitmap, keys)])
-        return np.unique(np.concatenate(found)) if found else runs[:0]
+            blocks, size = own[:, None] * _A[None, :], 1
+            for upper in uppers:  # ascending powers of two: blocks of a size are made of the smaller ones
+                blocks, size = _least(blocks, upper // size), upper
+                least = np.minimum(blocks[1:], blocks[:-1]) if len(blocks) > 1 else blocks
+                found.append(_keys(least, upper).ravel())
+        keys = np.concatenate(found) if found else runs[:0]
+        return np.unique(keys[_holds(bitmap, keys)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longs = pa.list_(pa.int64())

@@ -599,3 +599,31 @@ def test_toxicity_keeps_one_row_for_copies_of_a_text(spark, docs):
     assert restored.spelt.count() == 6
     assert {x for r in restored.spelt.collect() for x in r.spellings} == {"b4dword", "h3re", "b.a.d.w.o.r.d"}
     assert toxicity.scored(df, restored, {"badword$": 0.9}, 0.1).count() == 47
+
+
+def test_window_search_folds_blocks_and_mixes_nothing_a_window(monkeypatch):
+    """Windows' keys are those of plain minima; only shingles are mixed, two calls a text."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from chainweft.llm import text
+
+    calls = []
+    kept = text.mixed
+    for module in (text, decontaminate):
+        monkeypatch.setattr(module, "mixed", lambda values: calls.append(1) or kept(values))
+    every = SimpleNamespace(value=np.full(decontaminate.BITS // 8, 255, np.uint8))
+    for n in (1, 15, 16, 17, 64, 100, 300):
+        words = " ".join(f"w{k}" for k in range(n + 4))
+        runs = decontaminate._runs(words.encode())
+        want = set()
+        for upper in (16, 64):
+            starts = range(0, max(1, -(-n // upper) - 1) * upper, upper)
+            for at in starts:
+                least = np.array([(runs[at : at + 2 * upper] * a).min() for a in decontaminate._A], np.uint64)
+                want |= set(decontaminate._keys(least, upper).view(np.int64).tolist())
+        batch = pa.RecordBatch.from_arrays([pa.array(["x"]), pa.array([1], pa.int64()), pa.array([words.encode()], pa.binary())], ["ident", "doc_id", "text"])
+        calls.clear()
+        (out,) = decontaminate._searched(every, every, [16, 64])(iter([batch]))
+        assert set(out.column("keys").to_pylist()[0]) == want and len(calls) == 2
