@@ -156,33 +156,40 @@ def alerts_stream(t: Tables) -> DataFrame:
     SELECT destination, asset_id, token, count(*) AS distinct_senders, sum(n)::BIGINT AS transfers, max(b) AS last_block FROM p GROUP BY 1, 2, 3 HAVING count(*) BETWEEN 3 AND 20""",
 )
 def clusters_stream(t: Tables) -> DataFrame:
-    """Edges in six files: out of order, some twice, and some of blocks that a second run finds replaced."""
-    own = t.edges().withColumns({"block_hash": F.concat(F.lit("b"), "block_number"), "token": F.coalesce("token_id", F.lit(""))})
-    own = own.withColumnRenamed("to_address", "destination")
+    """Edges in six batches: out of order, some twice, and some of blocks that a second run finds replaced."""
+    own = materialise(
+        t.edges().select(
+            "relationship_id", "block_number", F.concat(F.lit("b"), "block_number").alias("block_hash"), F.col("to_address").alias("destination"),
+            "asset_id", F.coalesce("token_id", F.lit("")).alias("token"), "from_address", "amount_raw",
+        ),
+        "cluster-own",
+    )
     # a seventh of the blocks first comes with other transfers under another hash; the tip is one of them
     tip = own.agg(F.max("block_number").alias("tip"))
-    marked = own.join(F.broadcast(tip), (F.col("block_number") % 7 == 3) | (F.col("block_number") == F.col("tip")), "left")  # one row
-    gone = marked.where(F.col("tip").isNotNull()).drop("tip").withColumns(
-        {"block_hash": F.concat(F.lit("f"), "block_number"), "relationship_id": F.concat(F.lit("gone-"), "relationship_id"), "from_address": F.concat(F.lit("x"), "from_address")}
+    replaced = (F.col("block_number") % 7 == 3) | (F.col("block_number") == F.col("tip"))
+    marked = own.crossJoin(F.broadcast(tip)).withColumn("replaced", replaced).drop("tip")  # one row
+    first_hash = F.when(F.col("replaced"), F.concat(F.lit("f"), "block_number")).otherwise(F.col("block_hash")).alias("block_hash")
+    blocks = materialise(marked.select("block_number", "block_hash", "replaced").distinct(), "canon")
+    gone = marked.where("replaced").withColumns(
+        {"block_hash": first_hash, "relationship_id": F.concat(F.lit("gone-"), "relationship_id"), "from_address": F.concat(F.lit("x"), "from_address")}
     )
-    replaced = gone.select("block_number", "block_hash").distinct()
-    blocks = own.select("block_number", "block_hash").distinct()
-    first_canon = materialise(blocks.join(replaced.select("block_number"), "block_number", "left_anti").unionByName(replaced), "canon")
     key = F.xxhash64("relationship_id")
-    again = own.where(key % 5 == 0)
     half = F.pmod(key, F.lit(2)) == 0
-    one = own.where(half).join(replaced.select("block_number"), "block_number", "left_anti").select(*own.columns).unionByName(gone)
-    two = own.where(~half).unionByName(own.where(half).join(replaced.select("block_number"), "block_number", "left_semi").select(*own.columns)).unionByName(again)
+    one = marked.where(half & ~F.col("replaced")).unionByName(gone)
+    two = marked.where(~half | F.col("replaced")).unionByName(marked.where(key % 5 == 0))
     folder = f"{shared_dir(t.spark)}/cluster-edges-{uuid.uuid4().hex}"
     state = op.ClusterState(op.Sink(t.spark, "clusters"), own.schema, ["destination", "asset_id", "token"], _shared)
-    for rows, canonical in ((one, first_canon), (two, materialise(blocks, "canon"))):
-        rows.repartition(3).write.mode("append").parquet(folder)
-        op.stream_clusters(op.read_stream(t.spark, folder, own.schema, 1), state, canonical)
+    files = 0
+    for rows, block_hash in ((one, first_hash), (two, F.col("block_hash"))):
+        rows.select(*own.columns).write.mode("append").parquet(folder)
+        before, files = files, len(t.spark.read.schema(own.schema).parquet(folder).inputFiles())
+        third = max(-(-(files - before) // 3), 1)
+        op.stream_clusters(op.read_stream(t.spark, folder, own.schema, third), state, blocks.select("block_number", block_hash))
     return state.read().select("destination", "asset_id", "token", "distinct_senders", "transfers", "last_block")
 
 
 def _shared(edges: DataFrame) -> DataFrame:
-    return clusters.shared_destination(edges.withColumnRenamed("destination", "to_address"))
+    return clusters.shared_destination(edges.withColumnsRenamed({"destination": "to_address", "token": "token_id"}))
 
 
 @query(

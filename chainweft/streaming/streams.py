@@ -291,6 +291,24 @@ class ClusterState:
         last = rows.orderBy(F.desc("batch")).first()
         return None if last is None else (last.epoch, last.block_number, last.block_hash)
 
+    def _store(self, rows: DataFrame, stored: DataFrame, epoch: int, batch_id: int) -> None:
+        """Write the rows whose id is not stored yet, each once.
+
+        Rows and stored ids are dealt once, by bucket and a part of it, and the
+        files are written from there; a hot bucket makes several of them.
+        """
+        content = F.struct(*[c for c in rows.columns if c not in ("bucket", "relationship_id")]).alias("content")
+        new = rows.select("bucket", "relationship_id", content)
+        held = stored.select("bucket", "relationship_id", F.lit(None).cast(new.schema["content"].dataType).alias("content"))
+        place = ["bucket", "part"]
+        dealt = new.unionByName(held).withColumn("part", F.pmod(F.xxhash64("relationship_id"), F.lit(8))).repartition(*place)
+        kept = dealt.groupBy(*place, "relationship_id").agg(
+            F.count_if(F.col("content").isNull()).alias("held"), F.first("content", ignorenulls=True).alias("content")
+        ).where(F.col("held") == 0)
+        kept.select("bucket", "relationship_id", "content.*").write.mode("overwrite").partitionBy("bucket").parquet(
+            f"{self.sink.base}/facts/epoch={epoch}/batch={batch_id}"
+        )
+
     def _results(self, rows: DataFrame, groups: DataFrame, epoch: int, batch_id: int) -> None:
         """The result of each group, null where the rule no longer holds."""
         found = self.discover(rows.drop("epoch", "batch", "bucket"))
@@ -301,28 +319,27 @@ class ClusterState:
         """Take up a batch; ``canonical`` (block_number, block_hash) are the blocks that stand at this time."""
         at = self.cursor(batch_id)
         epoch = at[0] if at else 0
-        valid = batch.join(canonical, ["block_number", "block_hash"], "left_semi").dropDuplicates(["relationship_id"])
-        fresh = self._spread(valid)
+        placed = self._spread(batch)
+        # one number per bucket
+        touched: list[int] | None = sorted(r.bucket for r in placed.select("bucket").distinct().collect())
+        if not touched:
+            return
+        fresh = placed.join(canonical, ["block_number", "block_hash"], "left_semi").select(*placed.columns)
         anchor_gone = at is not None and canonical.where((F.col("block_number") == at[1]) & (F.col("block_hash") == at[2])).isEmpty()
         if anchor_gone:  # the facts that still stand, and the batch, begin a new epoch
             old = self.facts(epoch, batch_id).drop("epoch", "batch").join(canonical, ["block_number", "block_hash"], "left_semi")
-            fresh = old.select(*fresh.columns).unionByName(fresh).dropDuplicates(["relationship_id"])
+            fresh = old.select(*fresh.columns).unionByName(fresh)
             epoch += 1
-        touched = sorted(r.bucket for r in fresh.select("bucket").distinct().collect())  # one number per bucket
-        if not touched:
-            return
-        stored = self.facts(epoch, batch_id, touched)
-        fresh = fresh.join(stored.select("bucket", "relationship_id"), ["bucket", "relationship_id"], "left_anti")
-        # rows of a bucket go together, a hot one in several files
-        fresh.repartition("bucket", F.pmod(F.xxhash64("relationship_id"), F.lit(8))).write.mode("overwrite").partitionBy("bucket").parquet(
-            f"{self.sink.base}/facts/epoch={epoch}/batch={batch_id}"
-        )
+            touched = None
+        self._store(fresh, self.facts(epoch, batch_id, touched), epoch, batch_id)
         now = self.facts(epoch, batch_id + 1, touched)
-        groups = now.where(F.col("batch") == batch_id).select(*self.key).distinct()
-        rows = now.join(groups, self.key, "left_semi")
-        self._results(rows, groups, epoch, batch_id)
-        top = now.where(F.col("batch") == batch_id).agg(F.max(F.struct("block_number", "block_hash")).alias("m")).first().m
-        if top is None or (at is not None and not anchor_gone and (top.block_number, top.block_hash) < at[1:]):
+        added = now.where(F.col("batch") == batch_id)
+        top = added.agg(F.max(F.struct("block_number", "block_hash")).alias("m")).first().m
+        if top is None:  # nothing new: results and cursor stay
+            return
+        groups = added.select(*self.key).distinct()
+        self._results(now.join(groups, self.key, "left_semi"), groups, epoch, batch_id)
+        if at is not None and not anchor_gone and (top.block_number, top.block_hash) < at[1:]:
             top = Row(block_number=at[1], block_hash=at[2])
         self.sink.write(self.sink.spark.createDataFrame([(epoch, top.block_number, top.block_hash)], CURSOR), batch_id, "cursor")
 
