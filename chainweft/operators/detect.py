@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chainweft.functions import wide
 from chainweft.functions.chains import places
 from chainweft.functions.ids import ZERO_ADDRESS
 from chainweft.session import materialise
@@ -149,19 +150,29 @@ def liquidity(net: DataFrame, edges: DataFrame) -> DataFrame:
     ).withColumnRenamed("address", "subject")
 
 
-def bridge_moves(net: DataFrame, edges: DataFrame, hints: DataFrame) -> DataFrame:
-    """Mint to, or burn by, a wallet with matching net flow, only in hinted transactions."""
-    own = net.join(hints.select("tx_hash").distinct(), "tx_hash", "left_semi").where(F.col("address") != ZERO_ADDRESS)
-    keys = ["tx_hash", "address", "asset_id"]
-    minted = edges.where(F.col("from_address") == ZERO_ADDRESS).select(
-        "tx_hash", F.col("to_address").alias("address"), "asset_id"
+def bridge_moves(edges: DataFrame, hints: DataFrame) -> DataFrame:
+    """Mint to, or burn by, a wallet with matching net flow, only in hinted transactions.
+
+    Edges of hinted transactions are dealt by transaction once; what a wallet
+    moved of an asset and whether the zero address took part come from one fold.
+    """
+    told = edges.join(hints.select("tx_hash").distinct(), "tx_hash", "left_semi")
+    zero = lambda c: (F.col(c) == ZERO_ADDRESS).cast("int").alias("zero")
+    none = F.lit(None).cast("string")
+    sides = F.array(
+        F.struct(F.col("from_address").alias("subject"), none.alias("plus"), F.col("amount_raw").alias("minus"), zero("to_address")),
+        F.struct(F.col("to_address").alias("subject"), F.col("amount_raw").alias("plus"), none.alias("minus"), zero("from_address")),
     )
-    burned = edges.where(F.col("to_address") == ZERO_ADDRESS).select(
-        "tx_hash", F.col("from_address").alias("address"), "asset_id"
+    legs = told.where(F.col("from_address") != F.col("to_address")).select("tx_hash", "asset_id", F.inline(sides))
+    moved = legs.where(F.col("subject") != ZERO_ADDRESS).groupBy("tx_hash", "subject", "asset_id").agg(
+        wide.sign(wide.net(F.col("plus"), F.col("minus"))).alias("sign"),
+        F.max(F.when(F.col("plus").isNotNull(), F.col("zero"))).alias("minted"),
+        F.max(F.when(F.col("minus").isNotNull(), F.col("zero"))).alias("burned"),
+    )
+    into, out = (F.col("sign") > 0) & (F.col("minted") == 1), (F.col("sign") < 0) & (F.col("burned") == 1)
+    return moved.where(into | out).select(
+        "tx_hash", "subject", "asset_id", F.when(into, "bridge_in").otherwise("bridge_out").alias("event_type")
     )
-    into = own.where(F.col("sign") > 0).join(minted, keys, "left_semi").select(*keys, F.lit("bridge_in").alias("event_type"))
-    out = own.where(F.col("sign") < 0).join(burned, keys, "left_semi").select(*keys, F.lit("bridge_out").alias("event_type"))
-    return into.unionByName(out).withColumnRenamed("address", "subject")
 
 
 def mint_burn(edges: DataFrame) -> DataFrame:
