@@ -158,13 +158,19 @@ def service_wallets(activity: DataFrame) -> DataFrame:
 
 
 def shared_destination(edges: DataFrame, least: int = 3, most: int = 20) -> DataFrame:
-    """Destinations of one asset and token with a few distinct senders."""
+    """Destinations of one asset and token with a few distinct senders.
+
+    ``token`` is taken where edges have it, so that edges lying in buckets of the
+    group are folded in place; else it is ``token_id`` with null as empty.
+    """
+    if "token" not in edges.columns:
+        edges = edges.withColumn("token", F.coalesce("token_id", F.lit("")))
     real = edges.where(
         (F.col("amount_raw") != "0") & (F.col("from_address") != F.col("to_address"))
         & ~F.col("from_address").isin("", ZERO_ADDRESS) & ~F.col("to_address").isin("", ZERO_ADDRESS)
     )
     keys = ["to_address", "asset_id", "token"]
-    pairs = real.withColumn("token", F.coalesce("token_id", F.lit(""))).groupBy(*keys, "from_address").agg(
+    pairs = real.groupBy(*keys, "from_address").agg(
         F.count("*").alias("n"), F.max("block_number").alias("b1")
     )
     return pairs.groupBy(*keys).agg(

@@ -258,32 +258,47 @@ CURSOR = T.StructType(
 
 
 class ClusterState:
-    """Facts by bucket of their group, a cursor, and the newest result of every group, under one sink.
-
-    Facts are only added: ``facts/epoch=../batch=../bucket=..``.  A batch reads
-    the buckets its groups fall into, and of these the batches before its own.
-    The cursor names the highest block seen and its hash; an epoch ends when
-    that block was replaced.
+    """Facts in buckets of their group, a cursor, and the newest result of every group, under one sink.
+
+    Facts are only added, to a table of partitions ``epoch``, ``batch`` and
+    ``bucket`` in buckets of the group: ``facts/epoch=../batch=../bucket=..``.
+    A batch reads the buckets its groups fall into, and of these the batches
+    before its own; it is dealt by group once and meets stored facts, older rows
+    of its groups and their results where they lie, so none of these is
+    shuffled.  All rows of a group are in one bucket.  The cursor names the
+    highest block seen and its hash; an epoch ends when that block was replaced.
+
+    A state is opened with the number of buckets it was made with, by default
+    the session's shuffle partitions.
     """
 
-    def __init__(self, sink: Sink, schema: T.StructType, key: Sequence[str], discover: Callable[[DataFrame], DataFrame], buckets: int = 32):
-        self.sink, self.schema, self.key, self.discover, self.buckets = sink, schema, list(key), discover, buckets
-        parts = [T.StructField("epoch", T.LongType()), T.StructField("batch", T.LongType()), T.StructField("bucket", T.LongType())]
-        self.stored_schema = T.StructType([*schema.fields, *parts])
+    def __init__(self, sink: Sink, schema: T.StructType, key: Sequence[str], discover: Callable[[DataFrame], DataFrame], buckets: int | None = None):
+        self.sink, self.schema, self.key, self.discover = sink, schema, list(key), discover
+        self.buckets = buckets or int(sink.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.table = f"facts_{uuid.uuid5(uuid.NAMESPACE_URL, sink.base).hex}"
+        if not sink.spark.catalog.tableExists(self.table):
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+            keys = ", ".join(f"`{c}`" for c in self.key)
+            sink.spark.sql(
+                f"CREATE TABLE {self.table} ({columns}, epoch BIGINT, batch BIGINT, bucket INT) USING parquet PARTITIONED BY (epoch, batch, bucket) "
+                f"CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {self.buckets} BUCKETS LOCATION '{sink.base}/facts'"
+            )
+            try:
+                sink.spark.read.schema(schema).parquet(f"{sink.base}/facts")
+            except Exception as error:  # nothing written yet
+                if "PATH_NOT_FOUND" not in str(error):
+                    raise
+            else:
+                sink.spark.catalog.recoverPartitions(self.table)
 
     def _spread(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("bucket", F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)))
+        """Rows with the bucket that Spark writes their group to."""
+        return rows.withColumn("bucket", F.pmod(F.hash(*self.key), F.lit(self.buckets)))
 
     def facts(self, epoch: int, before: int, touched: Sequence[int] | None = None) -> DataFrame:
         """Stored facts of an epoch from batches before ``before``; the bounds reach the scan as partition filters."""
-        path = f"{self.sink.base}/facts"
-        try:
-            rows = self.sink.spark.read.schema(self.stored_schema).parquet(path)
-        except Exception as error:  # nothing written yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            rows = self.sink.spark.createDataFrame([], self.stored_schema)
-        rows = rows.where((F.col("epoch") == epoch) & (F.col("batch") < before))
+        self.sink.spark.catalog.refreshTable(self.table)
+        rows = self.sink.spark.table(self.table).where((F.col("epoch") == epoch) & (F.col("batch") < before))
         return rows if touched is None else rows.where(F.col("bucket").isin(*touched))
 
     def cursor(self, before: int) -> tuple[int, int, str] | None:
@@ -292,22 +307,20 @@ class ClusterState:
         return None if last is None else (last.epoch, last.block_number, last.block_hash)
 
     def _store(self, rows: DataFrame, stored: DataFrame, epoch: int, batch_id: int) -> None:
-        """Write the rows whose id is not stored yet, each once.
-
-        Rows and stored ids are dealt once, by bucket and a part of it, and the
-        files are written from there; a hot bucket makes several of them.
-        """
-        content = F.struct(*[c for c in rows.columns if c not in ("bucket", "relationship_id")]).alias("content")
-        new = rows.select("bucket", "relationship_id", content)
-        held = stored.select("bucket", "relationship_id", F.lit(None).cast(new.schema["content"].dataType).alias("content"))
-        place = ["bucket", "part"]
-        dealt = new.unionByName(held).withColumn("part", F.pmod(F.xxhash64("relationship_id"), F.lit(8))).repartition(*place)
-        kept = dealt.groupBy(*place, "relationship_id").agg(
+        """Write the rows, dealt by group, whose id is not stored yet, each once."""
+        content = F.struct(*[c for c in rows.columns if c not in (*self.key, "relationship_id")]).alias("content")
+        new = rows.select(*self.key, "relationship_id", content)
+        held = stored.select(*self.key, "relationship_id", F.lit(None).cast(new.schema["content"].dataType).alias("content"))
+        kept = new.unionByName(held).groupBy(*self.key, "relationship_id").agg(
             F.count_if(F.col("content").isNull()).alias("held"), F.first("content", ignorenulls=True).alias("content")
         ).where(F.col("held") == 0)
-        kept.select("bucket", "relationship_id", "content.*").write.mode("overwrite").partitionBy("bucket").parquet(
-            f"{self.sink.base}/facts/epoch={epoch}/batch={batch_id}"
+        if not self.facts(epoch, batch_id + 1).where(F.col("batch") == batch_id).isEmpty():  # left by an attempt that failed
+            nothing = self.sink.spark.createDataFrame([], self.schema).withColumn("bucket", F.lit(0))
+            nothing.sparkSession.sql(f"INSERT OVERWRITE {self.table} PARTITION (epoch = {epoch}, batch = {batch_id}, bucket) SELECT * FROM {{rows}}", rows=nothing)
+        placed = self._spread(kept.select(*self.key, "relationship_id", "content.*")).select(
+            *self.schema.names, F.lit(epoch).cast("long").alias("epoch"), F.lit(batch_id).cast("long").alias("batch"), "bucket"
         )
+        placed.write.insertInto(self.table)
 
     def _results(self, rows: DataFrame, groups: DataFrame, epoch: int, batch_id: int) -> None:
         """The result of each group, null where the rule no longer holds."""
@@ -321,16 +334,24 @@ class ClusterState:
         epoch = at[0] if at else 0
         placed = self._spread(batch)
         # one number per bucket
-        touched: list[int] | None = sorted(r.bucket for r in placed.select("bucket").distinct().collect())
+        touched = sorted(r.bucket for r in placed.select("bucket").distinct().collect())
         if not touched:
             return
-        fresh = placed.join(canonical, ["block_number", "block_hash"], "left_semi").select(*placed.columns)
+        block = ["block_number", "block_hash"]
+        fresh = placed.dropna(subset=block).select(*self.schema.names)
         anchor_gone = at is not None and canonical.where((F.col("block_number") == at[1]) & (F.col("block_hash") == at[2])).isEmpty()
+        old = None
+        seen = fresh.select(*block)
         if anchor_gone:  # the facts that still stand, and the batch, begin a new epoch
-            old = self.facts(epoch, batch_id).drop("epoch", "batch").join(canonical, ["block_number", "block_hash"], "left_semi")
-            fresh = old.select(*fresh.columns).unionByName(fresh)
+            old = self.facts(epoch, batch_id).select(*self.schema.names)
+            seen = seen.unionByName(old.select(*block))
             epoch += 1
-            touched = None
+            touched = list(range(self.buckets))
+        # blocks that don't stand are fewer than rows, and their join is planned from their real size
+        fallen = materialise(seen.distinct().join(canonical, block, "left_anti"), "fallen")
+        fresh = fresh.join(fallen, block, "left_anti").repartition(self.buckets, *self.key)
+        if old is not None:
+            fresh = fresh.unionByName(old.join(fallen, block, "left_anti").select(*fresh.columns))
         self._store(fresh, self.facts(epoch, batch_id, touched), epoch, batch_id)
         now = self.facts(epoch, batch_id + 1, touched)
         added = now.where(F.col("batch") == batch_id)
