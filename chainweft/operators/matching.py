@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 
 import pandas as pd
@@ -96,22 +97,27 @@ def utxo_edges(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     )
 
 
+def _digest(columns: list[str]) -> Column:
+    """SHA-256 of the columns as one JSON object, which leaves nulls out, so no two rows read alike; never null."""
+    return F.coalesce(F.unhex(F.sha2(F.to_json(F.struct(*columns)), 256)), F.lit(b""))
+
+
 def witness(edges: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Left join of edges to their exact leg; ``matched`` is 0 where none agrees."""
-    legs = utxo_edges(inputs, outputs)
+    """Left join of edges to their exact leg; ``matched`` is 0 where none agrees.
+
+    Edges and legs meet on the digest of all compared columns, so a leg is
+    shuffled as 32 bytes and an edge with what its reader asks for.
+    """
     keys = [
         *OCCURRENCE, "transfer_type", "event_index", "amount_raw",
         "from_subject_id", "to_subject_id",
     ]
     nullable = ["from_address", "to_address", "prev_tx_hash", "prev_output_index", "output_index"]
-    legs = legs.select(*keys, *nullable).distinct().withColumn("matched", F.lit(1))
-    a, b = edges.alias("a"), legs.alias("b")
-    on: Column = F.lit(True)
-    for k in keys:
-        on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    for k in nullable:
-        on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    return a.join(b, on, "left").select("a.*", F.coalesce("b.matched", F.lit(0)).alias("matched"))
+    # a null among the keys agrees with nothing
+    known, leg = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]), _digest([*keys, *nullable])
+    legs = utxo_edges(inputs, outputs).where(known).select(leg.alias("__leg")).distinct()
+    marked = edges.withColumn("__leg", F.when(known, leg)).join(legs.withColumn("__matched", F.lit(1)), "__leg", "left")
+    return marked.select(*edges.columns, F.coalesce("__matched", F.lit(0)).alias("matched"))
 
 
 def exchange_flows(edges: DataFrame, exchanges: DataFrame) -> DataFrame:
